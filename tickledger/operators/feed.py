@@ -75,12 +75,14 @@ class TableGeometry(FlatGeometry):
 class Feed:
     """Raw tables of many matches at one tick rate.
 
-    ``width`` is the length in ticks of the blocks a round is cut in.
+    ``width`` is the length in ticks of the blocks a round is cut in, ``reach`` the length
+    of the longest round.
     """
 
     tables: dict[str, DataFrame]
     tick_rate: int = 128
     width: int = 4096
+    reach: int = 1 << 17
     geometry: FlatGeometry = field(default_factory=FlatGeometry)
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -90,7 +92,7 @@ class Feed:
         return int(round(seconds * self.tick_rate))
 
     def with_tables(self, **tables: DataFrame) -> "Feed":
-        return Feed({**self.tables, **tables}, self.tick_rate, self.width, self.geometry)
+        return Feed({**self.tables, **tables}, self.tick_rate, self.width, self.reach, self.geometry)
 
     def in_round(self, name: str, tick: str) -> DataFrame:
         """A table with its round: the stored one, else the round whose span holds the tick."""

@@ -15,9 +15,11 @@ from .. import schemas
 from ..functions.exprs import dist, map_values, side_of, tick_rate_of
 from ..functions.weapons import all_knives
 from .feed import ROUND
-from .scan import Run, asof, cumulative, islands, previous, range_join, scan
+from .scan import Run, asof, probe, range_join, scan, segments
 
 WIDTH = 4096
+# longest round in ticks the running values reach over
+ROUND_REACH = 1 << 17
 PLAYER = ROUND + ["steamid"]
 
 # fixed values: feed names to table names
@@ -170,10 +172,10 @@ def build_ticks(snap: DataFrame, kills: DataFrame, damages: DataFrame, plants: D
         first_col(s, "equipment_value", type="int").alias("equipment_value"),
         F.lit(None).cast("array<bigint>").alias("spotted_by"),
     )
-    k = cumulative(enemy_hits(kills, "team_kill"), PLAYER, "tick", None, "kills_round", width)
-    d = cumulative(enemy_hits(damages, "team_damage"), PLAYER, "tick", F.col("dmg_health").cast("bigint"), "damage_round", width)
-    t = asof(t, k, PLAYER, "tick", "tick", ["kills_round"], width=width)
-    t = asof(t, d, PLAYER, "tick", "tick", ["damage_round"], width=width)
+    k, d = enemy_hits(kills, "team_kill"), enemy_hits(damages, "team_damage")
+    n, hp = Run("kills_round", "sum", F.lit(1)), Run("damage_round", "sum", F.coalesce("dmg_health", F.lit(0)).cast("bigint"))
+    t = probe(t, k, PLAYER, "tick", "tick", [n], width=width, reach=ROUND_REACH)
+    t = probe(t, d, PLAYER, "tick", "tick", [hp], width=width, reach=ROUND_REACH)
     t = t.fillna(0, ["kills_round", "damage_round"])
     if plants is None:
         t = t.withColumn("is_planting", F.lit(None).cast("boolean"))
@@ -238,10 +240,12 @@ def entity_key(df: DataFrame) -> Column:
 
 
 def collapse_segments(rows: DataFrame, keys: Sequence[str], tick: str, gap: int | None, width: int = WIDTH) -> DataFrame:
-    """Number the trajectory segments of an entity: a distance above ``gap`` ticks opens a new one."""
-    out = previous(rows, keys, [tick], {"_pt": tick}, width)
-    new = F.col("_pt").isNull() if gap is None else F.col("_pt").isNull() | (F.col(tick) - F.col("_pt") > gap)
-    return islands(out, keys, [tick], new, "segment", width).drop("_pt")
+    """Trajectory segments of an entity: a distance above ``gap`` ticks opens a new one.
+
+    ``segment`` is the first tick of the segment; without a gap an entity has one.
+    """
+    far = (lambda c, p: F.lit(False)) if gap is None else (lambda c, p: c[tick] - p[tick] > gap)
+    return segments(rows, keys, [tick], [tick], far, "segment", width)
 
 
 def collapse_grenades(g: DataFrame, rounds: DataFrame, tick_rate: int | None, width: int = WIDTH) -> DataFrame:
@@ -261,8 +265,9 @@ def collapse_grenades(g: DataFrame, rounds: DataFrame, tick_rate: int | None, wi
         F.max_by(F.struct("x", "y", "z"), "tick").alias("_p"))
     at_rest = rows.join(ends.select(*seg, "_p"), seg).where(F.struct("x", "y", "z") == F.col("_p"))
     rest = at_rest.groupBy(*seg).agg(F.min("tick").alias("rest_tick"))
+    ends = scan(ends, ["match_key", "_key"], ["segment"], [Run("_ord", "sum", F.lit(1))], width)
     out = ends.join(rest, seg, "left").select(
-        "match_key", (F.col("_key") * ID_SEGMENTS + F.least(F.col("segment"), F.lit(ID_SEGMENTS - 1))).alias("entity_id"),
+        "match_key", (F.col("_key") * ID_SEGMENTS + F.least(F.col("_ord") - 1, F.lit(ID_SEGMENTS - 1))).alias("entity_id"),
         "thrower_steamid", "type", "throw_tick", "last_tick", "rest_tick",
         F.col("_p.x").alias("lx"), F.col("_p.y").alias("ly"), F.col("_p.z").alias("lz"))
     return assign_round(out, rounds, "throw_tick", width)
@@ -332,8 +337,8 @@ def build_utility(grenade_rows: DataFrame, smokes: DataFrame, fires: DataFrame,
 def flag_edges(rows: DataFrame, keys: Sequence[str], tick: str, flag: str, width: int = WIDTH) -> DataFrame:
     """Rising and last-true rows of a boolean per key: columns ``is_rise`` and ``is_last``."""
     d = rows.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
-    d = previous(d, keys, [tick], {"_was": flag}, width)
-    d = previous(d, keys, [tick], {"_next": flag}, width, past=False)
+    near = [Run("_was", "last", F.col(flag), inclusive=False), Run("_next", "last", F.col(flag), past=False, inclusive=False)]
+    d = scan(d, keys, [tick], near, width)
     off = lambda c: ~F.coalesce(F.col(c), F.lit(False))
     return d.withColumns({"is_rise": F.col(flag) & off("_was"), "is_last": F.col(flag) & off("_next")}).drop("_was", "_next")
 

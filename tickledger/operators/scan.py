@@ -10,13 +10,15 @@ one row per block.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = "_blk"
+# longest distance in ticks an as-of match bridges unless told otherwise: a nine-hour match at 128/s
+REACH = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -112,6 +114,75 @@ def cumulative(df: DataFrame, keys: Sequence[str], tick: str, value: Column | No
     return scan(ticks, keys, [tick], [Run(name, "sum", F.col("_n"))], width).drop("_n")
 
 
+def probe(
+    left: DataFrame,
+    right: DataFrame,
+    by: Sequence[str],
+    left_on: str,
+    right_on: str,
+    runs: Sequence[Run],
+    *,
+    width: int,
+    reach: int,
+    past: bool = True,
+    strict: bool = False,
+) -> DataFrame:
+    """Running values over the right rows of a key, read at the tick of each left row.
+
+    The right side alone decides what every block starts with: its blocks are reduced to
+    one row each, scanned over the key, and put into the following blocks as an opening
+    row.  The left side is then read once, in the same blocks, without a join.  A right
+    row is seen up to ``reach`` ticks away (choose the length of the time axis of a key).
+    """
+    by, names = list(by), [r.name for r in runs]
+    w = F.lit(float(width))
+    step = 1 if past else -1
+    tick = F.col(right_on).cast("bigint")
+    r = right.where(F.col(right_on).isNotNull()).select(*by, tick.alias("_t"), *[x.value.alias(f"_v_{x.name}") for x in runs])
+
+    def total(x: Run) -> Column:
+        v = F.col(f"_v_{x.name}")
+        if x.op != "last":
+            return _fold(x.op, v).alias(f"_v_{x.name}")
+        at = F.when(v.isNotNull(), F.col("_t"))
+        return (F.max_by if past else F.min_by)(v, at).alias(f"_v_{x.name}")
+
+    # one row per key and tick, then one per key and block
+    r = r.groupBy(*by, "_t").agg(*[total(x) for x in runs]).withColumn("_b", F.floor(F.col("_t") / w).cast("bigint"))
+    blocks = r.groupBy(*by, "_b").agg(*[total(x) for x in runs])
+    key = Window.partitionBy(*by).orderBy("_b")
+    upto = key.rowsBetween(Window.unboundedPreceding, 0) if past else key.rowsBetween(0, Window.unboundedFollowing)
+
+    def running(x: Run, over: Window) -> Column:
+        v = F.col(f"_v_{x.name}")
+        return _fold(x.op, v).over(over) if x.op != "last" else (F.last if past else F.first)(v, ignorenulls=True).over(over)
+
+    nxt = F.lead("_b").over(key) if past else F.lag("_b").over(key)
+    tail = F.col("_b") + step * (int(reach / width) + 1)
+    carry = blocks.select(*by, "_b", F.coalesce(nxt, tail).alias("_e"), *[running(x, upto).alias(f"_v_{x.name}") for x in runs])
+    carry = carry.withColumn("_b", F.explode(F.sequence(F.col("_b") + step, F.col("_e"), F.lit(step).cast("bigint"))))
+    carry = carry.select(*by, "_b", F.lit(None).cast("bigint").alias("_t"), F.lit(0).alias("_o"), *[f"_v_{n}" for n in names])
+    events = r.select(*by, "_b", "_t", F.lit(2 if strict else 1).alias("_o"), *[f"_v_{n}" for n in names])
+    lt = F.col(left_on).cast("bigint")
+    lost = lt.isNull()
+    for c in by:
+        lost = lost | F.col(c).isNull()
+    row = F.struct(*left.columns)
+    # rows without a key or tick match nothing; spread them instead of gathering them
+    home = F.when(lost, F.lit(-(2**40)) - F.pmod(F.xxhash64(*left.columns), F.lit(256))).otherwise(F.floor(lt / w).cast("bigint"))
+    probes = left.select(*by, home.alias("_b"), lt.alias("_t"), F.lit(1 if strict else 2).alias("_o"), row.alias("_l"))
+    both = carry.unionByName(events).unionByName(probes, allowMissingColumns=True)
+    order = [F.col("_o") != 0, F.col("_t"), F.col("_o")] if past else [F.col("_o") != 0, F.col("_t").desc(), F.col("_o")]
+    block = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+    def local(x: Run) -> Column:
+        v = F.col(f"_v_{x.name}")
+        return _fold(x.op, v).over(block) if x.op != "last" else F.last(v, ignorenulls=True).over(block)
+
+    out = both.withColumns({f"_r_{x.name}": local(x) for x in runs}).where(F.col("_o") == (1 if strict else 2)).where(F.col("_l").isNotNull())
+    return out.select("_l.*", *[F.col(f"_r_{n}").alias(n) for n in names])
+
+
 def asof(
     left: DataFrame,
     right: DataFrame,
@@ -121,6 +192,7 @@ def asof(
     cols: Sequence[str],
     *,
     width: int,
+    reach: int | None = None,
     direction: str = "backward",
     strict: bool = False,
     tolerance: int | None = None,
@@ -133,41 +205,30 @@ def asof(
     leaves equal ticks out.  ``right_tick`` names an output column for the matched tick.
     Rows without a match (or beyond ``tolerance``) get nulls.
     """
-    by, cols = list(by), list(cols)
-    found = right_tick or "_rt"
-    payload = F.struct(F.col(right_on).cast("bigint").alias("t"), *[F.col(c) for c in cols])
+    cols = list(cols)
+    reach = reach or (tolerance + width if tolerance is not None else REACH)
     rank = F.struct(*[F.col(c) for c in (list(tie) or cols)])
-    rows = right.where(F.col(right_on).isNotNull()).select(
-        *by, F.col(right_on).cast("bigint").alias("_t"), payload.alias("_p"), rank.alias("_r"))
-    rows = rows.groupBy(*by, "_t").agg(F.max_by("_p", "_r").alias("_p"))
-    # one probe row per (key, tick): many left rows on one tick do not reach the scan
-    probe = left.where(F.col(left_on).isNotNull()).select(*by, F.col(left_on).cast("bigint").alias("_t")).distinct()
-    both = rows.withColumn("_o", F.lit(0)).unionByName(probe.withColumn("_o", F.lit(1)), allowMissingColumns=True)
-    runs = []
+    payload = F.struct(F.col(right_on).cast("bigint").alias("t"), rank.alias("r"), *[F.col(c).alias(f"c_{c}") for c in cols])
+    # on equal ticks keep the greatest row, whichever way the scan runs
+    top = right.where(F.col(right_on).isNotNull()).groupBy(*by, right_on).agg(F.max(payload).alias("_p"))
+    out = left.drop(*[c for c in cols if c in left.columns and c not in by])
+    names = []
     if direction in ("backward", "nearest"):
-        runs.append(Run("_b", "last", F.col("_p")))
+        out, names = probe(out, top, by, left_on, right_on, [Run("_bk", "last", F.col("_p"))], width=width, reach=reach, strict=strict), ["_bk"]
     if direction in ("forward", "nearest"):
-        runs.append(Run("_f", "last", F.col("_p"), past=False))
-    # equal ticks: the right row (0) sorts before the probe (1) looking back, after it looking ahead
-    both = both.withColumns({
-        "_ob": F.when(F.col("_o") == 0, 1 if strict else 0).otherwise(0 if strict else 1),
-        "_of": F.when(F.col("_o") == 0, 0 if strict else 1).otherwise(1 if strict else 0)})
-    hit = both
-    for r in runs:
-        hit = scan(hit, by, ["_t", "_ob" if r.past else "_of"], [r], width)
-    hit = hit.where(F.col("_o") == 1)
+        out = probe(out, top, by, left_on, right_on, [Run("_fw", "last", F.col("_p"))], width=width, reach=reach, past=False, strict=strict)
+        names.append("_fw")
+    t = F.col(left_on).cast("bigint")
+    pick = F.col(names[0])
     if direction == "nearest":
-        dt_b, dt_f = F.col("_t") - F.col("_b.t"), F.col("_f.t") - F.col("_t")
-        pick = F.when(F.col("_f").isNull() | (dt_b <= dt_f), F.col("_b")).otherwise(F.col("_f"))
-        pick = F.when(F.col("_b").isNull(), F.col("_f")).otherwise(pick)
-    else:
-        pick = F.col("_b") if direction == "backward" else F.col("_f")
-    hit = hit.withColumn("_m", pick)
+        back = F.col("_fw").isNull() | ((t - F.col("_bk.t")) <= (F.col("_fw.t") - t))
+        pick = F.when(F.col("_bk").isNotNull() & back, F.col("_bk")).otherwise(F.col("_fw"))
+    out = out.withColumn("_m", pick)
     if tolerance is not None:
-        hit = hit.withColumn("_m", F.when(F.abs(F.col("_t") - F.col("_m.t")) <= tolerance, F.col("_m")))
-    hit = hit.select(*by, F.col("_t").alias(left_on), F.col("_m.t").alias(found), *[F.col(f"_m.{c}").alias(c) for c in cols])
-    out = left.withColumn(left_on, F.col(left_on).cast("bigint")).join(hit, by + [left_on], "left")
-    return out if right_tick else out.drop("_rt")
+        out = out.withColumn("_m", F.when(F.abs(t - F.col("_m.t")) <= tolerance, F.col("_m")))
+    extra = {right_tick: F.col("_m.t")} if right_tick else {}
+    out = out.withColumns({**{c: F.col(f"_m.c_{c}") for c in cols}, **extra})
+    return out.drop("_m", *names)
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: dict[str, str], width: int, past: bool = True) -> DataFrame:
@@ -177,29 +238,46 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: dic
     return out.withColumns({n: F.col(f"_row.{n}") for n in cols}).drop("_row")
 
 
-def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], starts: Column, name: str, width: int) -> DataFrame:
-    """Number the runs of a key: a row where ``starts`` is true opens a new one (0-based)."""
-    flag = F.when(starts, 1).otherwise(0)
-    out = scan(df, keys, order, [Run(name, "sum", flag)], width)
-    return out.withColumn(name, F.col(name) - 1)
-
+def segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], starts: Callable[[Column, Column], Column],
+             name: str, width: int) -> DataFrame:
+    """Split the rows of a key in runs: ``starts(row, previous row)`` opens a new one.
 
-def sessionize(df: DataFrame, keys: Sequence[str], tick: str, gap: float, name: str, width: int,
-               tie: Sequence[str] = (), strict: bool = False) -> DataFrame:
-    """Number gap sessions: a distance to the previous row of at least ``gap`` opens a new one.
-
-    ``strict`` opens it only beyond the gap.  The scan runs on distinct ticks.
+    ``name`` becomes the order value of the run's first row.  Runs are found inside blocks;
+    one row per block then decides whether a block continues the run before it.
     """
-    ticks = df.select(*keys, tick).distinct()
-    ticks = scan(ticks, keys, [tick], [Run("_prev", "max", F.col(tick), inclusive=False)], width)
-    d = F.col(tick) - F.col("_prev")
-    ticks = islands(ticks, keys, [tick], F.col("_prev").isNull() | ((d > gap) if strict else (d >= gap)), name, width)
-    return df.join(ticks.drop("_prev"), list(keys) + [tick], "inner")
-
-
-def chain_spans(df: DataFrame, keys: Sequence[str], start: str, end: str, name: str, width: int,
-                joins=None) -> DataFrame:
-    """Number chains of spans in start order.
+    keys, order = list(keys), list(order)
+    first = order[0] if len(order) == 1 else None
+    pos = F.col(first) if first else F.struct(*order)
+    row = F.struct(*dict.fromkeys([*cols, *order]))
+    df = df.withColumn(BLOCK, F.floor(F.col(order[0]) / F.lit(float(width))).cast("bigint")).withColumns({"_s_w": row, "_s_k": pos})
+    part = keys + [BLOCK]
+    inner = Window.partitionBy(*part).orderBy(*order)
+    prev = F.lag("_s_w").over(inner)
+    new = F.when(prev.isNotNull() & F.coalesce(starts(F.col("_s_w"), prev), F.lit(False)), F.col("_s_k"))
+    df = df.withColumn("_s_new", new)
+    blocks = df.groupBy(*part).agg(
+        F.min_by("_s_w", "_s_k").alias("_s_fw"), F.min("_s_k").alias("_s_fk"), F.max_by("_s_w", "_s_k").alias("_s_lw"), F.max("_s_new").alias("_s_ln"))
+    over = Window.partitionBy(*keys).orderBy(BLOCK)
+    last = F.lag("_s_lw").over(over)
+    opens = last.isNull() | F.coalesce(starts(F.col("_s_fw"), last), F.lit(False))
+    blocks = blocks.withColumn("_s_open", F.when(opens, F.col("_s_fk")))
+    newest = F.coalesce("_s_ln", "_s_open")
+    carry = F.last(newest, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.withColumn("_s_head", F.coalesce(F.col("_s_open"), carry)).select(*part, "_s_head")
+    seen = F.last("_s_new", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    out = df.withColumn("_s_seg", seen).join(blocks, part)
+    return out.withColumn(name, F.coalesce("_s_seg", "_s_head")).drop(BLOCK, "_s_w", "_s_k", "_s_new", "_s_seg", "_s_head")
+
+
+def sessionize(df: DataFrame, keys: Sequence[str], tick: str, gap: float, name: str, width: int, tie: Sequence[str] = ()) -> DataFrame:
+    """Gap sessions: a distance to the previous row of at least ``gap`` opens a new one."""
+    order = [tick, *tie]
+    out = segments(df, keys, order, [tick], lambda c, p: c[tick] - p[tick] >= gap, name, width)
+    return out.withColumn(name, F.col(f"{name}.{tick}")) if tie else out
+
+
+def chain_spans(df: DataFrame, keys: Sequence[str], start: str, end: str, name: str, width: int, joins=None) -> DataFrame:
+    """Chains of spans in start order; ``name`` becomes the first start of the chain.
 
     ``joins(start, prev_start, max_end)`` says whether a span belongs to the open chain;
     by default it starts at or before the greatest end so far.  Spans with one start are
@@ -207,10 +285,8 @@ def chain_spans(df: DataFrame, keys: Sequence[str], start: str, end: str, name:
     """
     joins = joins or (lambda s, p, e: s <= e)
     ticks = df.groupBy(*keys, start).agg(F.max(end).alias("_e"))
-    runs = [Run("_ps", "max", F.col(start), inclusive=False), Run("_me", "max", F.col("_e"), inclusive=False)]
-    ticks = scan(ticks, keys, [start], runs, width)
-    new = F.col("_ps").isNull() | ~joins(F.col(start), F.col("_ps"), F.col("_me"))
-    ticks = islands(ticks, keys, [start], new, name, width)
+    ticks = scan(ticks, keys, [start], [Run("_me", "max", F.col("_e"), inclusive=False)], width)
+    ticks = segments(ticks, keys, [start], [start, "_me"], lambda c, p: ~joins(c[start], p[start], c["_me"]), name, width)
     return df.join(ticks.select(*keys, start, name), list(keys) + [start], "inner")
 
 

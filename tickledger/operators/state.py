@@ -20,7 +20,7 @@ from ..functions.ids import player_id_hash
 from ..functions.weapons import NADE_FIELDS, grenade_count, weapon_class
 from .feed import ROUND, Feed
 from .sampling import roster, slots, with_terminal
-from .scan import Run, asof, range_join, scan
+from .scan import Run, asof, durable, probe, range_join
 
 SAMPLE = ROUND + ["tick"]
 PLAYER = ROUND + ["steamid"]
@@ -77,17 +77,14 @@ def track(feed: Feed, samples: DataFrame, rounds: DataFrame, players: DataFrame)
     other = known.select(*ROUND, F.col("steamid").alias("victim_steamid"), F.col("side").alias("_vs"))
     hits = feed["damages"].withColumn("steamid", F.col("attacker_steamid")).join(known, PLAYER).join(other, [*ROUND, "victim_steamid"])
     hits = hits.where(F.col("side") != F.col("_vs")).select(*PLAYER, "tick", F.coalesce("dmg_health", F.lit(0)).cast("double").alias("damage"))
-    probe = samples.select(*SAMPLE).join(players.select(*PLAYER), ROUND).withColumn("_probe", F.lit(1))
-    both = probe
-    for part in (rows, shots, blinds, kills, hits):
-        both = both.unionByName(part, allowMissingColumns=True)
-    both = both.withColumn("_probe", F.coalesce("_probe", F.lit(0)))
-    runs = [Run("r_row", "last", F.col("row")), Run("r_live", "last", F.col("live")), Run("r_seen", "max", F.col("seen")),
-            Run("r_fire", "max", F.col("fire")), Run("r_blind", "max", F.col("blind_until")),
-            Run("r_kills", "sum", F.col("n_kills")), Run("r_damage", "sum", F.col("damage"))]
-    out = scan(both, PLAYER, ["tick", "_probe"], runs, feed.width).where("_probe = 1")
-    out = out.select(*PLAYER, "tick", *[F.col(f"r_{n}").alias(n) for n in ("row", "live", "seen", "fire", "blind", "kills", "damage")])
-    return out.join(players.select(*PLAYER, "side", "slot"), PLAYER)
+    seen_rows = rows
+    for part in (shots, blinds, kills, hits):
+        seen_rows = seen_rows.unionByName(part, allowMissingColumns=True)
+    runs = [Run("row", "last", F.col("row")), Run("live", "last", F.col("live")), Run("seen", "max", F.col("seen")),
+            Run("fire", "max", F.col("fire")), Run("blind", "max", F.col("blind_until")),
+            Run("kills", "sum", F.col("n_kills")), Run("damage", "sum", F.col("damage"))]
+    left = samples.select(*SAMPLE).join(players.select(*PLAYER, "side", "slot"), ROUND)
+    return probe(left, seen_rows, PLAYER, "tick", "tick", runs, width=feed.width, reach=feed.reach)
 
 
 # utility
@@ -155,7 +152,7 @@ def sounds(feed: Feed, players: DataFrame) -> DataFrame:
     """Shots (at the shooter's position then) and footsteps of the roster."""
     pos = feed["ticks"].select(*PLAYER, F.col("tick").alias("_pt"), "x", "y", "z")
     shots = feed.in_round("weapon_fire", "tick").select(*PLAYER, "tick")
-    shots = asof(shots, pos, PLAYER, "tick", "_pt", ["x", "y", "z"], width=feed.width)
+    shots = asof(shots, pos, PLAYER, "tick", "_pt", ["x", "y", "z"], width=feed.width, reach=feed.reach)
     steps = feed.in_round("footsteps", "tick").select(*PLAYER, "tick", "x", "y", "z")
     out = shots.select(*PLAYER, "tick", "x", "y", "z").unionByName(steps).join(players.select(*PLAYER, "side"), PLAYER)
     return out.where("x is not null and y is not null and z is not null")
@@ -263,7 +260,7 @@ def bomb_state(feed: Feed, samples: DataFrame) -> DataFrame:
     d = b.where(F.col("event").isin("defuse_start", *DEFUSE_END)).select(
         *ROUND, F.col("tick").alias("_dt"), F.col("event").alias("_ev"), F.col("steamid").alias("_who"),
         flag(_opt(b, "has_kit", "boolean")).alias("_kit"))
-    s = asof(samples.select(*SAMPLE), d, ROUND, "tick", "_dt", ["_ev", "_who", "_kit"], width=feed.width)
+    s = asof(samples.select(*SAMPLE), d, ROUND, "tick", "_dt", ["_ev", "_who", "_kit"], width=feed.width, reach=feed.reach)
     s = s.join(plant, ROUND, "left")
     planted = F.col("_pl.tick") <= F.col("tick")
     open_ = F.col("_ev") == "defuse_start"
@@ -382,11 +379,16 @@ class States:
 
 
 def build(feed: Feed, samples: DataFrame, tier: str = "pro") -> States:
-    """State tables of every sample of the feed."""
+    """State tables of every sample of the feed.
+
+    The samples, the tokens and the utility are each read many times, so they are cut from
+    their lineage first.
+    """
+    samples = durable(samples)
     rounds = with_terminal(feed["rounds"], feed["ticks"])
     players = roster(feed["ticks"], rounds)
-    util = utility_tokens(feed, samples, rounds, players)
-    toks = state_players(feed, samples, rounds, players, util, tier)
+    util = durable(utility_tokens(feed, samples, rounds, players))
+    toks = durable(state_players(feed, samples, rounds, players, util, tier))
     ctx = state_ctx(feed, samples, rounds, toks, util, tier)
     return States(samples, toks, util, ctx, state_pairs(feed, toks, util))
 
@@ -416,7 +418,7 @@ def attach_labels(feed: Feed, states: States) -> DataFrame:
     d = feed["damages"].where(F.col("attacker_steamid") != F.col("victim_steamid"))
     d = d.join(a, [*ROUND, "attacker_steamid"], "left").join(v, [*ROUND, "victim_steamid"], "left").where(~F.col("_sa").eqNullSafe(F.col("_sv")))
     eng = d.select(*ROUND, F.col("tick").alias("_e")).unionByName(kills.select(*ROUND, F.col("tick").alias("_e"))).distinct()
-    s = asof(states.samples, eng, ROUND, "tick", "_e", ["_e"], width=feed.width, direction="forward")
+    s = asof(states.samples, eng, ROUND, "tick", "_e", [], width=feed.width, reach=feed.reach, direction="forward", right_tick="_e")
     s = s.join(ev("plant_complete", "_plant"), ROUND, "left").join(ev("defuse_complete", "_def"), ROUND, "left")
     s = s.join(feed["rounds"].select(*ROUND, "winner_side", "end_reason"), ROUND, "left").join(hz, SAMPLE, "left")
     cap = L["engagement_cap_s"]

@@ -123,7 +123,7 @@ def feed(spark: SparkSession, sf_dir: str) -> Feed:
         "smokes": smokes, "infernos": infernos, "flashes": flashes, "bomb": bomb, "weapon_fire": fire,
         "footsteps": steps, "items": items,
     }
-    return Feed(tables, tick_rate=128, width=WIDTH)
+    return Feed(tables, tick_rate=128, width=WIDTH, reach=100_000)
 
 
 def _sql_pick(names: list[str], i: str) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import normalize as N
 from ..operators import sampling as C
-from ..operators.scan import asof, cumulative, sessionize
+from ..operators.scan import Run, cumulative, probe, sessionize
 from .projection import WIDTH, events, feed, rounds, with_sql
 from .registry import query, table
 
@@ -46,14 +46,20 @@ ON d.match_key = k.match_key AND d.round_num = k.round_num AND d.attacker_steami
 def running_totals_asof(spark: SparkSession, sf: str) -> DataFrame:
     """Kills and their running total known at each hit."""
     f = feed(spark, sf)
-    by = [*ROUND, "attacker_steamid"]
-    n = cumulative(f["kills"], by, "tick", None, "kills_so_far", WIDTH)
-    total = cumulative(f["kills"], by, "tick", F.col("event_id") % 100, "dealt_so_far", WIDTH)
-    run = n.join(total, [*by, "tick"]).withColumnRenamed("tick", "kt")
-    out = asof(f["damages"], run, by, "tick", "kt", ["kills_so_far", "dealt_so_far"], width=WIDTH)
+    runs = [Run("kills_so_far", "sum", F.lit(1)), Run("dealt_so_far", "sum", F.col("event_id") % 100)]
+    out = probe(f["damages"], f["kills"], [*ROUND, "attacker_steamid"], "tick", "tick", runs, width=WIDTH, reach=100_000)
     return out.select("event_id", "kills_so_far", "dealt_so_far")
 
 
+@query("cumulative_per_tick", with_sql("""
+SELECT match_key, round_num, attacker_steamid, tick, CAST(sum(n) OVER (PARTITION BY match_key, round_num, attacker_steamid ORDER BY tick) AS BIGINT) AS dealt
+FROM (SELECT match_key, round_num, attacker_steamid, tick, sum(dmg_health) AS n FROM damages GROUP BY ALL)"""))
+def cumulative_per_tick(spark: SparkSession, sf: str) -> DataFrame:
+    """Damage dealt so far, one row per player and tick."""
+    d = feed(spark, sf)["damages"]
+    return cumulative(d, [*ROUND, "attacker_steamid"], "tick", F.col("dmg_health"), "dealt", WIDTH)
+
+
 @query("interval_pairing", with_sql("""
 SELECT s.event_id, s.tick AS start_tick, coalesce(min(e.tick), any_value(r.official_end_tick)) AS end_tick
 FROM ev s JOIN rounds r USING (match_key, round_num)
@@ -74,7 +80,7 @@ def interval_pairing(spark: SparkSession, sf: str) -> DataFrame:
 WITH k AS (SELECT CAST(props->>'$.k' AS BIGINT) AS ent, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS tick, value, event_id FROM events),
 p AS (SELECT *, lag(tick) OVER (PARTITION BY ent ORDER BY tick, event_id) AS pt FROM k),
 s AS (SELECT *, sum(CASE WHEN pt IS NULL OR tick - pt > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY ent ORDER BY tick, event_id) - 1 AS seg FROM p)
-SELECT ent, CAST(seg AS BIGINT) AS segment, count(*) AS n, min(tick) AS first_tick, max(tick) AS last_tick,
+SELECT ent, min(tick) AS segment, count(*) AS n, min(tick) AS first_tick, max(tick) AS last_tick,
   arg_max(value, tick * 1000000000 + event_id) AS last_value FROM s GROUP BY ent, seg""")
 def collapse_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of an entity to segments split at gaps, with first and last tick and last value."""
