@@ -19,7 +19,7 @@ from ..functions.exprs import dist, known_sum, loadout_class
 from ..functions.weapons import NADE_FIELDS, grenade_count, primary_class, short_name, weapon_class
 from .feed import ROUND, Feed
 from .sampling import all_sides, check_round, with_terminal
-from .scan import asof, greedy_match, range_join, sessionize
+from .scan import asof, durable, greedy_match, range_join, sessionize
 
 PID = ids.player_id_hash
 FIRE_WEAPONS = ["molotov", "incgrenade", "inferno"]
@@ -34,8 +34,8 @@ class Context:
 
     def __init__(self, feed: Feed):
         self.feed = feed
-        self.rounds = with_terminal(feed["rounds"], feed["ticks"])
-        self.sides = all_sides(feed["ticks"], self.rounds)
+        self.rounds = durable(with_terminal(feed["rounds"], feed["ticks"]))
+        self.sides = durable(all_sides(feed["ticks"], self.rounds))
 
     def with_side(self, df: DataFrame, who: str, name: str, how: str = "left") -> DataFrame:
         side = self.sides.select(*ROUND, F.col("steamid").alias(who), F.col("side").alias(name))
@@ -485,10 +485,13 @@ def register(name: str, fn: Callable[[Context], DataFrame]) -> None:
 
 
 def extract_events(feed: Feed) -> DataFrame:
-    """Every action readable from the raw tables alone, pseudo-actions included."""
+    """Every action readable from the raw tables alone, pseudo-actions included.
+
+    The extractors share no work, so each one's (small) result is cut from its lineage.
+    """
     c = Context(feed)
-    parts = [to_actions(fn(c)) for fn in EVENT_EXTRACTORS.values()]
-    buys = extract_buys(c)
+    parts = [durable(to_actions(fn(c))) for fn in EVENT_EXTRACTORS.values()]
+    buys = durable(extract_buys(c))
     parts += [to_actions(buys), to_actions(team_buys(buys))]
     out = parts[0]
     for p in parts[1:]:

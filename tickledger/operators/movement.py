@@ -10,7 +10,7 @@ from ..functions.exprs import dist
 from .actions import PID, Context, durative, instant
 from .feed import ROUND
 from .sampling import GRID
-from .scan import Run, asof, chain_spans, previous, range_join, scan, segments
+from .scan import Run, asof, chain_spans, durable, previous, range_join, scan, segments
 from .state import SAMPLE, States
 
 PLAYER = ROUND + ["steamid"]
@@ -146,13 +146,13 @@ def bomb_position(c: Context, probes: DataFrame, tick: str) -> DataFrame:
 def extract_rotations(c: Context, st: States) -> DataFrame:
     """Moves between settled stays whose callouts are at least ``rotation_min_units`` apart."""
     rate = c.feed.tick_rate
-    g = alive_prefix(grid_players(c, st).where("steamid is not null"), c.feed.width)
+    g = durable(alive_prefix(grid_players(c, st).where("steamid is not null"), c.feed.width))
     s = rotation_spans(stays(g, PLAYER, "callout", c.feed.width), PLAYER, "callout", c.feed.ticks_in(S.ACTIONS["rotation_dwell_s"]), c.feed.width)
     cen = callout_centroids(grid_players(c, st))
     end = lambda n, k: cen.select("match_key", F.col("callout").alias(k), *[F.col(p).alias(f"{n}{p}") for p in ("x", "y", "z", "nav_area")])
     s = s.withColumnRenamed("callout", "to_place").join(end("a", "from_place"), ["match_key", "from_place"], "left").join(end("b_", "to_place"), ["match_key", "to_place"], "left")
     s = nav_or_dist(c, s, "a", "b_", "units").where(F.col("units") >= S.ACTIONS["rotation_min_units"])
-    s = s.select(*PLAYER, "from_place", "to_place", "from_tick", F.col("first_tick").alias("to_tick"), "units")
+    s = durable(s.select(*PLAYER, "from_place", "to_place", "from_tick", F.col("first_tick").alias("to_tick"), "units"))
     for n, t in (("_d0", "from_tick"), ("_d1", "to_tick")):
         here = g.select(*PLAYER, F.col("tick").alias(t), "side", *[F.col(p).alias(f"p{p}") for p in ("x", "y", "z", "nav_area")])
         s = s.drop("side").join(here, [*PLAYER, t]).join(bomb_position(c, s, t), [*ROUND, t], "left")
@@ -209,10 +209,10 @@ def retreat_spans(rows: DataFrame, keys: list[str], dist_: str, ref: str, window
         m = m.withColumn("_s1", F.col("_s") + 1)
         hot = range_join(m, shots, keys, "_s1", "_e", "shot", max(window, 64)).select(*keys, "_s").distinct()
         m = m.join(hot, [*keys, "_s"], "left_anti").drop("_s1")
-    m = chain_spans(m, keys, "_s", "_e", "_n", width)
+    m = chain_spans(durable(m), keys, "_s", "_e", "_n", width)
     spans = m.groupBy(*keys, "_n").agg(F.min("_s").alias("_lo"), F.max("_e").alias("_hi"))
     lead_ref = rows.select(*keys, F.col("tick").alias("_lo"), F.col(ref).alias("_lr"))
-    spans = spans.join(lead_ref, [*keys, "_lo"])
+    spans = durable(spans.join(lead_ref, [*keys, "_lo"]))
     inside = range_join(spans, rows.select(*keys, "tick", F.col(dist_).alias("_d"), F.col(ref).alias("_r")), keys, "_lo", "_hi", "tick", width)
     inside = inside.where((F.col("_r") == F.col("_lr")) & F.col("_d").isNotNull())
     k = [*keys, "_n"]
@@ -228,7 +228,7 @@ def extract_saves(c: Context, st: States) -> DataFrame:
     plant = feed["bomb"].where(F.col("event") == "plant_complete").groupBy(*ROUND).agg(F.min("tick").alias("_plant"))
     b = c.rounds.join(plant, ROUND, "left").select(*ROUND, "_plant", F.least(F.col("_plant"), F.col("freeze_end_tick") + late).alias("_from"))
     g = grid_players(c, st)
-    ph = alive_prefix(g.where("steamid is not null").join(b, ROUND).where(F.col("tick") >= F.col("_from")), feed.width)
+    ph = durable(alive_prefix(g.where("steamid is not null").join(b, ROUND).where(F.col("tick") >= F.col("_from")), feed.width))
     ph = ph.withColumn("_after", F.coalesce(F.col("tick") >= F.col("_plant"), F.lit(False)))
     bp = bomb_position(c, ph.where("_after"), "tick")
     planted = ph.where("_after").select(*PLAYER, "tick", *[F.col(p).alias(f"p{p}") for p in ("x", "y", "z", "nav_area")]).join(bp, SAMPLE)
@@ -241,7 +241,7 @@ def extract_saves(c: Context, st: States) -> DataFrame:
     enemy = pr.groupBy(*SAMPLE, "slot").agg(F.min("d").alias("d"))
     before = ph.where(~F.col("_after")).select(*PLAYER, "tick", "slot").join(enemy, [*SAMPLE, "slot"], "left").select(*PLAYER, "tick", "d", F.lit("enemy").alias("ref"))
     shots = feed.in_round("weapon_fire", "tick").select(*PLAYER, F.col("tick").alias("shot"))
-    s = retreat_spans(planted.unionByName(before), PLAYER, "d", "ref", feed.ticks_in(S.ACTIONS["save_window_s"]), S.ACTIONS["save_min_units"], shots, feed.width)
+    s = retreat_spans(durable(planted.unionByName(before)), PLAYER, "d", "ref", feed.ticks_in(S.ACTIONS["save_window_s"]), S.ACTIONS["save_min_units"], shots, feed.width)
     one = lambda t, n: g.select(*PLAYER, F.col("tick").alias(t), F.col("callout").alias(n), *(["side"] if n == "from_callout" else []))
     s = s.join(one("start_tick", "from_callout"), [*PLAYER, "start_tick"]).join(one("end_tick", "to_callout"), [*PLAYER, "end_tick"])
     mates = g.where("alive = 1").groupBy(*ROUND, F.col("tick").alias("start_tick"), "side").agg((F.count(F.lit(1)) - 1).alias("teammates_alive"))
