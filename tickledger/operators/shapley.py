@@ -13,13 +13,18 @@ from .. import settings as S
 MAX_BITS = 62
 
 
+def _bit(i: Column) -> Column:
+    """1 shifted left by a column of positions, as bigint."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), i.cast("int"))
+
+
 def _factorials(n: int) -> Column:
     return F.array(*[F.lit(float(math.factorial(i))) for i in range(n + 1)])
 
 
 def all_masks(games: DataFrame, n: str = "n") -> DataFrame:
     """Every coalition of each game as a bitmask: 2^n rows of a game with n members."""
-    return games.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("bigint"), F.shiftleft(F.lit(1).cast("bigint"), F.col(n).cast("int")) - 1)))
+    return games.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("bigint"), _bit(F.col(n)) - 1)))
 
 
 def exact(values: DataFrame, game: Sequence[str], n: str, v: str = "v") -> DataFrame:
@@ -57,8 +62,7 @@ def permutations(games: DataFrame, game: Sequence[str], n: str, samples: int | N
 
 def prefixes(perms: DataFrame, game: Sequence[str], n: str) -> DataFrame:
     """Coalition before and after each member joins, in each order: ``game, perm, bit, mask0, mask1``."""
-    one = F.lit(1).cast("bigint")
-    upto = lambda k: F.aggregate(F.slice("o", 1, k), F.lit(0).cast("bigint"), lambda m, b: m.bitwiseOR(F.shiftleft(one, b)))
+    upto = lambda k: F.aggregate(F.slice("o", 1, k), F.lit(0).cast("bigint"), lambda m, b: m.bitwiseOR(_bit(b)))
     steps = F.transform(F.sequence(F.lit(1), F.size("o")), lambda k: F.struct(F.element_at("o", k).alias("bit"), upto(k - 1).alias("mask0"), upto(k).alias("mask1")))
     return perms.select(*game, n, "perm", F.explode(steps).alias("_s")).select(*game, n, "perm", "_s.bit", "_s.mask0", "_s.mask1")
 
@@ -106,7 +110,7 @@ def shapley(games: DataFrame, values: DataFrame, game: Sequence[str], n: str = "
     small = exact(vals.where(F.col(n) <= limit), game, n, v).withColumns({"method": F.lit("exact"), "residual": F.lit(0.0)})
     big = vals.where(F.col(n) > limit)
     phi = sampled(games.where(F.col(n) > limit), big, game, n, v)
-    full = F.shiftleft(F.lit(1).cast("bigint"), F.col(n).cast("int")) - 1
+    full = _bit(F.col(n)) - 1
     tot = big.groupBy(*game).agg((F.max(F.when(F.col("mask") == full, F.col(v))) - F.max(F.when(F.col("mask") == 0, F.col(v)))).alias("total"))
     many = enforce_efficiency(phi, tot, game).withColumn("method", F.lit("sampled"))
     return small.unionByName(many.select(small.columns))
@@ -115,10 +119,9 @@ def shapley(games: DataFrame, values: DataFrame, game: Sequence[str], n: str = "
 def leave_one_out(values: DataFrame, game: Sequence[str], n: str, v: str = "v") -> DataFrame:
     """v(all) - v(all without the member), spread to v(all) - v(none)."""
     game = list(game)
-    one = F.lit(1).cast("bigint")
-    full = F.shiftleft(one, F.col(n).cast("int")) - 1
+    full = _bit(F.col(n)) - 1
     ends = values.groupBy(*game).agg(F.max(F.when(F.col("mask") == full, F.col(v))).alias("_all"), F.max(F.when(F.col("mask") == 0, F.col(v))).alias("_none"))
     bits = values.withColumn("bit", F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1)))
-    bits = bits.where(F.col("mask") == full - F.shiftleft(one, F.col("bit"))).join(ends, game)
+    bits = bits.where(F.col("mask") == full - _bit(F.col("bit"))).join(ends, game)
     phi = bits.select(*game, "bit", (F.col("_all") - F.col(v)).alias("phi"))
     return enforce_efficiency(phi, ends.withColumn("total", F.col("_all") - F.col("_none")), game)
