@@ -40,11 +40,11 @@ def _fresh(df: DataFrame) -> DataFrame:
 
 
 def _pivots(index: DataFrame, group: Sequence[str]) -> DataFrame:
-    """About ``PIVOTS`` vectors per group, picked by hash; at least one."""
+    """One vector per ``BLOCK_ROWS`` rows of a group, about ``PIVOTS`` at most, picked by hash; at least one."""
     n = index.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.min(F.xxhash64("id")).alias("_low"))
     h = F.xxhash64("id")
-    # one row in n / PIVOTS by hash; the lowest hash is always taken
-    pick = (F.pmod(h, F.greatest(F.lit(1), F.floor(F.col("_n") / PIVOTS).cast("bigint"))) == 0) | (h == F.col("_low"))
+    # the lowest hash is always taken, so a small group has one cell
+    pick = (F.pmod(h, F.greatest(F.lit(BLOCK_ROWS), F.floor(F.col("_n") / PIVOTS).cast("bigint"))) == 0) | (h == F.col("_low"))
     p = index.join(n, list(group)).where(pick)
     rn = F.row_number().over(Window.partitionBy(*group).orderBy(h, "id"))
     return p.withColumn("pivot", rn - 1).select(*group, "pivot", F.col("vec").alias("pvec"))

@@ -29,14 +29,14 @@ def knn_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("knn_panel", f"""WITH {EMB}, g AS (SELECT qid, CAST(dk AS VARCHAR) AS key, count(*) AS n, avg(V) AS mv FROM n GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, key) AS pos FROM g)
-SELECT qid, key, n, CAST(pos AS INT) AS pos, round(mv, 6) AS mean_V, n / 20.0::DOUBLE AS freq FROM r WHERE pos <= 3""")
+r AS (SELECT *, sum(n) OVER (PARTITION BY qid) AS t, row_number() OVER (PARTITION BY qid ORDER BY n DESC, key) AS pos FROM g)
+SELECT qid, key, n, CAST(pos AS INT) AS pos, round(mv, 6) AS mean_V, round(n / CAST(t AS DOUBLE), 6) AS freq FROM r WHERE pos <= 3""")
 def knn_panel(spark: SparkSession, sf: str) -> DataFrame:
     """The three most frequent actions of the neighbours."""
     e = _emb(spark, sf)
     n = K.knn_cosine(e, e, ["map", "side"], 20, "mk")
     entries, _ = K.panels(n, e.select("id", "action_id", "descriptor_key", "V"), top=3)
-    return entries.select("qid", "key", "n", "pos", F.round("mean_V", 6).alias("mean_V"), "freq")
+    return entries.select("qid", "key", "n", "pos", F.round("mean_V", 6).alias("mean_V"), F.round("freq", 6).alias("freq"))
 
 
 @query("ood_threshold", """
