@@ -44,7 +44,7 @@ def samples(events: DataFrame, drifts: DataFrame, n_events: int | None = None, n
 
 
 def _orient() -> Column:
-    """Sign in which W must move for the edited side: the victim's, the blinded side's, the other side of a smoke, T for a plant."""
+    """Sign of the side the edit is judged for: the victim's, the blinded side's, the other side of a smoke, T for a plant."""
     a = F.get("members", F.lit(0))
     victim = F.try_element_at(F.filter("post.players", lambda p: p["player_id"] == a["victim"]), F.lit(1))["side"]
     sign = lambda s: F.when(s == "ct", 1.0).otherwise(-1.0)
@@ -72,7 +72,7 @@ def report(cases: DataFrame) -> DataFrame:
     s, d = F.col("signed"), F.when(ok, F.col("delta"))
     r = cases.groupBy("kind").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(~ok).alias("n_errors"), rate(s > 0).alias("toward_rate"), F.median(F.abs(d)).alias("median_abs"), rate(s >= G["smoke_floor"]).alias("smoke_floor_rate"),
-        rate(F.abs("delta") <= G["smoke_max_abs"]).alias("smoke_calm_rate"), rate(s >= G["unflash_floor"]).alias("unflash_rate"), rate(F.col("delta") < 0).alias("down_rate"),
+        rate(F.abs("delta") <= G["smoke_max_abs"]).alias("smoke_calm_rate"), rate(s >= G["unflash_floor"]).alias("unflash_rate"), rate(s < 0).alias("down_rate"),
         rate(F.abs("delta") <= G["freeze_max_abs"]).alias("freeze_calm_rate"), F.avg(d).alias("mean_dw"), rate(F.col("identical")).alias("identical_rate"))
     rules = {
         "kill": (F.col("toward_rate") >= G["unkill_toward_rate"]) & (F.col("median_abs") >= G["unkill_median_abs"]),
@@ -89,7 +89,7 @@ def report(cases: DataFrame) -> DataFrame:
 def worst(cases: DataFrame, n: int | None = None) -> DataFrame:
     """The cases of each test that behave worst."""
     n = n or G["n_worst"]
-    bad = F.when(F.col("kind") == "plant", -F.col("delta")).when(F.col("kind") == "freeze", -F.abs("delta")).when(F.col("kind") == "order", F.col("identical").cast("double")).otherwise(F.col("signed"))
+    bad = F.when(F.col("kind") == "plant", -F.col("signed")).when(F.col("kind") == "freeze", -F.abs("delta")).when(F.col("kind") == "order", F.col("identical").cast("double")).otherwise(F.col("signed"))
     c = cases.withColumns({"_b": bad, "_p": F.pmod(F.xxhash64("case_key"), F.lit(64))})
     rn = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy("_b", "case_key"))
     c = c.withColumn("pos", rn("kind", "_p")).where(F.col("pos") <= n)

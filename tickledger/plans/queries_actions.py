@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import actions as A
 from ..operators import windows as W
+from ..operators.scan import durable
 from .projection import WIDTH, feed, with_sql
 from .registry import query
 
@@ -42,7 +43,7 @@ SELECT match_key, round_num, min(tick) - 1 AS start_tick, max(tick) + 1 AS end_t
 def engagement_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Engagements whose first hits are close in time, with their totals."""
     f = feed(spark, sf)
-    e = A.engagements(f["damages"], f["kills"], 40000, WIDTH).withColumns({
+    e = durable(A.engagements(f["damages"], f["kills"], 40000, WIDTH)).withColumns({
         "action_id": F.concat_ws(":", "attacker_steamid", "victim_steamid", "tick"), "kind": F.lit("instant"),
         "state_post_tick": F.lit(None).cast("bigint")})
     w = W.group(e, None, WIDTH, sim=600)

@@ -88,7 +88,8 @@ FROM h LEFT JOIN (SELECT *, max(CASE WHEN bh = ah AND coalesce(w, 'ct') = 'ct' T
 def past_round_context(spark: SparkSession, sf: str) -> DataFrame:
     """Score and loss streak entering each round, with side swaps."""
     f = feed(spark, sf)
-    r = f["rounds"].withColumn("end_tick", F.col("start_tick") - 1 + F.lit(0)).withColumn("end_tick", F.lit(0))
+    # every earlier round counts as finished
+    r = f["rounds"].withColumn("end_tick", F.lit(0))
     return D.past_rounds(r).select(*ROUND, "past_ct", "past_t", "loss_streak_ct")
 
 
