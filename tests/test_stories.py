@@ -105,8 +105,10 @@ def test_gate_passes_a_sound_rule_and_fails_its_reverse(run):
     assert not bad["unkill"]["passed"] and not bad["unplant"]["passed"]
 
 
-def test_outcome_flip_changes_no_feature(feed):
-    smp = durable(C.default_samples(feed, hz=0.5))
+def test_outcome_flip_changes_no_feature(spark):
+    feed = story_feed(spark, ["flash"], 64)
+    rounds = C.with_terminal(feed["rounds"])
+    smp = durable(C.grid_ticks(rounds, 128, 0.25).withColumns({"kinds": F.array(F.lit("grid")), "t_s": F.lit(0.0)}))
     a = D.build(feed, smp).assemble()
     b = D.build(audit.flip_outcome(feed, "flash", 1, 5 * 128), smp).assemble()
     a, b = (d.where("match_key = 'flash' and round_num = 1") for d in (a, b))
