@@ -276,7 +276,7 @@ def assemble(phi: DataFrame, moves: DataFrame, actions: DataFrame, shares: DataF
     who = real.unionByName(synth.join(sides, [*ROUND, "actor_id_hash"], "left").select(*ROUND, "action_id", "actor_id_hash", "actor_side", "type"))
     out = who.join(g, [*ROUND, "action_id"], "left").fillna(0.0, ["d", "e", "m"])
     sg = F.coalesce(actor_sign(F.col("actor_side")), F.lit(1.0))
-    out = out.withColumns({"V_raw": F.col("d") + F.col("e") + F.col("m"), "V_direct": sg * F.col("d"), "V_enabler": sg * F.col("e"), "V_movement": sg * F.col("m")})
+    out = out.withColumns({"V_raw": F.col("d") + F.col("e") + F.col("m"), "V_direct": sg * F.col("d") + F.lit(0.0), "V_enabler": sg * F.col("e") + F.lit(0.0), "V_movement": sg * F.col("m") + F.lit(0.0)})
     return out.withColumn("V", F.col("V_direct") + F.col("V_enabler") + F.col("V_movement")).drop("d", "e", "m"), clock
 
 

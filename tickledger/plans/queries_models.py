@@ -141,7 +141,7 @@ UNION ALL SELECT 'month', cal.month, count(ok.month), 48 FROM cal LEFT JOIN ok O
 def coverage_targets(spark: SparkSession, sf: str) -> DataFrame:
     """Totals, maps and calendar months below their targets, empty ones included."""
     maps = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("map")).distinct()
-    maps = maps.unionByName(maps.limit(1).select(F.lit("NOWHERE").alias("map")))
+    maps = maps.unionByName(maps.select(F.lit("NOWHERE").alias("map")).distinct())
     t = {"total": 1_000_000, "per_map": 200_000, "per_month": 48, "first_month": "1994-10"}
     return P.coverage_shortfalls(match_rows(spark, sf), "pro", maps, "2001-12", t)
 
