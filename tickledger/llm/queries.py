@@ -1,6 +1,6 @@
 """Importing this module registers the queries of the corpus operators."""
 
-from . import mixing, quality_rules, token_counts  # noqa: F401
+from . import mixing, quality_rules, secret_scan, token_counts, url_filter  # noqa: F401
 from .common import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
