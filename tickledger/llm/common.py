@@ -55,7 +55,7 @@ def written(df: DataFrame) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Size of a written table as the optimizer knows it (bytes of its files)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def n_words(text: Column) -> Column:
@@ -71,3 +71,22 @@ def arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]
             yield from fn(b)
 
     return df.mapInArrow(run, schema)
+
+
+#: Ids or rows of at most this many bytes (as written) are sent to every task; beyond it the sides meet by a shuffle.
+SEND_BOUND = 32 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (a written table), marked to be sent to the tasks if its size allows."""
+    return F.broadcast(df) if plan_bytes(df) <= SEND_BOUND else df
+
+
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``doc_id`` is in the written table ``ids``."""
+    return docs.join(small(ids.select(F.col("doc_id").alias("_id"))), F.col("doc_id") == F.col("_id"), "left_semi")
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``doc_id`` is null or not in the written table ``ids``."""
+    return docs.join(small(ids.select(F.col("doc_id").alias("_id"))), F.col("doc_id") == F.col("_id"), "left_anti")
