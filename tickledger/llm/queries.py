@@ -1,6 +1,6 @@
 """Importing this module registers the queries of the corpus operators."""
 
-from . import line_dedup, mixing, near_dup, quality_rules, secret_scan, token_counts, url_filter  # noqa: F401
+from . import line_dedup, mixing, near_dup, quality_classifier, quality_rules, secret_scan, token_counts, url_filter  # noqa: F401
 from .common import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
