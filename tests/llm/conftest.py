@@ -3,11 +3,8 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
-DATA = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-#: Columns whose names the operators use themselves.
-CLASH = ["key", "size", "target", "_removed", "kept", "_words", "row", "line", "count", "n", "_id", "_s", "host", "rep", "_quality"]
+sys.path[:0] = [str(Path(__file__).resolve().parents[2]), str(Path(__file__).resolve().parent)]
+from given import CLASH, SCHEMA  # noqa: E402
 
 
 @pytest.fixture(scope="session")

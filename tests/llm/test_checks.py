@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from conftest import DATA
+from given import DATA
 
 from tickledger.llm.queries import CHECKS, QUERIES
 

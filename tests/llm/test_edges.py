@@ -1,7 +1,7 @@
 """Nulls, empty and very long texts, copies, empty tables, clashing columns: every operator and stage."""
 
 import pytest
-from conftest import DATA
+from given import DATA
 
 import corpus_pipeline
 from tickledger.llm import decontaminate, html_extract, line_dedup, mixing, near_dup, quality_classifier, quality_rules, secret_scan, token_counts, url_filter

@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import DATA, SCHEMA
+from given import DATA, SCHEMA
 from pyspark.sql import functions as F
 
 from tickledger.llm import decontaminate, html_extract, line_dedup, mixing, near_dup, quality_classifier, quality_rules, secret_scan, token_counts, url_filter
@@ -99,19 +99,24 @@ def test_shingles_link_over_chains(spark):
 
 
 def test_large_bucket_in_blocks(spark, monkeypatch):
-    """Pairs of a bucket that is cut in blocks are those of the whole bucket."""
+    """Sets of a bucket that meet in blocks, and in few columns at a time, join the same components as all pairs."""
     rng = np.random.default_rng(1)
-    sig = rng.integers(0, 2**16, near_dup.BINS, dtype=np.uint16)
-    rows = []
-    for i in range(60):
-        s = sig.copy()
-        s[rng.choice(near_dup.BINS, int(rng.integers(0, 40)), replace=False)] += 1
-        rows.append((i, bytearray(s.tobytes())))
-    sigs = spark.createDataFrame(rows, "rep long, sig binary")
-    members = spark.createDataFrame([(7, i, i % 9, 60) for i in range(60)], "h long, rep long, comp long, n long")
-    whole = {tuple(r) for r in near_dup.close_pairs(members, sigs, 85).collect()}
-    monkeypatch.setattr(near_dup, "BLOCK", 8)
-    assert {tuple(r) for r in near_dup.close_pairs(members, sigs, 85).collect()} == whole and whole
+    base = np.unique(rng.integers(0, 2**62, 100, dtype=np.uint64))
+    sets = []
+    for _ in range(60):
+        s = base.copy()
+        s[rng.choice(100, int(rng.integers(1, 14)), replace=False)] += rng.integers(1, 9, dtype=np.uint64)
+        sets.append(np.unique(s))
+    frame = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "doc_id long, set binary")
+    members = spark.createDataFrame([(7, i, i, 60) for i in range(60)], "h long, rep long, comp long, n long")
+    links = [(i, j) for i in range(60) for j in range(i + 1, 60) for k in [len(np.intersect1d(sets[i], sets[j]))] if 100 * k >= 85 * (len(sets[i]) + len(sets[j]) - k)]
+    want = {tuple(r) for r in near_dup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    for block, columns in ((512, 8192), (8, 50)):
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        monkeypatch.setattr(near_dup, "COLUMNS", columns)
+        got = near_dup.set_links(members, frame, 85)
+        assert got.count() < len(links)
+        assert {tuple(r) for r in near_dup.components(got).collect()} == want
 
 
 def test_components_of_a_path(spark):

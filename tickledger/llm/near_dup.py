@@ -7,15 +7,16 @@ meet in buckets of banded signatures, where each member is paired with the bucke
 only (a star), so that pairs grow with members.  Pairs are confirmed on the full sets.
 
 Stars alone would lose a link between two members of which neither is the centre's
-neighbour.  So buckets that still hold several components are looked at again: signatures
-are compared inside tasks, in blocks of bounded size, and only pairs from different
-components that are within noise of the threshold go to the confirmation.
+neighbour.  So buckets that still hold several components are looked at again.  In a small
+bucket the pairs from different components whose signatures are within noise of the
+threshold go to the confirmation.  In a larger one the full sets of the members meet inside
+tasks, in blocks of bounded size; no pair leaves a task but the links that join components.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -187,67 +188,111 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 1024
+#: Members up to which a bucket gives pairs; in larger ones sets meet, in blocks of so many members.
+FEW, BLOCK = 8, 512
+#: Shingles that a task multiplies at once.
+COLUMNS = 8192
+
+
+def by_group(batches: Iterator[pa.RecordBatch], keys: list[str], settle: Callable[[pa.Table], list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    """``settle`` on each run of rows with equal ``keys``, also where a run spans batches; its pairs as ``a, b``."""
+    left = None
+
+    def cut(t: pa.Table) -> list[int]:
+        change = np.zeros(t.num_rows - 1, bool)
+        for c in keys:
+            change |= np.diff(t.column(c).to_numpy()) != 0
+        return [0, *(np.flatnonzero(change) + 1).tolist(), t.num_rows]
+
+    def out(t: pa.Table, ends: list[int]) -> pa.RecordBatch:
+        found = {x for i, j in zip(ends[:-1], ends[1:], strict=True) if j - i > 1 for x in settle(t.slice(i, j - i))}
+        return pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = t if left is None else pa.concat_tables([left, t]).combine_chunks()
+        ends = cut(t)
+        yield out(t, ends[:-1])
+        left = t.slice(ends[-2])
+    if left is not None:
+        yield out(left, [0, left.num_rows])
 
 
 def close_pairs(members: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of one bucket but different components whose signatures agree almost as often as the threshold asks.
+    """Pairs ``a, b`` of small buckets (``h, rep, comp``), of different components, whose signatures agree almost as often as the threshold asks.
 
-    ``members`` holds ``h, rep, comp, n`` (n: rows of the bucket).  A bucket of more than
-    ``BLOCK`` members is cut in blocks, and every two blocks meet in a task of their own.
     The margin is 4.7 standard deviations of the agreement at the threshold.
     """
     s = percent / 100
     least = math.ceil(BINS * (s - 4.7 * math.sqrt(s * (1 - s) / BINS)))
 
-    def pairs(rep: np.ndarray, comp: np.ndarray, own: np.ndarray, sig: np.ndarray, one: bool) -> Iterator[tuple[int, int]]:
-        for i in range(len(rep) - 1):
-            hit = ((sig[i + 1 :] == sig[i]).sum(axis=1) >= least) & (comp[i + 1 :] != comp[i])
-            if not one:
-                hit &= own[i + 1 :] != own[i]
-            for j in np.flatnonzero(hit) + i + 1:
-                yield (rep[i], rep[j]) if rep[i] < rep[j] else (rep[j], rep[i])
+    def settle(t: pa.Table) -> list[tuple[int, int]]:
+        rep, comp = t.column("rep").to_numpy(), t.column("comp").to_numpy()
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(rep), BINS)
+        hit = ((sig[:, None] == sig[None]).sum(axis=2) >= least) & (comp[:, None] != comp[None])
+        return [(min(x, y), max(x, y)) for x, y in zip(*(rep[i] for i in np.nonzero(np.triu(hit, 1))), strict=True)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = None
-        found: set[tuple[int, int]] = set()
-
-        def settle(t: pa.Table) -> None:
-            h, p, q = (t.column(c).to_numpy() for c in ("h", "p", "q"))
-            cuts = [0, *(np.flatnonzero((np.diff(h) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)) + 1), t.num_rows]
-            rep, comp, own = (t.column(c).to_numpy() for c in ("rep", "comp", "own"))
-            sig = t.column("sig").to_pylist()
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                if y - x > 1:
-                    m = np.frombuffer(b"".join(sig[x:y]), np.uint16).reshape(y - x, BINS)
-                    found.update(pairs(rep[x:y], comp[x:y], own[x:y], m, p[x] == q[x]))
-
-        def out() -> pa.RecordBatch:
-            a = pa.RecordBatch.from_arrays([pa.array([int(i[k]) for i in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-            found.clear()
-            return a
+    rows = members.select("h", "rep", "comp").join(sigs, "rep").repartition("h").sortWithinPartitions("h")
+    return rows.select("h", "rep", "comp", "sig").mapInArrow(lambda batches: by_group(batches, ["h"], settle), "a long, b long").distinct()
 
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            t = t if left is None else pa.concat_tables([left, t]).combine_chunks()
-            h, p, q = (t.column(c).to_numpy() for c in ("h", "p", "q"))
-            same = (h == h[-1]) & (p == p[-1]) & (q == q[-1])
-            start = len(same) - int(same[::-1].argmin()) if not same.all() else 0
-            settle(t.slice(0, start))
-            left = t.slice(start)
-            if len(found) > 50_000:
-                yield out()
-        if left is not None:
-            settle(left)
-        yield out()
+
+def joining(rep: np.ndarray, comp: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
+    """Of the linked pairs (a matrix), as many as it takes to join their components."""
+    root = {c: c for c in comp.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    x, y = np.nonzero(np.triu(linked, 1))
+    _, first = np.unique(np.stack([comp[x], comp[y]]), axis=1, return_index=True)
+    out = []
+    for i in first:
+        p, q = find(int(comp[x[i]])), find(int(comp[y[i]]))
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((min(rep[x[i]], rep[y[i]]), max(rep[x[i]], rep[y[i]])))
+    return out
+
+
+def set_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` that join components of larger buckets (``h, rep, comp, n``), decided on the full sets.
+
+    A bucket is cut in blocks, and every two blocks meet in a task of their own.  All
+    intersections of two blocks come from one product of their incidence matrices.
+    """
+
+    def settle(t: pa.Table) -> list[tuple[int, int]]:
+        rep, comp, own = (t.column(c).to_numpy() for c in ("rep", "comp", "own"))
+        parts = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+        size = np.array([len(x) for x in parts])
+        _, col, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(rep)), size)
+        shared = times > 1
+        col, row = (np.cumsum(shared) - 1)[col[shared[col]]], row[shared[col]]
+        order = np.argsort(col, kind="stable")
+        col, row = col[order], row[order]
+        both = np.zeros((len(rep), len(rep)), np.float32)
+        for start in range(0, int(shared.sum()), COLUMNS):
+            i, j = np.searchsorted(col, [start, start + COLUMNS])
+            m = np.zeros((len(rep), COLUMNS), np.float32)
+            m[row[i:j], col[i:j] - start] = 1
+            both += m @ m.T
+        linked = (100 * both >= percent * (size[:, None] + size[None] - both)) & (comp[:, None] != comp[None])
+        if t.column("p")[0] != t.column("q")[0]:
+            linked &= own[:, None] != own[None]
+        return joining(rep, comp, linked)
 
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("h", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "rep", "comp", "own")
-    rows = rows.join(sigs, "rep").repartition("h", "p", "q").sortWithinPartitions("h", "p", "q")
-    return rows.select("h", "p", "q", "rep", "comp", "own", "sig").mapInArrow(run, "a long, b long").distinct()
+    rows = rows.join(sets.select(F.col("doc_id").alias("rep"), "set"), "rep").repartition("h", "p", "q").sortWithinPartitions("h", "p", "q")
+    return rows.select("h", "p", "q", "rep", "comp", "own", "set").mapInArrow(lambda batches: by_group(batches, ["h", "p", "q"], settle), "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
@@ -274,9 +319,10 @@ def groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     comp = F.coalesce("root", "rep")
     seen = met.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", "n", comp.alias("comp"))
     mixed = seen.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
-    more = written(close_pairs(seen.join(mixed, "h", "left_semi"), reps.select("rep", "sig"), percent))
-    if not more.isEmpty():
-        extra = confirmed(more, sets, percent)
+    open_ = written(seen.join(mixed, "h", "left_semi"))
+    pairs = written(close_pairs(open_.where(F.col("n") <= FEW), reps.select("rep", "sig"), percent))
+    extra = written(confirmed(pairs, sets, percent).unionByName(set_links(open_.where(F.col("n") > FEW), sets, percent)))
+    if not extra.isEmpty():
         roots = written(components(links.unionByName(extra)))
 
     named = rows.select("doc_id", "n", "key").join(same, "key", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")

@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Evidence:
     heads: dict[str, LogisticRegressionModel | None] = {}
     for h in HEADS:
         fitted = None
-        if 0 < rates[h] < 1:
+        if total.n and 0 < rates[h] < 1:
             fitted = LogisticRegression(featuresCol="_features", labelCol=h, rawPredictionCol=f"_raw_{h}", probabilityCol=f"_prob_{h}", predictionCol=f"_pred_{h}", regParam=1e-4, maxIter=100).fit(data)
         heads[h] = fitted
     return Evidence(words, heads, rates)
