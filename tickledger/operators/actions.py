@@ -45,7 +45,7 @@ class Context:
         """Columns of a player's latest row at or before a tick: ``{new name: tick column}``."""
         t = self.feed["ticks"].select(
             *ROUND, F.col("steamid").alias(who), F.col("tick").alias("_tt"), *[F.col(c).alias(n) for n, c in cols.items()])
-        return asof(df, t, [*ROUND, who], tick, "_tt", list(cols), width=self.feed.width, reach=self.feed.reach)
+        return asof(df, t, [*ROUND, who], tick, "_tt", list(cols), width=self.feed.width)
 
     def callout(self, df: DataFrame, x: str, y: str, z: str, name: str) -> DataFrame:
         before = df.columns

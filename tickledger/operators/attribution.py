@@ -30,12 +30,12 @@ HEADS = {"kill": "hazard", "damage": "hazard", "plant_complete": "plant15", "def
 # partition
 
 
-def window_spans(ticks: DataFrame, windows: DataFrame, width: int, reach: int) -> DataFrame:
+def window_spans(ticks: DataFrame, windows: DataFrame, width: int) -> DataFrame:
     """Sample before and after each window; a window at the edge of the samples is clamped and flagged."""
     t = ticks.select(*ROUND, F.col("tick").alias("_t"))
     w = windows.select(*ROUND, "window_id", "start_tick", "end_tick", *[c for c in ("member_action_ids",) if c in windows.columns])
-    w = asof(w, t, ROUND, "start_tick", "_t", [], width=width, reach=reach, right_tick="pre_tick")
-    w = asof(w, t, ROUND, "end_tick", "_t", [], width=width, reach=reach, direction="forward", right_tick="post_tick")
+    w = asof(w, t, ROUND, "start_tick", "_t", [], width=width, right_tick="pre_tick")
+    w = asof(w, t, ROUND, "end_tick", "_t", [], width=width, direction="forward", right_tick="post_tick")
     ends = ticks.groupBy(*ROUND).agg(F.min("tick").alias("_lo"), F.max("tick").alias("_hi"))
     w = w.join(ends, ROUND)
     flags = F.array_compact(F.array(F.when(F.col("pre_tick").isNull(), F.lit("pre_clamped_to_freeze_end")), F.when(F.col("post_tick").isNull(), F.lit("post_clamped_to_terminal"))))
@@ -295,10 +295,10 @@ def movement_spread(moves: DataFrame) -> DataFrame:
     return p.groupBy(*ROUND).agg(F.stddev_pop("m").alias("spread"), F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
-def attribute(states: DataFrame, actions: DataFrame, windows: DataFrame, scorer: Scorer, *, width: int, reach: int, shares: DataFrame | None = None) -> dict[str, DataFrame]:
+def attribute(states: DataFrame, actions: DataFrame, windows: DataFrame, scorer: Scorer, *, width: int, shares: DataFrame | None = None) -> dict[str, DataFrame]:
     """Valued actions, clock and conservation of every round of a wide state table."""
     scored = durable(pin_terminal(scorer(states)))
-    spans = window_spans(scored, windows, width, reach)
+    spans = window_spans(scored, windows, width)
     iv = durable(deltas(intervals(scored, spans, width), scored.select(*ROUND, "tick", "W")))
     ev, mv = event_games(iv, scored, windows, actions), mover_games(iv, scored)
     phi, c1 = solve(ev, scorer, drift=False)

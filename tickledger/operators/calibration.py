@@ -114,21 +114,21 @@ def terminal_pin(df: DataFrame, keys: Sequence[str], p: str, y: str, hi: float =
     return t.groupBy(*keys).agg(F.countDistinct("match_key", "round_num").alias("n_rounds"), F.avg(good.cast("double")).alias("rate")).withColumn("ok", F.col("rate") >= min_rate)
 
 
-def martingale_pairs(df: DataFrame, by: Sequence[str], tick: str, p: str, horizon: int, width: int, reach: int) -> DataFrame:
+def martingale_pairs(df: DataFrame, by: Sequence[str], tick: str, p: str, horizon: int, width: int) -> DataFrame:
     """Each row with the value of the first row of its key at or after ``tick + horizon``."""
     later = df.select(*by, F.col(tick).alias("_ft"), F.col(p).alias("_fp"))
     probe = df.withColumn("_target", F.col(tick) + horizon)
-    out = asof(probe, later, by, "_target", "_ft", ["_fp"], width=width, reach=reach, direction="forward")
+    out = asof(probe, later, by, "_target", "_ft", ["_fp"], width=width, direction="forward")
     return out.where("_fp is not null")
 
 
-def martingale(df: DataFrame, by: Sequence[str], tick: str, p: str, horizons: dict[float, int], width: int, reach: int, n_bins: int = 20,
+def martingale(df: DataFrame, by: Sequence[str], tick: str, p: str, horizons: dict[float, int], width: int, n_bins: int = 20,
                min_n: int | None = None, tol: float | None = None) -> DataFrame:
     """Mean change of the prediction per starting bin and horizon (``horizons``: seconds to ticks)."""
     min_n, tol = min_n if min_n is not None else C["martingale_min_n"], tol if tol is not None else C["martingale_tol"]
     out = None
     for k, ticks in horizons.items():
-        m = martingale_pairs(df, by, tick, p, ticks, width, reach)
+        m = martingale_pairs(df, by, tick, p, ticks, width)
         b = F.least(F.lit(n_bins - 1), F.greatest(F.lit(0), F.floor(F.col(p) * n_bins))).cast("int")
         m = m.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("_fp") - F.col(p)).alias("mean_drift")).withColumn("k", F.lit(float(k)))
         out = m if out is None else out.unionByName(m)

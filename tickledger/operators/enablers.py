@@ -45,7 +45,7 @@ class Enablers:
         e = actions.where(F.col("type").isin(*ENABLED) & F.col("tick").isNotNull())
         e = e.select(*ROUND, F.col("action_id").alias("event_id"), F.col("actor_id_hash").alias("actor"), "actor_side", F.col("type").alias("event_type"), "tick",
                      (F.col("tick") - 1).alias("pre"), _num("victim_id").alias("vid"))
-        self.events = state_tick_at(e, "pre", st.samples, "st_tick", width=c.feed.width, reach=c.feed.reach)
+        self.events = state_tick_at(e, "pre", st.samples, "st_tick", width=c.feed.width)
         self.ids = c.sides.select(*ROUND, "steamid", "side", PID(F.col("steamid")).alias("pid"))
 
     def sid(self, df: DataFrame, pid: str, name: str, how: str = "inner") -> DataFrame:
@@ -59,7 +59,7 @@ class Enablers:
         own = self.actions.where((F.col("type") == "flash") & (_num("blinded_self", "double") > 0)).select(
             *ROUND, F.col("actor_id_hash").alias("vid"), "tick", "action_id", "actor_id_hash")
         f = f.unionByName(own).select(*ROUND, "vid", F.col("tick").alias("_ft"), F.col("action_id").alias("link_id"), F.col("actor_id_hash").alias("beneficiary_id"))
-        hit = asof(e, f, [*ROUND, "vid"], "pre", "_ft", ["link_id", "beneficiary_id"], width=self.c.feed.width, reach=self.c.feed.reach, tie=["link_id"])
+        hit = asof(e, f, [*ROUND, "vid"], "pre", "_ft", ["link_id", "beneficiary_id"], width=self.c.feed.width, tie=["link_id"])
         return _out(hit.where("link_id is not null"), "flash")
 
     def smoke_cover(self) -> DataFrame:

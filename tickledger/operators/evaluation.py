@@ -27,7 +27,7 @@ JUDGEMENTS = ["agree", "disagree", "unsure", "todo"]
 # enrichment
 
 
-def enrich(scored: DataFrame, actions: DataFrame, states: DataFrame, width: int, reach: int) -> DataFrame:
+def enrich(scored: DataFrame, actions: DataFrame, states: DataFrame, width: int) -> DataFrame:
     """Scored actions with their action columns and the latest state at or before their pre tick."""
     from .scan import asof
 
@@ -41,7 +41,7 @@ def enrich(scored: DataFrame, actions: DataFrame, states: DataFrame, width: int,
     cols = {"ctx_alive_ct": "alive_ct_pre", "ctx_alive_t": "alive_t_pre", "ctx_equip_ct": "equip_ct_pre", "ctx_equip_t": "equip_t_pre",
             "ctx_time_remaining_s": "time_remaining_s_pre", "ctx_bomb_planted": "bomb_planted_pre", "ctx_map_version": "map_version"}
     s = states.select(*ROUND, F.col("tick").alias("_st"), *[F.col(k).alias(v) for k, v in cols.items()], F.col("players").alias("_players"))
-    r = asof(r, s, ROUND, "_at", "_st", [*cols.values(), "_players"], width=width, reach=reach, right_tick="_st", tie=["alive_ct_pre"])
+    r = asof(r, s, ROUND, "_at", "_st", [*cols.values(), "_players"], width=width, right_tick="_st", tie=["alive_ct_pre"])
     victim = F.filter("_players", lambda p: p["player_id"] == F.col("victim_id"))
     lab = states.groupBy(*ROUND).agg(F.first("y_round_won_ct", ignorenulls=True).alias("round_won_ct"), F.first("y_round_end_reason", ignorenulls=True).alias("round_end_reason"))
     r = r.withColumn("victim_weapon_class", F.try_element_at(victim, F.lit(1))["weapon_class"]).join(lab, ROUND, "left")

@@ -137,7 +137,7 @@ def bomb_position(c: Context, probes: DataFrame, tick: str) -> DataFrame:
     who = c.at(who, "steamid", "_bt", {"_a": "is_alive", "_c4": "has_c4", **{f"_{a}": a for a in "xyz"}}).where("_a and _c4")
     who = who.groupBy(*ROUND, "_bt").agg(F.min_by(F.struct(*[F.col(f"_{a}").cast("double").alias(a) for a in "xyz"]), "steamid").alias("_carry"))
     d = b.where(F.col("event") == "drop").select(*ROUND, F.col("tick").alias("_dt"), F.struct(*[F.col(a).cast("double").alias(a) for a in "xyz"]).alias("_drop"))
-    out = asof(out, d, ROUND, "_bt", "_dt", ["_drop"], width=c.feed.width, reach=c.feed.reach).join(who, [*ROUND, "_bt"], "left")
+    out = asof(out, d, ROUND, "_bt", "_dt", ["_drop"], width=c.feed.width).join(who, [*ROUND, "_bt"], "left")
     pos = F.when(F.col("_ptick") <= F.col("_bt"), F.col("_plant")).otherwise(F.coalesce("_carry", "_drop"))
     out = out.select(*ROUND, F.col("_bt").alias(tick), *[pos[a].alias(f"b{a}") for a in "xyz"])
     return c.feed.geometry.places(out, "bx", "by", "bz", "b").drop("bcallout", "bgrid_cell")
@@ -202,7 +202,7 @@ def retreat_spans(rows: DataFrame, keys: list[str], dist_: str, ref: str, window
     # the last sample inside the window is the latest one at or before tick + window
     r = rows.withColumn("_far", F.col("tick") + window)
     ends = rows.select(*keys, F.col("tick").alias("_et"), F.col(dist_).alias("_ed"), F.col(ref).alias("_er"))
-    r = asof(r, ends, keys, "_far", "_et", ["_ed", "_er"], width=width, reach=window + width, right_tick="_et")
+    r = asof(r, ends, keys, "_far", "_et", ["_ed", "_er"], width=width, right_tick="_et")
     grew = (F.col("_et") > F.col("tick")) & (F.col("_er") == F.col(ref)) & (F.col("_ed") - F.col(dist_) >= min_units)
     m = r.where(grew).select(*keys, F.col("tick").alias("_s"), F.col("_et").alias("_e"))
     if shots is not None:

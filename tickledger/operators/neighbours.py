@@ -60,8 +60,8 @@ def _assign(rows: DataFrame, pivots: DataFrame, group: Sequence[str]) -> DataFra
 
     def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a = a.drop(columns="_s")
-        if a.empty:
-            return a.assign(cell=pd.Series(dtype="int32"), cdist=pd.Series(dtype="float64"))
+        if a.empty or b.empty:  # a group without index rows has no neighbours
+            return a.head(0).assign(cell=pd.Series(dtype="int32"), cdist=pd.Series(dtype="float64"))
         x, p = _matrix(a["vec"]), _matrix(b["pvec"])
         d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (p**2).sum(1)[None] - 2 * x @ p.T, 0.0))
         i = d.argmin(1)
@@ -100,7 +100,8 @@ def knn(queries: DataFrame, index: DataFrame, group: Sequence[str], k: int, excl
         u, v = _matrix(a["vec"]), _matrix(b["vec"])
         d = np.sqrt(np.maximum((u**2).sum(1)[:, None] + (v**2).sum(1)[None] - 2 * u @ v.T, 0.0))
         if exclude:
-            d[a["_ex"].to_numpy()[:, None] == b["_ex"].to_numpy()[None]] = np.inf
+            known = a["_ex"].notna().to_numpy()[:, None]  # rows of unknown origin hide nothing
+            d[(a["_ex"].to_numpy()[:, None] == b["_ex"].to_numpy()[None]) & known] = np.inf
         m = min(k, d.shape[1])
         i = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :m]
         dd = np.take_along_axis(d, i, 1).ravel()

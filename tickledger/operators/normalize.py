@@ -18,8 +18,6 @@ from .feed import ROUND
 from .scan import Run, asof, probe, range_join, scan, segments
 
 WIDTH = 4096
-# longest round in ticks the running values reach over
-ROUND_REACH = 1 << 17
 PLAYER = ROUND + ["steamid"]
 
 # fixed values: feed names to table names
@@ -33,6 +31,7 @@ BOMB_EVENTS = {
     "pickup": "pickup", "drop": "drop",
 }
 EXPLODE_REASONS = ["target_bombed", "bomb_exploded"]
+# fixed values: limits of the quarantine rules, tolerances in seconds, segments of an id
 QUARANTINE = {"tick_rate": 128.0, "tol": 0.5, "min_rounds": 13, "per_side": 5, "min_s": 720.0, "max_s": 18000.0}
 LINK_TOL_S, SEGMENT_GAP_S, DEFUSE_TOL_S, ID_SEGMENTS = 20.0, 8 / 128, 4 / 128, 16
 
@@ -174,8 +173,8 @@ def build_ticks(snap: DataFrame, kills: DataFrame, damages: DataFrame, plants: D
     )
     k, d = enemy_hits(kills, "team_kill"), enemy_hits(damages, "team_damage")
     n, hp = Run("kills_round", "sum", F.lit(1)), Run("damage_round", "sum", F.coalesce("dmg_health", F.lit(0)).cast("bigint"))
-    t = probe(t, k, PLAYER, "tick", "tick", [n], width=width, reach=ROUND_REACH)
-    t = probe(t, d, PLAYER, "tick", "tick", [hp], width=width, reach=ROUND_REACH)
+    t = probe(t, k, PLAYER, "tick", "tick", [n], width=width)
+    t = probe(t, d, PLAYER, "tick", "tick", [hp], width=width)
     t = t.fillna(0, ["kills_round", "damage_round"])
     if plants is None:
         t = t.withColumn("is_planting", F.lit(None).cast("boolean"))

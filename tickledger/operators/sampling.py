@@ -186,11 +186,11 @@ def check_round(df: DataFrame, rounds: DataFrame, tick: str = "tick") -> DataFra
     return df.join(b, ROUND).where(F.col(tick).between(F.col("_s"), F.col("_t"))).drop("_s", "_t")
 
 
-def state_tick_at(df: DataFrame, tick: str, states: DataFrame, name: str, *, width: int, reach: int | None = None,
+def state_tick_at(df: DataFrame, tick: str, states: DataFrame, name: str, *, width: int,
                   strict: bool = False, exact: bool = False, by: Sequence[str] = ROUND) -> DataFrame:
     """Tick of the latest state at or before (strictly before, or exactly at) a tick of each row."""
     keys = states.select(*by, F.col("tick").alias("_st")).distinct()
-    out = asof(df, keys, by, tick, "_st", [], width=width, reach=reach, strict=strict, right_tick="_st")
+    out = asof(df, keys, by, tick, "_st", [], width=width, strict=strict, right_tick="_st")
     hit = F.when(F.col("_st") == F.col(tick), F.col("_st")) if exact else F.col("_st")
     return out.withColumn(name, hit).drop("_st")
 

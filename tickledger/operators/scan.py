@@ -10,15 +10,14 @@ one row per block.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK = "_blk"
-# longest distance in ticks an as-of match bridges unless told otherwise: a nine-hour match at 128/s
-REACH = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -123,20 +122,18 @@ def probe(
     runs: Sequence[Run],
     *,
     width: int,
-    reach: int,
     past: bool = True,
     strict: bool = False,
 ) -> DataFrame:
     """Running values over the right rows of a key, read at the tick of each left row.
 
-    The right side alone decides what every block starts with: its blocks are reduced to
-    one row each, scanned over the key, and put into the following blocks as an opening
-    row.  The left side is then read once, in the same blocks, without a join.  A right
-    row is seen up to ``reach`` ticks away (choose the length of the time axis of a key).
+    The right side is reduced to one row per block and scanned over the key; each block that
+    holds left rows gets what the right blocks before it add up to as an opening row, at any
+    distance.  So only the blocks of the left side (a narrow read of key and tick) and those
+    of the right side meet in one task per key, and the rows themselves stay in their block.
     """
     by, names = list(by), [r.name for r in runs]
     w = F.lit(float(width))
-    step = 1 if past else -1
     tick = F.col(right_on).cast("bigint")
     r = right.where(F.col(right_on).isNotNull()).select(*by, tick.alias("_t"), *[x.value.alias(f"_v_{x.name}") for x in runs])
 
@@ -147,26 +144,26 @@ def probe(
         at = F.when(v.isNotNull(), F.col("_t"))
         return (F.max_by if past else F.min_by)(v, at).alias(f"_v_{x.name}")
 
-    # one row per key and tick, then one per key and block
-    r = r.groupBy(*by, "_t").agg(*[total(x) for x in runs]).withColumn("_b", F.floor(F.col("_t") / w).cast("bigint"))
+    # one row per key and tick, then one per key and block; both sides are read twice
+    r = settled(r.groupBy(*by, "_t").agg(*[total(x) for x in runs]).withColumn("_b", F.floor(F.col("_t") / w).cast("bigint")))
+    left = settled(left)
     blocks = r.groupBy(*by, "_b").agg(*[total(x) for x in runs])
+    lt = F.col(left_on).cast("bigint")
+    lost = lt.isNull()
+    for c in by:
+        lost = lost | F.col(c).isNull()
+    seen = left.where(~lost).select(*by, F.floor(lt / w).cast("bigint").alias("_b"), F.lit(True).alias("_s")).distinct()
+    blocks = blocks.unionByName(seen, allowMissingColumns=True).groupBy(*by, "_b").agg(F.max("_s").alias("_s"), *[F.first(f"_v_{n}", ignorenulls=True).alias(f"_v_{n}") for n in names])
     key = Window.partitionBy(*by).orderBy("_b")
-    upto = key.rowsBetween(Window.unboundedPreceding, 0) if past else key.rowsBetween(0, Window.unboundedFollowing)
+    over = key.rowsBetween(Window.unboundedPreceding, -1) if past else key.rowsBetween(1, Window.unboundedFollowing)
 
-    def running(x: Run, over: Window) -> Column:
+    def running(x: Run) -> Column:
         v = F.col(f"_v_{x.name}")
         return _fold(x.op, v).over(over) if x.op != "last" else (F.last if past else F.first)(v, ignorenulls=True).over(over)
 
-    nxt = F.lead("_b").over(key) if past else F.lag("_b").over(key)
-    tail = F.col("_b") + step * (int(reach / width) + 1)
-    carry = blocks.select(*by, "_b", F.coalesce(nxt, tail).alias("_e"), *[running(x, upto).alias(f"_v_{x.name}") for x in runs])
-    carry = carry.withColumn("_b", F.explode(F.sequence(F.col("_b") + step, F.col("_e"), F.lit(step).cast("bigint"))))
+    carry = blocks.select(*by, "_b", "_s", *[running(x).alias(f"_v_{x.name}") for x in runs]).where("_s")
     carry = carry.select(*by, "_b", F.lit(None).cast("bigint").alias("_t"), F.lit(0).alias("_o"), *[f"_v_{n}" for n in names])
     events = r.select(*by, "_b", "_t", F.lit(2 if strict else 1).alias("_o"), *[f"_v_{n}" for n in names])
-    lt = F.col(left_on).cast("bigint")
-    lost = lt.isNull()
-    for c in by:
-        lost = lost | F.col(c).isNull()
     row = F.struct(*left.columns)
     # rows without a key or tick match nothing; spread them instead of gathering them
     home = F.when(lost, F.lit(-(2**40)) - F.pmod(F.xxhash64(*left.columns), F.lit(256))).otherwise(F.floor(lt / w).cast("bigint"))
@@ -192,7 +189,6 @@ def asof(
     cols: Sequence[str],
     *,
     width: int,
-    reach: int | None = None,
     direction: str = "backward",
     strict: bool = False,
     tolerance: int | None = None,
@@ -206,17 +202,16 @@ def asof(
     Rows without a match (or beyond ``tolerance``) get nulls.
     """
     cols = list(cols)
-    reach = reach or (tolerance + width if tolerance is not None else REACH)
-    rank = F.struct(*[F.col(c) for c in (list(tie) or cols)])
+    rank = F.struct(*[F.col(c) for c in (list(tie) or cols)] or [F.lit(0).alias("one")])
     payload = F.struct(F.col(right_on).cast("bigint").alias("t"), rank.alias("r"), *[F.col(c).alias(f"c_{c}") for c in cols])
     # on equal ticks keep the greatest row, whichever way the scan runs
     top = right.where(F.col(right_on).isNotNull()).groupBy(*by, right_on).agg(F.max(payload).alias("_p"))
     out = left.drop(*[c for c in cols if c in left.columns and c not in by])
     names = []
     if direction in ("backward", "nearest"):
-        out, names = probe(out, top, by, left_on, right_on, [Run("_bk", "last", F.col("_p"))], width=width, reach=reach, strict=strict), ["_bk"]
+        out, names = probe(out, top, by, left_on, right_on, [Run("_bk", "last", F.col("_p"))], width=width, strict=strict), ["_bk"]
     if direction in ("forward", "nearest"):
-        out = probe(out, top, by, left_on, right_on, [Run("_fw", "last", F.col("_p"))], width=width, reach=reach, past=False, strict=strict)
+        out = probe(out, top, by, left_on, right_on, [Run("_fw", "last", F.col("_p"))], width=width, past=False, strict=strict)
         names.append("_fw")
     t = F.col(left_on).cast("bigint")
     pick = F.col(names[0])
@@ -324,21 +319,29 @@ def overlap_join(a: DataFrame, b: DataFrame, by: Sequence[str], a_lo: str, a_hi:
     return hit.drop("_bk")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only a local session without the setting gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+    """Cut the lineage: ``df`` as a table in the shared folder, read again by column."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+    plain = df.withColumns({c: F.col(f"`{c}`").cast("string") for c, kind in df.dtypes if kind == "void"})
+    plain.write.parquet(path)
+    return df.sparkSession.read.schema(plain.schema).parquet(path)
 
-    The folder is the one the session names in ``spark.checkpoint.dir``.  Only a local
-    session without that setting gets a folder of its own; elsewhere the plan is kept.
-    """
-    ctx = df.sparkSession.sparkContext
-    if ctx.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and ctx.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        if folder is None:
-            return df
-        ctx.setCheckpointDir(folder)
-    return df.checkpoint()
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` to be read more than once: written first, unless it is a mere projection of a table."""
+    plan = df._jdf.queryExecution().logical().toString()
+    return durable(df) if any(x in plan for x in ("Join", "Window", "Aggregate", "Union", "Generate")) else df
 
 
 def greedy_match(pairs: DataFrame, a: Sequence[str], b: Sequence[str], a_order: Sequence[str], b_order: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 
+#: Members of a game that a mask can hold.
 MAX_BITS = 62
 
 
@@ -24,18 +25,22 @@ def _factorials(n: int) -> Column:
 
 def all_masks(games: DataFrame, n: str = "n") -> DataFrame:
     """Every coalition of each game as a bitmask: 2^n rows of a game with n members."""
-    return games.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("bigint"), _bit(F.col(n)) - 1)))
+    return games.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("bigint"), _bit(fits(F.col(n))) - 1)))
 
 
-def exact(values: DataFrame, game: Sequence[str], n: str, v: str = "v") -> DataFrame:
+def fits(n: Column) -> Column:
+    """``n``, or an error if a game has more members than a mask can hold."""
+    return F.when(n <= MAX_BITS, n).otherwise(F.raise_error(F.concat(F.lit(f"a game has more than {MAX_BITS} members: "), n.cast("string"))))
+
+
+def exact(values: DataFrame, game: Sequence[str], n: str, v: str = "v", limit: int | None = None) -> DataFrame:
     """Exact values from all coalitions: ``game, bit, phi``.
 
     Member i gains w(|S|) v(S) for coalitions with i and loses w'(|S|) v(S) for those without,
     so each coalition is read once and no coalition is paired with another.
     """
     game = list(game)
-    limit = S.ATTRIBUTION["exact_max"]
-    f = _factorials(max(limit, 20))
+    f = _factorials(max(limit or S.ATTRIBUTION["exact_max"], 20))
     fact = lambda k: F.get(f, k.cast("int"))
     size, total = F.bit_count("mask"), F.col(n)
     with_i = fact(size - 1) * fact(total - size) / fact(total)
@@ -53,7 +58,7 @@ def permutations(games: DataFrame, game: Sequence[str], n: str, samples: int | N
     """
     pairs = max(1, ((samples or S.ATTRIBUTION["samples"]) + 1) // 2)
     p = games.withColumn("pair", F.explode(F.sequence(F.lit(0), F.lit(pairs - 1))))
-    members = F.sequence(F.lit(0), F.col(n).cast("int") - 1)
+    members = F.sequence(F.lit(0), fits(F.col(n)).cast("int") - 1)
     keyed = F.array_sort(F.transform(members, lambda b: F.struct(F.xxhash64(*game, F.col("pair"), b).alias("h"), b.alias("b"))))
     order = F.transform(keyed, lambda x: x["b"])
     both = F.array(F.struct((F.col("pair") * 2).alias("perm"), order.alias("o")), F.struct((F.col("pair") * 2 + 1).alias("perm"), F.reverse(order).alias("o")))
@@ -62,14 +67,20 @@ def permutations(games: DataFrame, game: Sequence[str], n: str, samples: int | N
 
 def prefixes(perms: DataFrame, game: Sequence[str], n: str) -> DataFrame:
     """Coalition before and after each member joins, in each order: ``game, perm, bit, mask0, mask1``."""
-    upto = lambda k: F.aggregate(F.slice("o", 1, k), F.lit(0).cast("bigint"), lambda m, b: m.bitwiseOR(_bit(b)))
-    steps = F.transform(F.sequence(F.lit(1), F.size("o")), lambda k: F.struct(F.element_at("o", k).alias("bit"), upto(k - 1).alias("mask0"), upto(k).alias("mask1")))
+    none = F.array().cast("array<struct<bit:int,mask0:bigint,mask1:bigint>>")
+    before = F.struct(F.lit(0).cast("bigint").alias("m"), none.alias("s"))
+
+    def join(acc: Column, b: Column) -> Column:
+        after = acc["m"].bitwiseOR(_bit(b))
+        return F.struct(after.alias("m"), F.concat(acc["s"], F.array(F.struct(b.cast("int").alias("bit"), acc["m"].alias("mask0"), after.alias("mask1")))).alias("s"))
+
+    steps = F.aggregate("o", before, join, lambda acc: acc["s"])
     return perms.select(*game, n, "perm", F.explode(steps).alias("_s")).select(*game, n, "perm", "_s.bit", "_s.mask0", "_s.mask1")
 
 
-def required_masks(games: DataFrame, game: Sequence[str], n: str = "n") -> DataFrame:
-    """Coalitions to score: all of them up to the exact limit, else the prefixes of the sampled orders."""
-    limit = S.ATTRIBUTION["exact_max"]
+def required_masks(games: DataFrame, game: Sequence[str], n: str = "n", limit: int | None = None) -> DataFrame:
+    """Coalitions to score: all of them up to ``limit`` members (by default the configured one), else the prefixes of the sampled orders."""
+    limit = limit or S.ATTRIBUTION["exact_max"]
     small = all_masks(games.where(F.col(n) <= limit), n).select(*game, n, "mask")
     big = prefixes(permutations(games.where(F.col(n) > limit), game, n), game, n)
     big = big.select(*game, n, F.explode(F.array("mask0", "mask1")).alias("mask")).distinct()
@@ -102,12 +113,12 @@ def enforce_efficiency(phi: DataFrame, totals: DataFrame, game: Sequence[str], m
     return p.withColumn("phi", F.when(last, rest).otherwise(F.col("_new"))).drop("_new", total)
 
 
-def shapley(games: DataFrame, values: DataFrame, game: Sequence[str], n: str = "n", v: str = "v") -> DataFrame:
-    """Exact up to the limit, sampled with enforced efficiency above it: ``game, bit, phi, method, residual``."""
+def shapley(games: DataFrame, values: DataFrame, game: Sequence[str], n: str = "n", v: str = "v", limit: int | None = None) -> DataFrame:
+    """Exact up to ``limit`` members, sampled with enforced efficiency above it: ``game, bit, phi, method, residual``."""
     game = list(game)
-    limit = S.ATTRIBUTION["exact_max"]
+    limit = limit or S.ATTRIBUTION["exact_max"]
     vals = values.drop(n).join(games.select(*game, n), game)
-    small = exact(vals.where(F.col(n) <= limit), game, n, v).withColumns({"method": F.lit("exact"), "residual": F.lit(0.0)})
+    small = exact(vals.where(F.col(n) <= limit), game, n, v, limit).withColumns({"method": F.lit("exact"), "residual": F.lit(0.0)})
     big = vals.where(F.col(n) > limit)
     phi = sampled(games.where(F.col(n) > limit), big, game, n, v)
     full = _bit(F.col(n)) - 1

@@ -84,7 +84,7 @@ def track(feed: Feed, samples: DataFrame, rounds: DataFrame, players: DataFrame)
             Run("fire", "max", F.col("fire")), Run("blind", "max", F.col("blind_until")),
             Run("kills", "sum", F.col("n_kills")), Run("damage", "sum", F.col("damage"))]
     left = samples.select(*SAMPLE).join(players.select(*PLAYER, "side", "slot"), ROUND)
-    return probe(left, seen_rows, PLAYER, "tick", "tick", runs, width=feed.width, reach=feed.reach)
+    return probe(left, seen_rows, PLAYER, "tick", "tick", runs, width=feed.width)
 
 
 # utility
@@ -152,7 +152,7 @@ def sounds(feed: Feed, players: DataFrame) -> DataFrame:
     """Shots (at the shooter's position then) and footsteps of the roster."""
     pos = feed["ticks"].select(*PLAYER, F.col("tick").alias("_pt"), "x", "y", "z")
     shots = feed.in_round("weapon_fire", "tick").select(*PLAYER, "tick")
-    shots = asof(shots, pos, PLAYER, "tick", "_pt", ["x", "y", "z"], width=feed.width, reach=feed.reach)
+    shots = asof(shots, pos, PLAYER, "tick", "_pt", ["x", "y", "z"], width=feed.width)
     steps = feed.in_round("footsteps", "tick").select(*PLAYER, "tick", "x", "y", "z")
     out = shots.select(*PLAYER, "tick", "x", "y", "z").unionByName(steps).join(players.select(*PLAYER, "side"), PLAYER)
     return out.where("x is not null and y is not null and z is not null")
@@ -260,7 +260,7 @@ def bomb_state(feed: Feed, samples: DataFrame) -> DataFrame:
     d = b.where(F.col("event").isin("defuse_start", *DEFUSE_END)).select(
         *ROUND, F.col("tick").alias("_dt"), F.col("event").alias("_ev"), F.col("steamid").alias("_who"),
         flag(_opt(b, "has_kit", "boolean")).alias("_kit"))
-    s = asof(samples.select(*SAMPLE), d, ROUND, "tick", "_dt", ["_ev", "_who", "_kit"], width=feed.width, reach=feed.reach)
+    s = asof(samples.select(*SAMPLE), d, ROUND, "tick", "_dt", ["_ev", "_who", "_kit"], width=feed.width)
     s = s.join(plant, ROUND, "left")
     planted = F.col("_pl.tick") <= F.col("tick")
     open_ = F.col("_ev") == "defuse_start"
@@ -418,7 +418,7 @@ def attach_labels(feed: Feed, states: States) -> DataFrame:
     d = feed["damages"].where(F.col("attacker_steamid") != F.col("victim_steamid"))
     d = d.join(a, [*ROUND, "attacker_steamid"], "left").join(v, [*ROUND, "victim_steamid"], "left").where(~F.col("_sa").eqNullSafe(F.col("_sv")))
     eng = d.select(*ROUND, F.col("tick").alias("_e")).unionByName(kills.select(*ROUND, F.col("tick").alias("_e"))).distinct()
-    s = asof(states.samples, eng, ROUND, "tick", "_e", [], width=feed.width, reach=feed.reach, direction="forward", right_tick="_e")
+    s = asof(states.samples, eng, ROUND, "tick", "_e", [], width=feed.width, direction="forward", right_tick="_e")
     s = s.join(ev("plant_complete", "_plant"), ROUND, "left").join(ev("defuse_complete", "_def"), ROUND, "left")
     s = s.join(feed["rounds"].select(*ROUND, "winner_side", "end_reason"), ROUND, "left").join(hz, SAMPLE, "left")
     cap = L["engagement_cap_s"]

@@ -38,7 +38,7 @@ def analyze(feed: Feed, scorer: T.Scorer, tier: str = "pro", hz: float | None =
     """Valued actions, clock and conservation of every round of a feed."""
     b = build(feed, tier, hz, movement)
     states, windows = durable(b["states"]), durable(b["windows"])
-    return {**b, "states": states, "windows": windows, **T.attribute(states, b["actions"], windows, scorer, width=feed.width, reach=feed.reach)}
+    return {**b, "states": states, "windows": windows, **T.attribute(states, b["actions"], windows, scorer, width=feed.width)}
 
 
 def rule_scorer(states: DataFrame) -> DataFrame:

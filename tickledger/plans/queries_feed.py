@@ -47,7 +47,7 @@ def running_totals_asof(spark: SparkSession, sf: str) -> DataFrame:
     """Kills and their running total known at each hit."""
     f = feed(spark, sf)
     runs = [Run("kills_so_far", "sum", F.lit(1)), Run("dealt_so_far", "sum", F.col("event_id") % 100)]
-    out = probe(f["damages"], f["kills"], [*ROUND, "attacker_steamid"], "tick", "tick", runs, width=WIDTH, reach=100_000)
+    out = probe(f["damages"], f["kills"], [*ROUND, "attacker_steamid"], "tick", "tick", runs, width=WIDTH)
     return out.select("event_id", "kills_so_far", "dealt_so_far")
 
 

@@ -192,7 +192,7 @@ SELECT k, bin, count(*) AS n, round(avg(fp - p), 9) AS mean_drift FROM (
 def martingale_drift(spark: SparkSession, sf: str) -> DataFrame:
     """Mean change of a score per starting bin and look-ahead."""
     x = events(spark, sf).groupBy("match_key", "round_num", "tick").agg(F.max((F.col("k") % 100) / 100.0).alias("p"))
-    m = G.martingale(x, ["match_key", "round_num"], "tick", "p", {k: int(k * 128) for k in (1.0, 5.0, 10.0, 60.0)}, WIDTH, 100_000)
+    m = G.martingale(x, ["match_key", "round_num"], "tick", "p", {k: int(k * 128) for k in (1.0, 5.0, 10.0, 60.0)}, WIDTH)
     return m.select("k", "bin", "n", F.round("mean_drift", 9).alias("mean_drift"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import text
 from ..functions.exprs import id_forms
 from ..operators import evaluation as K
@@ -120,8 +121,8 @@ def rating_correlation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("upsert_register", """
-WITH old AS (SELECT 'm' || o_orderkey AS match_key, 'h' || (o_orderkey % 5000) AS sha FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey < 5000),
-new AS (SELECT 'm' || o_orderkey AS match_key, 'h' || ((o_orderkey * 7) % 5000) AS sha, o_orderdate AS ts FROM orders WHERE o_orderkey % 2 = 0),
+WITH old AS (SELECT 'm' || o_orderkey AS match_key, 'h' || (o_orderkey % 5001) AS sha FROM orders WHERE o_orderkey % 3 = 0),
+new AS (SELECT 'm' || o_orderkey AS match_key, 'h' || ((o_orderkey * 7) % 20011) AS sha, o_orderdate AS ts FROM orders WHERE o_orderkey % 2 = 0),
 clash AS (SELECT n.match_key FROM new n JOIN old o USING (match_key) WHERE n.sha <> o.sha), fresh AS (SELECT * FROM new WHERE match_key NOT IN (SELECT match_key FROM old) AND sha NOT IN (SELECT sha FROM old))
 SELECT 'insert' AS what, match_key FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY ts, match_key) AS rn FROM fresh) WHERE rn = 1
 UNION ALL SELECT 'conflict', match_key FROM clash UNION ALL SELECT 'processed', match_key FROM new WHERE match_key NOT IN (SELECT match_key FROM clash)""")
@@ -129,9 +130,9 @@ def upsert_register(spark: SparkSession, sf: str) -> DataFrame:
     """Registration with content duplicates and conflicts."""
     o = table(spark, sf, "orders")
     key = F.concat(F.lit("m"), F.col("o_orderkey").cast("string")).alias("match_key")
-    h = lambda c: F.concat(F.lit("h"), (c % 5000).cast("string")).alias("demo_sha256")
-    old = o.where("o_orderkey % 3 = 0 and o_orderkey < 5000").select(key, h(F.col("o_orderkey")))
-    new = o.where("o_orderkey % 2 = 0").select(key, h(F.col("o_orderkey") * 7), F.col("o_orderdate").alias("created_at"), F.lit("x").alias("map"), F.lit(None).cast("string").alias("status"))
+    h = lambda c, m: F.concat(F.lit("h"), (c % m).cast("string")).alias("demo_sha256")
+    old = o.where("o_orderkey % 3 = 0").select(key, h(F.col("o_orderkey"), 5001))
+    new = o.where("o_orderkey % 2 = 0").select(key, h(F.col("o_orderkey") * 7, 20011), F.col("o_orderdate").alias("created_at"), F.lit("x").alias("map"), F.lit(None).cast("string").alias("status"))
     ins, done, clash = R.register_matches(new, old)
     tag = lambda d, w, c: d.select(F.lit(w).alias("what"), F.col(c).alias("match_key"))
     return tag(ins, "insert", "match_key").unionByName(tag(clash, "conflict", "match_key")).unionByName(tag(done, "processed", "match_id"))
@@ -224,9 +225,12 @@ def card_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("table_checks", """
-SELECT 'damages.weapon: not castable to string' AS problem WHERE FALSE UNION ALL SELECT 'lineitem fits' WHERE (SELECT count(*) FROM lineitem WHERE l_quantity IS NULL) = 0""")
+WITH c AS (SELECT count(*) FILTER (o_orderkey % 7 = 0) AS k, count(*) FILTER (o_orderkey % 11 = 0) AS l FROM orders)
+SELECT 'kills.weapon: missing' AS problem UNION ALL SELECT 'kills.tick: not castable to bigint' UNION ALL SELECT 'kills.round_num: ' || k || ' nulls' FROM c WHERE k > 0""")
 def table_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """Schema problems of the derived rounds table, none expected, next to a fixed marker."""
-    r = feed(spark, sf)["rounds"].withColumns({"bomb_planted": F.lit(None).cast("boolean"), "ct_score_before": F.lit(None).cast("int"), "t_score_before": F.lit(None).cast("int")})
-    marker = table(spark, sf, "lineitem").agg(F.count_if(F.col("l_quantity").isNull()).alias("n")).where("n = 0").select(F.lit("lineitem fits").alias("problem"))
-    return T.validate(r, "rounds").unionByName(marker)
+    """Faults planted in a table of the shape of kills: a missing column, ticks with fractions, nulls where none may be."""
+    o = table(spark, sf, "orders")
+    kinds = {f.name: f.dataType for f in schemas.table_schema("kills").fields if f.name != "weapon"}
+    cols = {c: F.lit(None).cast(t) for c, t in kinds.items()} | {c: F.lit(1).cast(kinds[c]) for c in schemas.NOT_NULL["kills"] if c in kinds}
+    cols |= {"tick": F.col("o_totalprice").cast("double") + 0.5, "round_num": F.when(F.col("o_orderkey") % 7 != 0, F.lit(1)).cast(kinds["round_num"])}
+    return T.validate(o.select(*[v.alias(c) for c, v in cols.items()]), "kills")
\ No newline at end of file

@@ -177,7 +177,7 @@ def partition_telescoping(spark: SparkSession, sf: str) -> DataFrame:
     w = durable(W.group(inst, None, WIDTH))
     t = ev.select(*ROUND, "tick").unionByName(w.select(*ROUND, F.col("start_tick").alias("tick"))).unionByName(w.select(*ROUND, F.col("end_tick").alias("tick"))).distinct()
     t = durable(t)
-    iv = T.intervals(t, T.window_spans(t, w, WIDTH, 100_000), WIDTH)
+    iv = T.intervals(t, T.window_spans(t, w, WIDTH), WIDTH)
     iv = T.deltas(iv, t.withColumn("W", (F.col("tick") * 37 % 101) / 101.0))
     tele = T.telescoping(iv).join(iv.groupBy(*ROUND).agg(F.count("window_id").alias("n_events")), ROUND)
     return tele.select(*ROUND, "n_intervals", "n_events", F.round("sum_dw", 6).alias("sum_dw"), F.abs(F.round("residual", 6)).alias("residual"))

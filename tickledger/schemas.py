@@ -16,6 +16,7 @@ N_PER_SIDE = 5
 MAX_UTILITY = 16
 PAD_PLAYER_ID = -1
 
+# fixed values
 RAW_DDL = {
     "rounds": "match_key string, round_num int, start_tick bigint, freeze_end_tick bigint, end_tick bigint, "
     "official_end_tick bigint, winner_side string, end_reason string, bomb_planted boolean, "
@@ -50,6 +51,7 @@ RAW_DDL = {
 OPTIONAL_TABLES = ["weapon_fire", "footsteps", "items"]
 OPTIONAL_COLUMNS = {"kills": "is_trade boolean"}
 
+# fixed values
 NOT_NULL = {
     "rounds": ["round_num", "start_tick", "freeze_end_tick"],
     "ticks": ["tick", "round_num", "steamid"],
@@ -62,6 +64,7 @@ META_DDL = (
     "match_key string, map string, tick_rate int, game_version string, server string, demo_sha256 string"
 )
 
+# fixed values
 PLAYER_DDL = (
     "side string, alive bigint, x float, y float, z float, nav_area bigint, callout string, grid_cell bigint, "
     "yaw float, pitch float, speed float, health float, armor float, has_helmet bigint, has_defuser bigint, "
@@ -72,10 +75,12 @@ PLAYER_DDL = (
     "seconds_since_last_shot float, spotted_by_count bigint, heard_enemy bigint, kills_round float, "
     "damage_round float, player_id bigint, tier string"
 )
+# fixed values
 UTILITY_DDL = (
     "kind string, x float, y float, z float, time_left_s float, owner_side string, owner_id bigint, "
     "radius_units float"
 )
+# fixed values
 CTX_DDL = (
     "map_version string, tier string, time_remaining_s float, time_into_round_s float, bomb_planted bigint, "
     "bomb_site string, time_since_plant_s float, defuse_in_progress bigint, defuse_with_kit bigint, "
@@ -85,15 +90,18 @@ CTX_DDL = (
     "n_active_fires bigint"
 )
 
+# fixed values
 ACTION_DDL = (
     "action_id string, match_key string, round_num int, actor_id_hash bigint, actor_side string, "
     "kind string, type string, subtype string, tick bigint, window_start_tick bigint, "
     "window_end_tick bigint, params string, enablers string, state_pre_tick bigint, state_post_tick bigint"
 )
+# fixed values
 WINDOW_DDL = (
     "match_key string, window_id string, round_num int, start_tick bigint, end_tick bigint, "
     "member_action_ids array<string>"
 )
+# fixed values
 SCORED_DDL = (
     "match_key string, round_num bigint, action_id string, actor_id_hash bigint, actor_side string, "
     "type string, V double, V_raw double, V_direct double, V_enabler double, V_movement double, "
@@ -103,6 +111,7 @@ SCORED_DDL = (
 )
 
 # fields that are null (first list) or 0 (second list) for a dead player
+# fixed values
 DEAD_NULL_FIELDS = [
     "yaw", "pitch", "speed", "has_helmet", "has_defuser", "has_c4", "weapon_class", "n_smoke", "n_flash",
     "n_he", "n_molly", "n_decoy", "money", "equipment_value", "spotted_by_count", "heard_enemy",

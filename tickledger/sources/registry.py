@@ -18,10 +18,14 @@ STATUSES = ["downloaded", "parsed", "built", "analyzed", "failed", "quarantined"
 def register_matches(new: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Insert new matches: returns ``(to insert, processed ids, conflicts)``.
 
-    An existing key with another content hash is a conflict.  A hash that is stored under
+    A key with two content hashes is a conflict, whether the other one is stored or comes
+    with an earlier new row.  A hash that is stored under
     another key, or comes twice, keeps the earlier row; the later id is only marked processed.
     """
-    old = matches.select("match_key", F.col("demo_sha256").alias("_old"))
+    # the earliest new row of a key stands for it
+    lead = new.groupBy("match_key").agg(F.min(F.struct("created_at", F.col("demo_sha256").alias("h"))).alias("_k")).select("match_key", F.col("_k.h").alias("_lead"))
+    stored = matches.select("match_key", F.col("demo_sha256").alias("_old"), F.lit(True).alias("_in"))
+    old = lead.join(stored, "match_key", "full").select("match_key", F.when(F.col("_in"), F.col("_old")).otherwise(F.col("_lead")).alias("_old"))
     n = new.join(old, "match_key", "left").withColumn("_known", F.col("_old").isNotNull())
     clash = n.where(F.col("_known") & F.col("demo_sha256").isNotNull() & (F.col("demo_sha256") != F.col("_old")))
     fresh = n.join(matches.select("match_key"), "match_key", "left_anti")
@@ -30,6 +34,7 @@ def register_matches(new: DataFrame, matches: DataFrame) -> tuple[DataFrame, Dat
     first = fresh.where("demo_sha256 is not null").groupBy("demo_sha256").agg(F.min(F.struct("created_at", "match_key")).alias("_f"))
     keep = fresh.join(owned, "demo_sha256", "left_anti").join(first, "demo_sha256", "left")
     keep = keep.where(F.col("_f").isNull() | (F.col("_f.match_key") == F.col("match_key")))
+    keep = keep.where(F.col("demo_sha256").eqNullSafe(F.col("_old"))).dropDuplicates(["match_key"])
     insert = keep.withColumn("status", F.coalesce("status", F.lit("downloaded"))).drop("_old", "_known", "_f")
     done = n.join(clash.select("match_key"), "match_key", "left_anti").select(F.col("match_key").alias("match_id"), "map").distinct()
     return insert.select(new.columns), done, clash.select("match_key", "demo_sha256", F.col("_old").alias("stored_sha256"))
