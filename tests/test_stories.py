@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stories import KILLS, story_feed, tables
+from stories import BLIND, CY, DEE, FIRST_KILL, FLASH, BO, KILLS, PLANT, RATE, WOUNDS, story_feed, tables
 from tickledger.functions.ids import player_id_hash
 from tickledger.operators import actions as A
 from tickledger.operators import attribution as T
@@ -16,7 +16,7 @@ from tickledger.operators import windows as W
 from tickledger.operators.scan import durable
 from tickledger.plans.analyze import analyze, rule_scorer
 
-NAMES = ["flash", "drop"]
+NAMES = ["blinded", "handover"]
 
 
 @pytest.fixture(scope="module")
@@ -32,9 +32,9 @@ def run(feed):
 def test_action_counts(run):
     n = {(r["match_key"], r["type"]): r["count"] for r in run["actions"].groupBy("match_key", "type").count().collect()}
     for s in NAMES:
-        assert n[s, "kill"] == len(KILLS[s]) and n[s, "damage"] == 2 and n[s, "smoke"] == 1 and n[s, "smoke_pop"] == 1 and n[s, "plant_complete"] == 2
+        assert n[s, "kill"] == len(KILLS) and n[s, "damage"] == 2 and n[s, "smoke"] == 1 and n[s, "smoke_pop"] == 1 and n[s, "plant_complete"] == 2
         assert n[s, "buy"] == 8 and n[s, "team_buy"] == 4 and n[s, "he"] == 1
-    assert n["flash", "flash"] == 1 and n["drop", "drop"] == 1 and ("flash", "drop") not in n
+    assert n["blinded", "flash"] == 1 and n["handover", "drop"] == 1 and ("blinded", "drop") not in n
 
 
 def test_actions_are_valid_and_unique(run):
@@ -45,8 +45,8 @@ def test_actions_are_valid_and_unique(run):
 
 def test_flash_params_and_enabler(run):
     f = run["actions"].where("type = 'flash'").select(F.from_json(F.get_json_object("params", "$.blinded_enemies"), "array<struct<id:bigint,duration:double>>").alias("b")).first()["b"]
-    assert sorted(x["duration"] for x in f) == [1.0, 2.5]
-    k = run["actions"].where("match_key = 'flash' and type = 'kill' and tick = 2000").first()
+    assert sorted(x["duration"] for x in f) == pytest.approx(sorted(BLIND.values()))
+    k = run["actions"].where(f"match_key = 'blinded' and type = 'kill' and tick = {FIRST_KILL}").first()
     assert '"kind":"flash"' in k["enablers"]
 
 
@@ -55,19 +55,19 @@ def test_states_are_consistent(run):
 
 
 def test_state_values(run, spark):
-    who = {p: spark.range(1).select(player_id_hash(F.lit(i))).first()[0] for p, i in (("A", 1001), ("C", 2001), ("D", 2002))}
-    s = run["states"].where("match_key = 'flash' and round_num = 1 and tick = 2001").first()
+    who = {p: spark.range(1).select(player_id_hash(F.lit(i))).first()[0] for p, i in (("bo", BO), ("cy", CY), ("dee", DEE))}
+    s = run["states"].where(f"match_key = 'blinded' and round_num = 1 and tick = {FIRST_KILL + 1}").first()
     by = {p["player_id"]: p for p in s["players"]}
     assert s["ctx_alive_ct"] == 2 and s["ctx_alive_t"] == 1
-    assert by[who["C"]]["alive"] == 0 and by[who["C"]]["weapon_class"] is None and by[who["A"]]["kills_round"] == 1.0
-    assert by[who["D"]]["health"] == 80.0 and abs(by[who["D"]]["flash_duration_remaining"] - (2.5 - 101 / 128)) < 1e-5
+    assert by[who["dee"]]["alive"] == 0 and by[who["dee"]]["weapon_class"] is None and by[who["bo"]]["kills_round"] == 1.0
+    assert by[who["cy"]]["health"] == 100.0 - WOUNDS[CY][0] and abs(by[who["cy"]]["flash_duration_remaining"] - (BLIND[CY] - (FIRST_KILL + 1 - FLASH) / RATE)) < 1e-5
     assert [u["kind"] for u in s["utility"]] == ["smoke"] and s["ctx_n_active_smokes"] == 1
 
 
 def test_labels(run):
-    rows = run["states"].where("match_key = 'flash' and round_num = 1").select("tick", "y_plant_within_15s", "y_round_won_ct", "y_is_terminal").collect()
+    rows = run["states"].where("match_key = 'blinded' and round_num = 1").select("tick", "y_plant_within_15s", "y_round_won_ct", "y_is_terminal").collect()
     for r in rows:
-        want = None if r["tick"] > 3000 else int(3000 < r["tick"] + 15 * 128)
+        want = None if r["tick"] > PLANT else int(PLANT < r["tick"] + 15 * RATE)
         assert r["y_plant_within_15s"] == want and r["y_round_won_ct"] == 1
     assert sum(r["y_is_terminal"] for r in rows) == 1
 
@@ -79,12 +79,12 @@ def test_conservation(run):
 
 
 def test_kill_and_plant_values(run):
-    v = run["valued"].where("match_key = 'drop' and round_num = 1 and abs(V) > 1e-9").select("type", F.round("V", 6).alias("V")).collect()
+    v = run["valued"].where("match_key = 'handover' and round_num = 1 and abs(V) > 1e-9").select("type", F.round("V", 6).alias("V")).collect()
     assert sorted((r["type"], r["V"]) for r in v) == [("kill", 0.1), ("kill", 0.1), ("plant_complete", 0.15)]
 
 
 def test_undo_everything_gives_the_state_before(run):
-    spans = T.window_spans(run["states"], run["windows"], 2048, 100_000)
+    spans = T.window_spans(run["states"], run["windows"], 2048)
     scored = T.pin_terminal(rule_scorer(run["states"]))
     iv = T.deltas(T.intervals(scored, spans, 2048), scored.select("match_key", "round_num", "tick", "W"))
     g = T.event_games(iv, scored, run["windows"], run["actions"]).withColumn("mask", F.lit(0).cast("bigint"))
@@ -94,7 +94,7 @@ def test_undo_everything_gives_the_state_before(run):
 
 
 def test_gate_passes_a_sound_rule_and_fails_its_reverse(run):
-    spans = T.window_spans(run["states"], run["windows"], 2048, 100_000)
+    spans = T.window_spans(run["states"], run["windows"], 2048)
     scored = T.pin_terminal(rule_scorer(run["states"]))
     iv = T.deltas(T.intervals(scored, spans, 2048), scored.select("match_key", "round_num", "tick", "W"))
     cases = durable(gate.samples(T.event_games(iv, scored, run["windows"], run["actions"]), T.mover_games(iv, scored)))
@@ -106,22 +106,22 @@ def test_gate_passes_a_sound_rule_and_fails_its_reverse(run):
 
 
 def test_outcome_flip_changes_no_feature(spark):
-    feed = story_feed(spark, ["flash"], 64)
+    feed = story_feed(spark, ["blinded"], 64)
     rounds = C.with_terminal(feed["rounds"])
     smp = durable(C.grid_ticks(rounds, 128, 0.25).withColumns({"kinds": F.array(F.lit("grid")), "t_s": F.lit(0.0)}))
     a = D.build(feed, smp).assemble()
-    b = D.build(audit.flip_outcome(feed, "flash", 1, 5 * 128), smp).assemble()
-    a, b = (d.where("match_key = 'flash' and round_num = 1") for d in (a, b))
+    b = D.build(audit.flip_outcome(feed, "blinded", 1, 5 * 128), smp).assemble()
+    a, b = (d.where("match_key = 'blinded' and round_num = 1") for d in (a, b))
     assert audit.leak_differences(a, b).count() == 0
 
 
 def test_flat_vector_and_tensors(run):
-    f = P.flatten(run["states"]).where("match_key = 'drop' and round_num = 1 and tick = 2001").first()
-    assert f["ct_alive"] == 2 and f["t_alive"] == 1 and f["t0_health"] == 80.0 and f["ct_hp_sum"] == 200.0
+    f = P.flatten(run["states"]).where("match_key = 'handover' and round_num = 1").where(F.col("tick") == FIRST_KILL + 1).first()
+    assert f["ct_alive"] == 2 and f["t_alive"] == 1 and f["t0_health"] == 100.0 - WOUNDS[CY][0] and f["ct_hp_sum"] == 200.0
     t = P.tensorize(run["states"]).first()
     assert len(t["player_num"]) == 10 and len(t["util_num"]) == 16 and sum(t["player_mask"]) == 4
 
 
 def test_story_rows_are_scripted():
-    t = tables("trade", 64)
-    assert len(t["kills"]) == 2 and t["rounds"]["end_reason"][0] == "t_win_bomb"
+    t = tables("handover", 64)
+    assert [r["event"] for r in t["items"]] == ["drop", "pickup"] and t["flashes"] == [] and t["rounds"][1]["end_reason"] == "t_win_bomb"

@@ -145,7 +145,7 @@ def probe(
         return (F.max_by if past else F.min_by)(v, at).alias(f"_v_{x.name}")
 
     # one row per key and tick, then one per key and block; both sides are read twice
-    r = settled(r.groupBy(*by, "_t").agg(*[total(x) for x in runs]).withColumn("_b", F.floor(F.col("_t") / w).cast("bigint")))
+    r = settled(r.groupBy(*by, "_t").agg(*[total(x) for x in runs]).withColumn("_b", F.floor(F.col("_t") / w).cast("bigint")), ("Join", "Window"))
     left = settled(left)
     blocks = r.groupBy(*by, "_b").agg(*[total(x) for x in runs])
     lt = F.col(left_on).cast("bigint")
@@ -338,10 +338,10 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(plain.schema).parquet(path)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` to be read more than once: written first, unless it is a mere projection of a table."""
+def settled(df: DataFrame, costly: Sequence[str] = ("Join", "Window", "Aggregate", "Union", "Generate")) -> DataFrame:
+    """``df`` to be read more than once: written first if its plan has one of the ``costly`` steps."""
     plan = df._jdf.queryExecution().logical().toString()
-    return durable(df) if any(x in plan for x in ("Join", "Window", "Aggregate", "Union", "Generate")) else df
+    return durable(df) if any(x in plan for x in costly) else df
 
 
 def greedy_match(pairs: DataFrame, a: Sequence[str], b: Sequence[str], a_order: Sequence[str], b_order: Sequence[str]) -> DataFrame:
