@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import query, read, without, written
 
 #: Words of a passage or window, and the steps between passages and between windows.
-WIDTH, PASSAGE_STEP, STEP = 32, 16, 8
+WIDTH, PASSAGE_STEP, STEP = 32, 16, 16
 #: Latent dimensions, further ones that sharpen them, and rounds of the subspace iteration.
 RANK, MORE, ROUNDS = 64, 10, 3
 #: Cosine of a candidate; share of the item's words in common order that is a leak by itself, or with its answer.
@@ -136,6 +136,7 @@ class Latent:
         spark = docs.sparkSession
         self.ids = [i for i, _, _ in items]
         self.words = [tokens(t) for _, t, _ in items]
+        self.bags = [frozenset(w) for w in self.words]
         self.answers = [answer_of(t, a) for _, t, a in items]
         cut = [(k, s, p) for k, w in enumerate(self.words) if w for s, p in passages(w)]
         terms = sorted({w for _, _, p in cut for w in p})
@@ -148,8 +149,10 @@ class Latent:
             sparse.append((k, s, idx.tolist(), (tf * idf[idx]).tolist()))
         rows = spark.createDataFrame(sparse, "item int, start int, idx array<int>, val array<double>").repartition(8, "item", "start")
         v = randomised_svd(rows.select("idx", "val"), len(terms))
-        #: latent vector that a word adds to a window; the last row is for words outside
+        #: latent vector that a word adds to a window; the last row is for words that no item has
         self.add = np.vstack([v * idf[:, None], np.zeros((1, v.shape[1]))]).astype(np.float32)
+        #: such a word only lengthens the window, by the mean weight of a term
+        self.other = float(np.mean(idf**2)) if len(idf) else 1.0
         near = np.array([np.array(x) @ v[i] for _, _, i, x in sparse])
         size = np.linalg.norm(near, axis=1, keepdims=True)
         self.near = (near / np.where(size > 0, size, 1)).T.astype(np.float32)
@@ -166,12 +169,17 @@ class Latent:
             part = ids[a : a + STRETCH + WIDTH]
             run = np.zeros((len(part) + 1, self.add.shape[1]), np.float32)
             np.cumsum(self.add[part], axis=0, out=run[1:])
+            out = np.concatenate([[0.0], np.cumsum(part == none)])
             begin = np.arange(0, max(1, min(STRETCH, len(part) - WIDTH + STEP)), STEP)
             end = np.minimum(begin + WIDTH, len(part))
             w = run[end] - run[begin]
-            size = np.linalg.norm(w, axis=1, keepdims=True)
-            some = np.flatnonzero(size[:, 0] > 1e-3)
-            x, p = np.nonzero((w[some] / size[some]) @ self.near >= COSINE)
+            near = np.einsum("ij,ij->i", w, w)
+            size = np.sqrt(near + self.other * (out[end] - out[begin]))
+            # the cosine cannot pass the share of the window's length that lies in the latent space
+            some = np.flatnonzero((near > 1e-6) & (np.sqrt(near) >= COSINE * size))
+            if not len(some):
+                continue
+            x, p = np.nonzero((w[some] / size[some, None]) @ self.near >= COSINE)
             found.update(zip(self.item[p].tolist(), (a + begin[some[x]] - self.start[p]).tolist(), strict=True))
         return found
 
@@ -181,8 +189,10 @@ class Latent:
         best: dict[int, tuple[float, float, int]] = {}
         for k, begin in self.candidates(words) if words else ():
             item, answer = self.words[k], self.answers[k]
-            slack = max(STEP, len(item) // 4)
+            slack = max(STEP // 2, len(item) // 4)
             span = words[max(0, begin - slack) : max(0, begin + len(item) + slack)]
+            if len(self.bags[k].intersection(span)) < LCS_ANSWER * len(self.bags[k]) / 2:
+                continue
             same = lcs(item, span) / len(item)
             if same >= LCS_ANSWER:
                 said = lcs(answer, span) / len(answer) if answer else 0.0
