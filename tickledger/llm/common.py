@@ -84,9 +84,9 @@ def small(df: DataFrame) -> DataFrame:
 
 def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose ``doc_id`` is in the written table ``ids``."""
-    return docs.join(small(ids.select(F.col("doc_id").alias("_id"))), F.col("doc_id") == F.col("_id"), "left_semi")
+    return docs.join(small(ids.select(F.col("doc_id").alias("__join_id"))), F.col("doc_id") == F.col("__join_id"), "left_semi")
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose ``doc_id`` is null or not in the written table ``ids``."""
-    return docs.join(small(ids.select(F.col("doc_id").alias("_id"))), F.col("doc_id") == F.col("_id"), "left_anti")
+    return docs.join(small(ids.select(F.col("doc_id").alias("__join_id"))), F.col("doc_id") == F.col("__join_id"), "left_anti")

@@ -94,13 +94,13 @@ def strip_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
 
         plain = docs.select(*[F.col(f"`{c}`") for c in names])
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-        return plain.withColumn("_hashes", line_hashes(F.col("text"))).mapInArrow(run, f"{fields}, _removed long")
+        return plain.withColumn("__line_hashes", line_hashes(F.col("text"))).mapInArrow(run, f"{fields}, _removed long")
     place = docs.select("doc_id", F.xxhash64("text").alias("whole"), F.posexplode(line_hashes(F.col("text"))).alias("at", "line")).join(found, "line").where("not (first <=> doc_id)")
-    cuts = place.groupBy(F.col("doc_id").alias("_d"), F.col("whole").alias("_w")).agg(F.collect_set("at").alias("_cuts"))
-    rows = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_w")), "left")
-    lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("_cuts", i), F.lit(False)))
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    return rows.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names], F.coalesce(F.size("_cuts"), F.lit(0)).cast("long").alias("_removed"))
+    cuts = place.groupBy(F.col("doc_id").alias("__line_d"), F.col("whole").alias("__line_w")).agg(F.collect_set("at").alias("__line_cuts"))
+    rows = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col("__line_d")) & (F.xxhash64("text") == F.col("__line_w")), "left")
+    lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("__line_cuts", i), F.lit(False)))
+    text = F.when(F.col("__line_cuts").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    return rows.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names], F.coalesce(F.size("__line_cuts"), F.lit(0)).cast("long").alias("_removed"))
 
 
 def dedup_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:

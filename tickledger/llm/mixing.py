@@ -99,14 +99,14 @@ def apply_mix(docs: DataFrame, size: Column, plan: DataFrame, seed: int = 0) ->
     ``taken`` = ``whole`` repetitions + ``part_words`` (the whole size before the cut, a part
     at it, none after it).  The plan has a row per source and is joined by source.
     """
-    p = plan.select(F.col("source").alias("_s"), *[F.col(c).alias(f"_{c}") for c in ("source_size", "target", "whole", "cut_key", "cut_part", "cut_size")])
-    rows = docs.withColumn("_size", size).withColumn("_key", order_key(F.col("doc_id"), seed)).join(p, F.col("source").eqNullSafe(F.col("_s")), "left")
-    part = F.when(F.col("_key") < F.col("_cut_key"), F.col("_size")).when(F.col("_key") == F.col("_cut_key"), F.floor(F.col("_cut_part") * F.col("_size") / F.col("_cut_size"))).otherwise(F.lit(0)).cast("long")
-    rows = rows.withColumn("_part", part)
-    taken = F.col("_whole") * F.col("_size") + F.col("_part")
+    p = plan.select(F.col("source").alias("__mix_s"), *[F.col(c).alias(f"__mix_{c}") for c in ("source_size", "target", "whole", "cut_key", "cut_part", "cut_size")])
+    rows = docs.withColumn("__mix_size", size).withColumn("__mix_key", order_key(F.col("doc_id"), seed)).join(p, F.col("source").eqNullSafe(F.col("__mix_s")), "left")
+    part = F.when(F.col("__mix_key") < F.col("__mix_cut_key"), F.col("__mix_size")).when(F.col("__mix_key") == F.col("__mix_cut_key"), F.floor(F.col("__mix_cut_part") * F.col("__mix_size") / F.col("__mix_cut_size"))).otherwise(F.lit(0)).cast("long")
+    rows = rows.withColumn("__mix_part", part)
+    taken = F.col("__mix_whole") * F.col("__mix_size") + F.col("__mix_part")
     return rows.select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in ("size", "source_size", "target", "taken", "whole", "part_words")],
-        F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"), F.col("_whole").alias("whole"), F.col("_part").alias("part_words"),
+        F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), taken.alias("taken"), F.col("__mix_whole").alias("whole"), F.col("__mix_part").alias("part_words"),
     )
 
 
