@@ -153,6 +153,18 @@ def test_leaks_exact_and_paraphrased(spark):
         assert decontaminate.lcs(item, decontaminate.tokens(text)) >= 0.5 * len(item)
 
 
+def test_verbatim_items_of_a_large_benchmark(spark):
+    """With more items than the rank holds, whole items in documents are found as by brute force."""
+    big = "/root/testdata/sf0.1"
+    docs, bench = docs_of(spark, big), spark.read.parquet(f"{big}/benchmark.parquet")
+    said = lambda t: b" %s " % b" ".join(decontaminate.tokens(t or ""))
+    items = [(r.item_id, said(r.text)) for r in bench.collect()]
+    want = {(r.doc_id, i) for r in docs.collect() for t in [said(r.text)] for i, x in items if x in t}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
+    assert len(items) == 200 and len(want) > 200
+    assert len(want & got) >= 0.9 * len(want)
+
+
 def test_leaks_in_blocks(spark):
     docs, bench = docs_of(spark), spark.read.parquet(f"{DATA}/benchmark.parquet")
     pick = lambda d: {(r.doc_id, r.item_id) for r in d.collect()}

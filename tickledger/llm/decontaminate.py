@@ -8,7 +8,10 @@ passage's is a candidate, and the item is then aligned there: the longest common
 subsequence with the text, and for looser matches also the item's answer, decide.
 
 The latent space is that of the passages to be found: what a document's window has outside
-their span has no part in its product with any of them.  The benchmark is a stated query
+their span has no part in its product with any of them.  So windows and passages are compared
+by what they have inside it, whatever share of their length the rank keeps, and windows are
+as long as the passages they are held against.  Candidates are thinned by a bound only: a
+place with fewer words of the item than the subsequence needs cannot have it.  The benchmark is a stated query
 set; it is taken in blocks of bounded size, each sent to the tasks, against all documents.
 No text is shuffled, and a task's memory holds a stretch of one document at a time.
 """
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import query, read, without, written
 
 #: Words of a passage or window, and the steps between passages and between windows.
-WIDTH, PASSAGE_STEP, STEP = 32, 16, 16
+WIDTH, PASSAGE_STEP, STEP = 32, 16, 8
 #: Latent dimensions, further ones that sharpen them, and rounds of the subspace iteration.
 RANK, MORE, ROUNDS = 64, 10, 3
 #: Cosine of a candidate; share of the item's words in common order that is a leak by itself, or with its answer.
@@ -53,21 +56,35 @@ def answer_of(text: str, answer: str | None) -> list[bytes]:
     return tokens(parts[-1]) if len(parts) > 1 else []
 
 
-def lcs(a: list[bytes], b: list[bytes]) -> int:
-    """Length of the longest common subsequence, a machine word of bits at a time."""
+def places(a: list[bytes]) -> dict[bytes, int]:
+    """A bit for every place of a word."""
     at: dict[bytes, int] = {}
     for i, w in enumerate(a):
         at[w] = at.get(w, 0) | 1 << i
+    return at
+
+
+def lcs(a: list[bytes], b: list[bytes], at: dict[bytes, int] | None = None) -> int:
+    """Length of the longest common subsequence, a machine word of bits at a time; ``at`` are the places of ``a``."""
+    get = (places(a) if at is None else at).get
     full = (1 << len(a)) - 1
     row = full
     for w in b:
-        m = at.get(w, 0)
+        m = get(w)
         if m:
             u = row & m
             row = ((row + u) | (row - u)) & full
     return len(a) - row.bit_count()
 
 
+def summed(rows: np.ndarray, kind: type) -> np.ndarray:
+    """Running sums of ``rows`` at every ``STEP`` of them, from zero."""
+    parts = rows.reshape(-1, STEP, rows.shape[1]).sum(axis=1, dtype=rows.dtype)
+    out = np.zeros((len(parts) + 1, rows.shape[1]), kind)
+    np.cumsum(parts, axis=0, out=out[1:])
+    return out
+
+
 def passages(words: list[bytes]) -> list[tuple[int, list[bytes]]]:
     """Start and words of the passages of an item; a short item is one passage."""
     starts = range(0, max(1, len(words) - PASSAGE_STEP), PASSAGE_STEP)
@@ -136,7 +153,7 @@ class Latent:
         spark = docs.sparkSession
         self.ids = [i for i, _, _ in items]
         self.words = [tokens(t) for _, t, _ in items]
-        self.bags = [frozenset(w) for w in self.words]
+        self.places = [places(w) for w in self.words]
         self.answers = [answer_of(t, a) for _, t, a in items]
         cut = [(k, s, p) for k, w in enumerate(self.words) if w for s, p in passages(w)]
         terms = sorted({w for _, _, p in cut for w in p})
@@ -151,36 +168,51 @@ class Latent:
         v = randomised_svd(rows.select("idx", "val"), len(terms))
         #: latent vector that a word adds to a window; the last row is for words that no item has
         self.add = np.vstack([v * idf[:, None], np.zeros((1, v.shape[1]))]).astype(np.float32)
-        #: such a word only lengthens the window, by the mean weight of a term
-        self.other = float(np.mean(idf**2)) if len(idf) else 1.0
         near = np.array([np.array(x) @ v[i] for _, _, i, x in sparse])
         size = np.linalg.norm(near, axis=1, keepdims=True)
-        self.near = (near / np.where(size > 0, size, 1)).T.astype(np.float32)
-        self.item = np.array([k for k, *_ in sparse])
-        self.start = np.array([s for _, s, *_ in sparse])
+        near = (near / np.where(size > 0, size, 1)).T.astype(np.float32)
+        item, start = np.array([k for k, *_ in sparse]), np.array([s for _, s, *_ in sparse])
+        # passages by the length of their windows, a multiple of the step
+        wide = np.array([-(-len(p) // STEP) * STEP for _, _, p in cut])
+        self.near = {int(w): (near[:, wide == w].copy(), item[wide == w], start[wide == w]) for w in np.unique(wide)}
+        self.size = np.array([len(w) for w in self.words])
+        self.slack = np.maximum(STEP // 2, self.size // 4)
+        self.need = np.ceil(LCS_ANSWER * self.size)
+        self.margin = -(-int((self.size + self.slack).max()) // STEP) * STEP
+        #: a bit for every word and item that has it; the last row is for words that no item has
+        self.has = np.zeros((len(terms) + 1, -(-len(items) // 8)), np.uint8)
+        for k, item in enumerate(self.words):
+            self.has[[self.at[w] for w in set(item)], k >> 3] |= 1 << (k & 7)
 
     def candidates(self, words: list[bytes]) -> set[tuple[int, int]]:
-        """Items and the places where they would begin, for every window close to a passage."""
-        found: set[tuple[int, int]] = set()
+        """Items and the places where they would begin, for every window close to a passage.
+
+        Words are summed by blocks of ``STEP``: their latent vectors, and how many are words of
+        each item.  A place stays if the blocks around it have the words of the item that a
+        subsequence needs to count.
+        """
         none, n = len(self.at), len(words)
         get = self.at.get
-        ids = np.fromiter((get(w, none) for w in words), np.int64, n)
+        ids = np.full(-(-n // STEP) * STEP, none)
+        ids[:n] = np.fromiter((get(w, none) for w in words), np.int64, n)
+        found: set[tuple[int, int]] = set()
         for a in range(0, n, STRETCH):
-            part = ids[a : a + STRETCH + WIDTH]
-            run = np.zeros((len(part) + 1, self.add.shape[1]), np.float32)
-            np.cumsum(self.add[part], axis=0, out=run[1:])
-            out = np.concatenate([[0.0], np.cumsum(part == none)])
-            begin = np.arange(0, max(1, min(STRETCH, len(part) - WIDTH + STEP)), STEP)
-            end = np.minimum(begin + WIDTH, len(part))
-            w = run[end] - run[begin]
-            near = np.einsum("ij,ij->i", w, w)
-            size = np.sqrt(near + self.other * (out[end] - out[begin]))
-            # the cosine cannot pass the share of the window's length that lies in the latent space
-            some = np.flatnonzero((near > 1e-6) & (np.sqrt(near) >= COSINE * size))
-            if not len(some):
-                continue
-            x, p = np.nonzero((w[some] / size[some, None]) @ self.near >= COSINE)
-            found.update(zip(self.item[p].tolist(), (a + begin[some[x]] - self.start[p]).tolist(), strict=True))
+            low = max(0, a - self.margin)
+            run = summed(self.add.take(ids[a : a + STRETCH + WIDTH], axis=0), np.float32)
+            bits = np.unpackbits(self.has.take(ids[low : a + STRETCH + WIDTH + self.margin], axis=0), axis=1, bitorder="little")
+            inside = summed(bits, np.int32)
+            rows, row = inside.shape
+            inside = inside.ravel()
+            for width, (near, item, start) in self.near.items():
+                begin = np.arange(max(1, min(STRETCH, len(run) * STEP - width) // STEP))
+                w = run[np.minimum(begin + width // STEP, len(run) - 1)] - run[begin]
+                size = np.sqrt(np.einsum("ij,ij->i", w, w))
+                x, p = np.divmod(np.flatnonzero(w @ near >= COSINE * np.maximum(size, 1e-3)[:, None]), len(item))
+                block, k = begin[x] + (a - low) // STEP, item[p]
+                left = np.maximum(block - (-(-(start + self.slack[item]) // STEP))[p], 0)
+                right = np.minimum(block + (-(-(self.size[item] + self.slack[item] - start) // STEP))[p], rows - 1)
+                some = np.flatnonzero(inside[right * row + k] - inside[left * row + k] >= self.need[k])
+                found.update(zip(k[some].tolist(), (a + begin[x[some]] * STEP - start[p[some]]).tolist(), strict=True))
         return found
 
     def leaks(self, text: str) -> list[tuple[object, int, float, float]]:
@@ -189,11 +221,9 @@ class Latent:
         best: dict[int, tuple[float, float, int]] = {}
         for k, begin in self.candidates(words) if words else ():
             item, answer = self.words[k], self.answers[k]
-            slack = max(STEP // 2, len(item) // 4)
+            slack = int(self.slack[k])
             span = words[max(0, begin - slack) : max(0, begin + len(item) + slack)]
-            if len(self.bags[k].intersection(span)) < LCS_ANSWER * len(self.bags[k]) / 2:
-                continue
-            same = lcs(item, span) / len(item)
+            same = lcs(item, span, self.places[k]) / len(item)
             if same >= LCS_ANSWER:
                 said = lcs(answer, span) / len(answer) if answer else 0.0
                 if same >= LCS or said >= ANSWER:
