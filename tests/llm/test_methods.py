@@ -242,6 +242,17 @@ def test_parser_cases():
     assert text("<!-- no --><table><tr><td>a<td>b<tr><td>c</table>") == "a b c"
 
 
+def test_marks_need_most_of_the_text():
+    """A title, a meta line, a teaser or an empty element named like an article does not take the page's place."""
+    text = lambda h: html_extract.main_text(h)[0]
+    body = "<div class=body-text><p>one two three</p><p>four five</p></div>"
+    assert text(f"<h1 class=entry-title>T</h1>{body}") == "T one two three four five"
+    assert text(f"{body}<p class=post-meta>May 1</p>") == "one two three four five May 1"
+    assert text(f"<article>a teaser</article>{body}") == "a teaser one two three four five"
+    assert text(f"<main></main>{body}") == "one two three four five"
+    assert text(f"<article>a teaser</article><div id=content>{body}</div><p>out") == "a teaser one two three four five"
+
+
 def test_url_rules_are_mined_and_pruned(spark):
     pages, labels = [], []
     for i in range(400):

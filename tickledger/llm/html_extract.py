@@ -53,7 +53,6 @@ class Page(HTMLParser):
         self.open: list[tuple[str, int, bool, int, bool]] = [("", 0, False, 0, False)]
         self.text: list[str] = []
         self.blocks: list[tuple[int, bool, str]] = []
-        self.marks = 0
         self.shapes: dict[int, list[str]] = {}
         self.says: dict[int, list[str]] = {}
 
@@ -92,8 +91,6 @@ class Page(HTMLParser):
         elif tag not in ("html", "body"):
             noise = noise or tag in NOISE_TAGS or bool(words & NOISE_WORDS)
             main = max(main, 1) if words & MAIN_WORDS else main
-        if not noise:
-            self.marks = max(self.marks, main)
         step = f"{tag}.{'.'.join(sorted(words))}"
         self.shapes.setdefault(path, []).append(step)
         path = digest(f"{path}/{step}")
@@ -149,12 +146,19 @@ def names_of(attrs: list[tuple[str, str | None]]) -> set[str]:
 def main_text(html: str, low: frozenset[int] = frozenset()) -> tuple[str, int, int]:
     """The text, its blocks, and the blocks of unmarked pages that were cut for low importance.
 
-    Blocks inside an article or main element count if there is one, else those inside an
-    element named like one, else all; a page of low branches only is left uncut.
+    Blocks inside article or main elements count if these hold at least half of the page's
+    words, else those inside elements named like one if these do, else all; words of low
+    branches outside the elements are not counted.  A page of low branches only is left uncut.
     """
     page = Page(low).read(html)
-    blocks = [(cut, text) for main, cut, text in page.blocks if main >= page.marks]
-    kept = blocks if page.marks else [b for b in blocks if not b[0]] or blocks
+    words = [len(text.split()) for *_, text in page.blocks]
+    for mark in (2, 1, 0):
+        blocks = [(cut, text) for main, cut, text in page.blocks if main >= mark]
+        inside = sum(n for n, (main, *_) in zip(words, page.blocks, strict=True) if main >= mark)
+        outside = sum(n for n, (main, cut, _) in zip(words, page.blocks, strict=True) if main < mark and not cut)
+        if blocks and inside >= outside:
+            break
+    kept = blocks if mark else [b for b in blocks if not b[0]] or blocks
     return " ".join(t for _, t in kept), len(kept), len(blocks) - len(kept)
 
 
