@@ -253,6 +253,16 @@ def test_marks_need_most_of_the_text():
     assert text(f"<article>a teaser</article><div id=content>{body}</div><p>out") == "a teaser one two three four five"
 
 
+def test_style_tree_cuts_inside_articles(spark):
+    """A notice without a telling name that repeats inside the article goes; an article that is the same on all pages stays."""
+    page = "<body><article><h1>Title {0}</h1><p>own text {0}</p><div><p>Join our list today</p></div></article><div class=z>{0}</div></body>"
+    same = "<body><article><p>the same words on all pages</p></article><div class=z>{0}</div></body>"
+    rows = [(i, f"http://h.org/{i}", page.format(i)) for i in range(5)] + [(10 + i, f"http://k.org/{i}", same.format(i)) for i in range(5)]
+    got = {r.page_id: (r.text, r.n_cut) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == ("Title 3 own text 3", 1)
+    assert got[13] == ("the same words on all pages", 0)
+
+
 def test_url_rules_are_mined_and_pruned(spark):
     pages, labels = [], []
     for i in range(400):

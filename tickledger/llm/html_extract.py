@@ -4,8 +4,8 @@ The DOMs of a host's pages are merged: an element is known by its path of tags a
 and over the pages that have it the tree counts what its children look like and what its
 branch says.  The entropy of both counts is the importance of the branch: what looks and
 reads alike on every page is furniture.  Elements whose tag, class or role says what they
-are (an article; a menu, a form, an advert) need no statistics; for pages that mark no
-article, branches of low importance are cut.
+are (a menu, a form, an advert) need no statistics; an article that is marked bounds the text,
+and branches of low importance are cut inside it as on pages that mark none.
 
 The first pass emits two hashes per element and page, summed by (host, path, hash) before
 any shuffle; so a host with a third of all pages is spread over its paths and contents.
@@ -144,21 +144,22 @@ def names_of(attrs: list[tuple[str, str | None]]) -> set[str]:
 
 
 def main_text(html: str, low: frozenset[int] = frozenset()) -> tuple[str, int, int]:
-    """The text, its blocks, and the blocks of unmarked pages that were cut for low importance.
+    """The text, its blocks, and its blocks that were cut for low importance.
 
     Blocks inside article or main elements count if these hold at least half of the page's
-    words, else those inside elements named like one if these do, else all; words of low
-    branches outside the elements are not counted.  A page of low branches only is left uncut.
+    words, else those inside elements named like one if these do, else all; low
+    branches are not counted, and are cut.  Where nothing else is inside, they count and stay.
     """
     page = Page(low).read(html)
     words = [len(text.split()) for *_, text in page.blocks]
     for mark in (2, 1, 0):
         blocks = [(cut, text) for main, cut, text in page.blocks if main >= mark]
-        inside = sum(n for n, (main, *_) in zip(words, page.blocks, strict=True) if main >= mark)
+        inside = [(n, cut) for n, (main, cut, _) in zip(words, page.blocks, strict=True) if main >= mark]
+        inside = sum(n for n, cut in inside if not cut) or sum(n for n, _ in inside)
         outside = sum(n for n, (main, cut, _) in zip(words, page.blocks, strict=True) if main < mark and not cut)
         if blocks and inside >= outside:
             break
-    kept = blocks if mark else [b for b in blocks if not b[0]] or blocks
+    kept = [b for b in blocks if not b[0]] or blocks
     return " ".join(t for _, t in kept), len(kept), len(blocks) - len(kept)
 
 
