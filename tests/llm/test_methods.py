@@ -263,6 +263,13 @@ def test_style_tree_cuts_inside_articles(spark):
     assert got[13] == ("the same words on all pages", 0)
 
 
+def test_style_tree_merges_pages_with_ids_of_their_own(spark):
+    page = "<body class='postid-{0} single'><div id=node-{0}><div class=x><p>Same words on all</p></div><div class=y><p>own text {0}</p></div></div></body>"
+    rows = [(i, f"http://h.org/{i}", page.format(i)) for i in range(100, 106)]
+    got = {r.page_id: (r.text, r.n_cut) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[103] == ("own text 103", 1)
+
+
 def test_url_rules_are_mined_and_pruned(spark):
     pages, labels = [], []
     for i in range(400):

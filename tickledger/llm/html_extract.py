@@ -1,6 +1,6 @@
 """Main text of web pages by a site style tree.
 
-The DOMs of a host's pages are merged: an element is known by its path of tags and classes,
+The DOMs of a host's pages are merged: an element is known by its path of tags and classes (without numbers),
 and over the pages that have it the tree counts what its children look like and what its
 branch says.  The entropy of both counts is the importance of the branch: what looks and
 reads alike on every page is furniture.  Elements whose tag, class or role says what they
@@ -91,7 +91,8 @@ class Page(HTMLParser):
         elif tag not in ("html", "body"):
             noise = noise or tag in NOISE_TAGS or bool(words & NOISE_WORDS)
             main = max(main, 1) if words & MAIN_WORDS else main
-        step = f"{tag}.{'.'.join(sorted(words))}"
+        # ids and numbers tell a page's elements from those of other pages
+        step = ".".join([tag, *sorted(w for w in names_of(attrs, ("class",)) if not any(map(str.isdigit, w)))])
         self.shapes.setdefault(path, []).append(step)
         path = digest(f"{path}/{step}")
         self.shapes.setdefault(path, [])
@@ -139,8 +140,8 @@ def digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def names_of(attrs: list[tuple[str, str | None]]) -> set[str]:
-    return {w for k, v in attrs if k in ("class", "id", "role") and v for w in re.split(r"[^a-z0-9]+", v.lower()) if w}
+def names_of(attrs: list[tuple[str, str | None]], keys: tuple[str, ...] = ("class", "id", "role")) -> set[str]:
+    return {w for k, v in attrs if k in keys and v for w in re.split(r"[^a-z0-9]+", v.lower()) if w}
 
 
 def main_text(html: str, low: frozenset[int] = frozenset()) -> tuple[str, int, int]:
