@@ -4,7 +4,7 @@ import pytest
 from given import DATA
 
 import corpus_pipeline
-from tickledger.llm import decontaminate, html_extract, line_dedup, mixing, near_dup, quality_classifier, quality_rules, secret_scan, token_counts, url_filter
+from tickledger.llm import decontaminate, html_extract, line_dedup, mixing, near_dup, periodic_runs, quality_classifier, quality_rules, secret_scan, substring_dedup, token_counts, tokenizer_alignment, url_filter
 
 
 def labels(spark, rows=((1, 1, 0), (2, 1, 0), (3, 0, 1), (None, 1, 0), (4, None, None))):
@@ -15,10 +15,10 @@ def bench(spark, rows=((1, "word3 and3 word4 and4 word5 and5 word6 and6 word7 an
     return spark.createDataFrame(list(rows), "item_id long, text string")
 
 
-def vocabulary():
+def vocabulary(name="byte_bpe_50k.json"):
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 OPERATORS = {
@@ -30,6 +30,9 @@ OPERATORS = {
     "secrets": lambda spark, d: secret_scan.scan(d),
     "rules": lambda spark, d: quality_rules.apply_policy(quality_rules.ledger(d), "prose-1"),
     "lines": lambda spark, d: line_dedup.dedup_lines(d, 2),
+    "alignment": lambda spark, d: tokenizer_alignment.align_tokens(d, vocabulary(), vocabulary("piece_bpe_32k.model")),
+    "repeats": lambda spark, d: substring_dedup.cut_repeats(d),
+    "runs": lambda spark, d: periodic_runs.runs(d),
 }
 PER_ROW = set(OPERATORS) - {"leaks"}
 
