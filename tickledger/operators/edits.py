@@ -1,4 +1,4 @@
-"""Edited states: undo the actions of a case on its wide state row.
+"""Edited states: undo or redo the actions of a case on its wide state row.
 
 A case is one row with the state after (``post``), the state before (``pre``) and the
 actions to undo in order.  The edit is a fold over that short list, so it needs no
@@ -63,12 +63,16 @@ def action_struct() -> Column:
         p("x", "double").alias("x"), p("y", "double").alias("y"), p("z", "double").alias("z")).cast(ACTION_T)
 
 
+def _find(players: Column, pid: Column) -> Column:
+    return F.try_element_at(F.filter(players, lambda p: p["player_id"] == pid), F.lit(1))
+
+
 def _one_of(xs: Column, pid: Column) -> Column:
     return F.exists(xs, lambda e: e["id"] == pid)
 
 
-def _player(p: Column, r: Column, a: Column, planted: Column) -> Column:
-    """A player after one undo; ``r`` is the player in the state before."""
+def _player(p: Column, r: Column, a: Column, lethal: Column) -> Column:
+    """A player after one undo; ``r`` is the player in the state before, ``lethal`` the damage of a kill."""
     t, pid = a["type"], p["player_id"]
     alive, was = p["alive"] == 1, r["alive"] == 1
     is_actor, is_victim = pid == a["actor"], pid == a["victim"]
@@ -82,7 +86,6 @@ def _player(p: Column, r: Column, a: Column, planted: Column) -> Column:
     cap_h, cap_a = F.when(was, r["health"].cast("double")).otherwise(100.0), F.when(was, r["armor"].cast("double")).otherwise(100.0)
     back = lambda v, lost, cap: F.when(alive & (lost > 0), v + F.least(lost, F.greatest(F.lit(0.0), cap - v))).otherwise(v)
     dealt = F.when((t == "damage") & is_actor & ~is_victim, a["damage"]).when(he & is_actor, total(F.filter(a["hits"], lambda h: h["id"] != pid), "dmg"))
-    lethal = F.coalesce(a["lethal"], F.lit(0.0))
     dmg = p["damage_round"].cast("double")
     damage = F.when(killer, F.greatest(F.lit(0.0), dmg - lethal)).when(dealt.isNotNull(), F.greatest(F.least(dmg, r["damage_round"].cast("double")), dmg - dealt)).otherwise(dmg)
     blind = (t == "flash") & alive & (_one_of(a["blinded"], pid) | (is_actor & F.coalesce(a["blinded_self"] > 0, F.lit(False))))
@@ -119,20 +122,36 @@ def _owns(a: Column):
     return lambda u: F.coalesce((u["kind"] == kind) & (u["owner_id"] == a["actor"]) & here(u), F.lit(False))
 
 
+def _same_token(u: Column, v: Column) -> Column:
+    return (u["kind"] == v["kind"]) & u["owner_id"].eqNullSafe(v["owner_id"]) & u["x"].eqNullSafe(v["x"]) & u["y"].eqNullSafe(v["y"])
+
+
+def _insert(util: Column, ref: Column, own) -> Column:  # noqa: ANN001
+    """The own token of ``ref`` put into ``util`` behind the tokens that are older in ``ref``; beyond the cap the oldest goes."""
+    at = F.array_position(F.transform(ref, own), True).cast("int")
+    older = F.slice(ref, F.lit(1), F.greatest(at - 1, F.lit(0)))
+    pos = F.coalesce(F.array_max(F.transform(util, lambda v, i: F.when(F.exists(older, lambda u: _same_token(u, v)), i + 1).otherwise(0))), F.lit(0))
+    put = F.concat(F.slice(util, F.lit(1), pos), F.filter(ref, own), F.slice(util, pos + 1, F.size(util)))
+    return F.when(at > 0, F.slice(put, F.greatest(F.lit(1), F.size(put) - schemas.MAX_UTILITY + 1), schemas.MAX_UTILITY)).otherwise(util)
+
+
+def _capped(c: Column, before: Column, token: Column, by: int) -> dict[str, Column]:
+    """Counts of active areas when a token comes to or goes from a full list, which does not show them all."""
+    full = F.size(before) >= schemas.MAX_UTILITY
+    change = lambda f, kind: F.when(full & (token["kind"] == kind), F.greatest(F.lit(0), c[f] + by).cast("bigint")).otherwise(c[f])
+    return {"n_active_smokes": change("n_active_smokes", "smoke"), "n_active_fires": change("n_active_fires", "fire")}
+
+
 def _undo(s: Column, a: Column, pre: Column) -> Column:
     """A state after undoing one action."""
     t, c, pc = a["type"], s["ctx"], pre["ctx"]
-    ps = F.transform(s["players"], lambda p, i: _player(p, F.get(pre["players"], i), a, c["bomb_planted"]))
+    victim_ref = _find(pre["players"], a["victim"])
+    ps = F.transform(s["players"], lambda p, i: _player(p, F.get(pre["players"], i), a, F.coalesce(a["lethal"], victim_ref["health"].cast("double"), F.lit(0.0))))
     own = _owns(a)
     is_token = t.isin(*[k for k in TOKEN_KIND if k not in FADES])
     gone = F.filter(s["utility"], lambda u: ~own(u))
     found, stored = F.filter(s["utility"], own), F.filter(pre["utility"], own)
-    known = lambda u: F.exists(s["utility"], lambda v: (v["kind"] == u["kind"]) & v["owner_id"].eqNullSafe(u["owner_id"]) & v["x"].eqNullSafe(u["x"]) & v["y"].eqNullSafe(u["y"]))
-    # the token goes back where it stood: first the tokens of the state before, then the newer ones
-    older = F.filter(pre["utility"], lambda u: known(u) | own(u))
-    newer = F.filter(s["utility"], lambda v: ~F.exists(pre["utility"], lambda u: (v["kind"] == u["kind"]) & v["owner_id"].eqNullSafe(u["owner_id"]) & v["x"].eqNullSafe(u["x"]) & v["y"].eqNullSafe(u["y"])))
-    put = F.concat(older, newer)
-    put = F.slice(put, F.greatest(F.lit(1), F.size(put) - schemas.MAX_UTILITY + 1), schemas.MAX_UTILITY)
+    put = _insert(s["utility"], pre["utility"], own)
     util = F.when(is_token, gone).when(t.isin(*FADES), put).otherwise(s["utility"])
     unplant = t == "plant_complete"
     was_open = pc["bomb_planted"] == 0
@@ -141,7 +160,6 @@ def _undo(s: Column, a: Column, pre: Column) -> Column:
     clock = F.when(was_open, F.greatest(F.lit(0.0), pc["time_remaining_s"].cast("double") - elapsed)).otherwise(F.greatest(F.lit(0.0), S.CLOCK["round_time_s"] - c["time_into_round_s"].cast("double")))
     start, stop = t == "defuse_start", t.isin("defuse_complete", "defuse_abort")
     kit = F.coalesce(F.when(pc["defuse_in_progress"] == 1, pc["defuse_with_kit"]), a["kit"].cast("bigint"), actor["has_defuser"])
-    victim_ref = F.try_element_at(F.filter(pre["players"], lambda p: p["player_id"] == a["victim"]), F.lit(1))
     carry = F.when(unplant, F.when(was_open, pc["bomb_carrier_alive"]).otherwise(actor["alive"])).when(t.isin("bomb_drop", "bomb_pickup") & was_open, pc["bomb_carrier_alive"]).when(
         t.isin("kill", "team_kill") & (victim_ref["has_c4"] == 1) & (c["bomb_planted"] == 0), pc["bomb_carrier_alive"]).otherwise(c["bomb_carrier_alive"])
     money = lambda side: F.when(t.isin("drop", "buy", "team_buy"), F.aggregate(
@@ -153,10 +171,15 @@ def _undo(s: Column, a: Column, pre: Column) -> Column:
         "defuse_in_progress": F.when(start, F.lit(0)).when(stop, F.lit(1)).otherwise(c["defuse_in_progress"]), "defuse_with_kit": F.when(stop, kit).when(~start, c["defuse_with_kit"]),
         "money_ct": F.when(t.isin("buy", "team_buy"), money("ct")).otherwise(c["money_ct"]), "money_t": F.when(t.isin("buy", "team_buy"), money("t")).otherwise(c["money_t"]),
     }
+    less, more = _capped(c, s["utility"], F.get(found, F.lit(0)), -1), _capped(c, s["utility"], F.get(stored, F.lit(0)), 1)
+    new |= {f: F.when(is_token, less[f]).when(t.isin(*FADES), more[f]).otherwise(c[f]) for f in less}
     victim_now = F.try_element_at(F.filter(s["players"], lambda p: p["player_id"] == a["victim"]), F.lit(1))
     bad = lambda cond, msg: F.when(F.coalesce(cond, F.lit(True)), F.concat(F.lit(msg + " "), a["action_id"]))
     err = F.coalesce(
-        s["err"], F.when(t.isin("kill", "team_kill"), F.coalesce(bad(victim_now["alive"] != 0, "victim is not dead"), bad(victim_ref["alive"] != 1, "victim was not alive"))),
+        s["err"], F.when(t.isin("kill", "team_kill"), F.coalesce(bad(victim_now["alive"] != 0, "victim is not dead"), bad(victim_ref["alive"] != 1, "victim was not alive"), F.when((t == "kill") & (a["actor"] != a["victim"]), bad(actor["kills_round"] < 1, "killer has no kill")))),
+        F.when(t == "plant_start", bad(c["bomb_planted"] == 1, "already planted")),
+        F.when(t == "bomb_drop", bad((c["bomb_planted"] == 1) | (actor["alive"] != 1) | (actor["has_c4"] != 0), "cannot take the drop back")),
+        F.when(t == "bomb_pickup", bad((c["bomb_planted"] == 1) | (actor["alive"] != 1) | (actor["has_c4"] != 1), "cannot put back")), F.when(t == "buy", bad(actor["alive"] != 1, "buyer is dead")),
         F.when(is_token, F.coalesce(bad(F.size(found) == 0, "no token"), bad(F.size(found) > 1, "ambiguous token"))), F.when(t.isin(*FADES), bad(F.size(stored) != 1, "no token before")),
         F.when(unplant, F.coalesce(bad(c["bomb_planted"] != 1, "not planted"), bad(c["defuse_in_progress"] == 1, "defuse in progress"))),
         F.when(start, bad((c["bomb_planted"] != 1) | (c["defuse_in_progress"] != 1), "no defuse")), F.when(stop, bad((c["bomb_planted"] != 1) | (c["defuse_in_progress"] != 0) | (actor["alive"] != 1), "cannot resume the defuse")),
@@ -170,6 +193,108 @@ def undo_all(post: Column, pre: Column, actions: Column) -> Column:
     return F.aggregate(actions, post, lambda s, a: _undo(s, a, pre))
 
 
+def _hits(a: Column, pid: Column) -> Column:
+    """Hits of a damage or explosion on a player, as (health, armor)."""
+    one = F.array(F.struct(F.coalesce(a["damage"], F.lit(0.0)).alias("dmg"), F.coalesce(a["armor"], F.lit(0.0)).alias("armor")))
+    many = F.transform(F.filter(a["hits"], lambda h: h["id"] == pid), lambda h: F.struct(F.coalesce(h["dmg"], F.lit(0.0)).alias("dmg"), F.coalesce(h["armor"], F.lit(0.0)).alias("armor")))
+    none = F.array().cast("array<struct<dmg:double,armor:double>>")
+    return F.when((a["type"] == "damage") & (pid == a["victim"]), one).when(a["type"] == "he", many).otherwise(none)
+
+
+def _worn(p: Column, r: Column, a: Column) -> tuple[Column, Column]:
+    """Health and armor of a player after an action strikes again: those of the state after, or less by the hits (one health is left)."""
+    hits, up = _hits(a, p["player_id"]), r["alive"] == 1
+    lost = lambda f: F.aggregate(hits, F.lit(0.0), lambda m, h: m + h[f])
+    health, armor = p["health"].cast("double"), p["armor"].cast("double")
+    struck = (p["alive"] == 1) & (F.size(hits) > 0)
+    return (F.when(struck, F.when(up, F.least(health, r["health"].cast("double"))).otherwise(F.greatest(F.lit(1.0), health - lost("dmg")))).otherwise(health),
+            F.when(struck, F.when(up, F.least(armor, r["armor"].cast("double"))).otherwise(F.greatest(F.lit(0.0), armor - lost("armor")))).otherwise(armor))
+
+
+def _redone(p: Column, r: Column, a: Column, gain: Column) -> Column:
+    """A player after one action happens again; ``r`` is the player in the state after, ``gain`` the damage its actor makes."""
+    t, pid = a["type"], p["player_id"]
+    alive, after = p["alive"] == 1, r["alive"] == 1
+    actor, mine = pid == a["actor"], (pid == a["actor"]) & (p["alive"] == 1)
+    dies = t.isin("kill", "team_kill") & (pid == a["victim"]) & alive & (r["alive"] == 0)
+    killer = (t == "kill") & actor & (a["actor"] != a["victim"])
+    load = alive & after & (((t == "drop") & (actor | (pid == a["receiver"]))) | ((t == "buy") & actor) | ((t == "team_buy") & (p["side"] == a["side"])))
+    move = t.isin(*MOVES) & mine & r["x"].isNotNull()
+    told = F.element_at(F.filter(a["blinded"], lambda b: b["id"] == pid), -1)["duration"]
+    blind = (t == "flash") & alive & (_one_of(a["blinded"], pid) | (actor & F.coalesce(a["blinded_self"] > 0, F.lit(False))))
+    prop = lambda f, default: F.when(p[f].isNull(), p[f]).otherwise(F.coalesce(F.when(after, r[f]), F.lit(default)))
+    health, armor = _worn(p, r, a)
+    carry = F.when((t == "plant_complete") & mine, F.lit(0)).when((t == "bomb_drop") & mine, F.coalesce(F.when(after, r["has_c4"]), F.lit(0))).when(
+        (t == "bomb_pickup") & mine, F.coalesce(F.when(after, r["has_c4"]), F.lit(1))).otherwise(p["has_c4"])
+    out = {
+        "kills_round": F.when(killer, p["kills_round"] + 1).otherwise(p["kills_round"]),
+        "damage_round": F.when(killer | (t.isin("damage", "he") & actor), p["damage_round"].cast("double") + gain).otherwise(p["damage_round"]),
+        "health": F.when(dies, r["health"]).otherwise(health), "armor": F.when(dies | load, r["armor"]).otherwise(armor), "has_c4": F.when(dies, r["has_c4"]).otherwise(carry),
+        "flash_duration_remaining": F.when(dies, r["flash_duration_remaining"]).when(blind & after, F.coalesce(r["flash_duration_remaining"], F.lit(0.0))).when(
+            blind, F.when(actor & (a["blinded_self"] > 0), a["blinded_self"]).otherwise(told)).otherwise(p["flash_duration_remaining"]),
+        "is_planting": F.when(dies, r["is_planting"]).when((t == "plant_start") & mine, prop("is_planting", 1)).when((t == "plant_complete") & mine, prop("is_planting", 0)).otherwise(p["is_planting"]),
+        "is_defusing": F.when(dies, r["is_defusing"]).when((t == "defuse_start") & mine, prop("is_defusing", 1)).when(t.isin("defuse_complete", "defuse_abort") & mine, prop("is_defusing", 0)).otherwise(p["is_defusing"]),
+    }
+    copied = lambda f: dies | load if f in LOADOUT_FIELDS else dies | move if f in MOVE_FIELDS else dies
+    return F.struct(*[(out[f] if f in out else F.when(copied(f), r[f]).otherwise(p[f])).alias(f) for f in schemas.PLAYER_FIELDS])
+
+
+def _redo(s: Column, a: Column, post: Column) -> Column:
+    """A state after one action happens again; ``post`` is the state that knows how it ended."""
+    t, c, pc = a["type"], s["ctx"], post["ctx"]
+    victim, victim_after, actor = _find(s["players"], a["victim"]), _find(post["players"], a["victim"]), _find(s["players"], a["actor"])
+    loss = F.zip_with(s["players"], post["players"], lambda p, r: F.when((p["player_id"] != a["actor"]) & (p["alive"] == 1), p["health"].cast("double") - _worn(p, r, a)[0]).otherwise(0.0))
+    taken = F.aggregate(loss, F.lit(0.0), lambda m, x: m + F.coalesce(x, F.lit(0.0)))
+    gain = F.when(t == "kill", F.coalesce(a["lethal"], victim["health"].cast("double"))).otherwise(taken)
+    ps = F.transform(s["players"], lambda p, i: _redone(p, F.get(post["players"], i), a, gain))
+    own = _owns(a)
+    comes = t.isin(*[k for k in TOKEN_KIND if k not in FADES])
+    found, stored = F.filter(s["utility"], own), F.filter(post["utility"], own)
+    util = F.when(comes, _insert(s["utility"], post["utility"], own)).when(t.isin(*FADES), F.filter(s["utility"], lambda u: ~own(u))).otherwise(s["utility"])
+    plant, start, stop = t == "plant_complete", t == "defuse_start", t.isin("defuse_complete", "defuse_abort")
+    later, known = c["time_into_round_s"].cast("double") - pc["time_into_round_s"].cast("double"), pc["bomb_planted"] == 1
+    site = F.coalesce(a["site"], F.when(known, pc["bomb_site"]))
+    kit = F.coalesce(F.when(pc["defuse_in_progress"] == 1, pc["defuse_with_kit"]), a["kit"].cast("bigint"), actor["has_defuser"])
+    not_planted = c["bomb_planted"] == 0
+    carrier = F.when(t.isin("bomb_drop", "bomb_pickup") & (pc["bomb_planted"] == 0), pc["bomb_carrier_alive"]).when(
+        t.isin("kill", "team_kill") & (victim["has_c4"] == 1) & not_planted, pc["bomb_carrier_alive"]).otherwise(c["bomb_carrier_alive"])
+    bank = lambda side: F.when(t.isin("buy", "team_buy"), F.aggregate(
+        F.zip_with(ps, s["players"], lambda n, o: F.when(n["side"] == side, F.coalesce(n["money"].cast("double"), F.lit(0.0)) - F.coalesce(o["money"].cast("double"), F.lit(0.0))).otherwise(0.0)),
+        c[f"money_{side}"].cast("double"), lambda m, d: m + d)).otherwise(c[f"money_{side}"].cast("double"))
+    more, less = _capped(c, s["utility"], F.get(stored, F.lit(0)), 1), _capped(c, s["utility"], F.get(found, F.lit(0)), -1)
+    new = {
+        "bomb_planted": F.when(plant, F.lit(1)).otherwise(c["bomb_planted"]), "bomb_site": F.when(plant, site).otherwise(c["bomb_site"]), "bomb_carrier_alive": F.when(~plant, carrier),
+        "time_since_plant_s": F.when(plant, F.when(known, F.greatest(F.lit(0.0), pc["time_since_plant_s"].cast("double") + later)).otherwise(0.0)).otherwise(c["time_since_plant_s"]),
+        "time_remaining_s": F.when(plant, F.when(known, F.greatest(F.lit(0.0), pc["time_remaining_s"].cast("double") - later)).otherwise(S.CLOCK["bomb_timer_s"])).otherwise(c["time_remaining_s"]),
+        "defuse_in_progress": F.when(start, F.lit(1)).when(stop, F.lit(0)).otherwise(c["defuse_in_progress"]), "defuse_with_kit": F.when(start, kit).when(~stop, c["defuse_with_kit"]),
+        "money_ct": bank("ct"), "money_t": bank("t"),
+        **{f: F.when(comes, more[f]).when(t.isin(*FADES), less[f]).otherwise(c[f]) for f in more},
+    }
+    bad = lambda cond, msg: F.when(F.coalesce(cond, F.lit(True)), F.concat(F.lit(msg + " "), a["action_id"]))
+    struck = F.exists(s["players"], lambda p: (F.size(_hits(a, p["player_id"])) > 0) & (p["alive"] == 0))
+    dark = F.exists(F.zip_with(s["players"], post["players"], lambda p, r: (p["alive"] == 1) & ~F.coalesce(r["alive"] == 1, F.lit(False)) & F.exists(a["blinded"], lambda b: (b["id"] == p["player_id"]) & b["duration"].isNull())), lambda x: x)
+    err = F.coalesce(
+        s["err"], F.when(t.isin("kill", "team_kill"), F.coalesce(bad(victim["alive"] != 1, "victim is already dead"), bad(victim_after["alive"] != 0, "victim does not die"))),
+        F.when(t.isin("damage", "he"), bad(struck, "victim is dead")), F.when(t == "flash", bad(dark, "no duration")),
+        F.when(comes, F.coalesce(bad(F.size(stored) != 1, "no token after"), bad(F.size(found) > 0, "token is there already"))), F.when(t.isin(*FADES), bad(F.size(found) != 1, "no token")),
+        F.when(plant, F.coalesce(bad(c["bomb_planted"] != 0, "already planted"), bad(site.isNull(), "no site"))), F.when(start, bad((c["bomb_planted"] != 1) | (c["defuse_in_progress"] != 0) | (actor["alive"] != 1), "cannot start the defuse")),
+        F.when(stop, bad((c["bomb_planted"] != 1) | (c["defuse_in_progress"] != 1), "no defuse")),
+        F.when(t == "bomb_drop", bad((c["bomb_planted"] != 0) | (actor["alive"] != 1) | (actor["has_c4"] != 1), "no bomb to drop")),
+        F.when(t == "bomb_pickup", bad((c["bomb_planted"] != 0) | (actor["alive"] != 1) | (actor["has_c4"] != 0), "cannot pick up")),
+        F.when(t.isin(*MOVES), bad((actor["alive"] != 1) | _find(post["players"], a["actor"])["x"].isNull(), "mover is dead")), F.when(t == "buy", bad(actor["alive"] != 1, "buyer is dead")),
+        F.when(~t.isin(*EDIT_TABLE, "freeze"), bad(F.lit(True), "no edit for type")))
+    ctx = F.struct(*[(new[f] if f in new else c[f]).alias(f) for f in schemas.CTX_FIELDS])
+    return F.struct(ps.alias("players"), util.alias("utility"), ctx.alias("ctx"), err.cast("string").alias("err")).cast(STATE_T)
+
+
+def redo_all(state: Column, post: Column, actions: Column) -> Column:
+    """Let a list of actions happen again in a state, in their order; ``post`` is the state after all of them.
+
+    The first action that cannot happen leaves its reason in ``err``.
+    """
+    return F.aggregate(actions, state, lambda s, a: _redo(s, a, post))
+
+
 def reblind(state: Column, post: Column, kept: Column) -> Column:
     """Players revived by the edit get the blindness of the flashes that still happened."""
     def one(p: Column, i: Column) -> Column:
@@ -180,8 +305,17 @@ def reblind(state: Column, post: Column, kept: Column) -> Column:
     return state.withField("players", F.transform(state["players"], one).cast(PLAYERS_T)).cast(STATE_T)
 
 
+def bound(x: Column, f) -> Column:  # noqa: ANN001
+    """``f(x)`` with ``x`` evaluated once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def recompute(state: Column) -> Column:
     """Fields that follow from players and tokens: counts, sums, in-smoke and on-fire flags.  Money stays."""
+    return bound(state, _recomputed)
+
+
+def _recomputed(state: Column) -> Column:
     ps, u, c = state["players"], state["utility"], state["ctx"]
 
     def inside(p: Column, kind: str) -> Column:
@@ -250,6 +384,26 @@ def apply_cases(cases: DataFrame, order: str = "reverse") -> DataFrame:
     return out.drop("_todo", "_kept")
 
 
+def coalition_tree(games: DataFrame) -> DataFrame:
+    """Edited state of every coalition of the members of a game: one row per mask of those that happened.
+
+    ``games``: ``pre``, ``post``, ``members`` in tick order and ``n``.  The members are walked
+    once, the latest first; each state met so far splits into the one where the member
+    happened and the one where it is undone.  So coalitions share the folds of what they undo
+    alike: ``2**n`` edits where one fold per coalition takes ``n * 2**(n - 1)``.
+    """
+    node = f"array<struct<mask:bigint,state:{STATE_T}>>"
+    member = F.transform("members", lambda a, i: F.struct(F.call_function("shiftleft", F.lit(1).cast("bigint"), i.cast("int")).alias("bit"), a.alias("a")))
+    full = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("n").cast("int")) - 1
+    start = F.array(F.struct(full.alias("mask"), F.col("post").alias("state"))).cast(node)
+    split = lambda acc, m: F.concat(acc, F.transform(acc, lambda x: F.struct((x["mask"] - m["bit"]).alias("mask"), _undo(x["state"], m["a"], F.col("pre")).alias("state"))).cast(node))
+    out = games.withColumn("_node", F.explode(F.aggregate(F.reverse(member), start, split)))
+    out = out.withColumns({"mask": F.col("_node.mask"), "_state": F.col("_node.state")})
+    kept = F.filter("members", lambda a, i: F.getbit("mask", i.cast("int")) == 1)
+    whole = F.col("mask") == full
+    return out.withColumn("edited", F.when(whole, F.col("post")).otherwise(recompute(reblind(F.col("_state"), F.col("post"), kept)))).drop("_node", "_state")
+
+
 def revert_buys(state: Column, priors: Column) -> Column:
     """Loadouts of some players set to a prior one: ``priors`` maps player id to a loadout struct."""
     def one(p: Column) -> Column:

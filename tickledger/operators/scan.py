@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -319,15 +319,20 @@ def overlap_join(a: DataFrame, b: DataFrame, by: Sequence[str], a_lo: str, a_hi:
     return hit.drop("_bk")
 
 
+#: Folder of a local session that names none; made when it is first asked for.
+_own_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; only a local session without the setting gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return _own_folder[0]
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -338,10 +343,38 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(plain.schema).parquet(path)
 
 
+def _steps(plan) -> Iterator[str]:  # noqa: ANN001
+    """Names of a plan's nodes."""
+    yield plan.nodeName()
+    below = plan.children()
+    for i in range(below.size()):
+        yield from _steps(below.apply(i))
+
+
 def settled(df: DataFrame, costly: Sequence[str] = ("Join", "Window", "Aggregate", "Union", "Generate")) -> DataFrame:
     """``df`` to be read more than once: written first if its plan has one of the ``costly`` steps."""
-    plan = df._jdf.queryExecution().logical().toString()
-    return durable(df) if any(x in plan for x in costly) else df
+    return durable(df) if not set(costly).isdisjoint(_steps(df._jdf.queryExecution().logical())) else df
+
+
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "rank", first: int = 0) -> DataFrame:
+    """``df`` with consecutive numbers from ``first`` on in each group, in the order of the ``order`` columns.
+
+    The rows are cut in ranges of (group, order), which come sorted; a range knows its own
+    numbers but for what the ranges before it hold.  Those are a few counts per range, so no
+    group is ever in one task.  Rows that are equal in all these columns have any order.
+    """
+    by, order = list(by), list(order)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = settled(df).repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order)
+    rows = durable(rows.withColumn("_at", F.monotonically_increasing_id()))  # the range in the high bits, the place in it in the others
+    part = F.shiftright("_at", 33)
+    counts = rows.groupBy(*by, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per range
+    base = counts.withColumn("_base", before - F.col("_first")).select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_part").alias("_b_part"), "_base")
+    same = part == F.col("_b_part")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    return rows.join(base, same).withColumn(name, F.col("_base") + F.col("_at") + first).drop("_at", "_base", "_b_part", *[f"_b_{c}" for c in by])
 
 
 def greedy_match(pairs: DataFrame, a: Sequence[str], b: Sequence[str], a_order: Sequence[str], b_order: Sequence[str]) -> DataFrame:
