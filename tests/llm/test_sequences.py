@@ -69,14 +69,12 @@ def brute_alignment(texts):
             docs.append(None)
             continue
         ex, ey = np.cumsum([len(p) for p in bx]).tolist(), np.cumsum([len(p) for p in by]).tolist()
-        both, groups, links = sorted(set(ex) & set(ey)), [], []
-        low = 0
-        for end in both:
-            gx = [i for i, e in enumerate(ex) if low < e <= end]
-            gy = [j for j, e in enumerate(ey) if low < e <= end]
+        groups, links, i, j = [], [], 0, 0
+        for end in sorted(set(ex) & set(ey)):
+            gx, gy = range(i, ex.index(end, i) + 1), range(j, ey.index(end, j) + 1)
+            i, j = gx.stop, gy.stop
             groups.append(",".join(str(x.ids[i]) for i in gx) + "|" + ",".join(str(y[j]) for j in gy))
-            links += [(x.ids[i], y[j]) for i in gx for j in gy if ex[i] > ey[j] - len(by[j]) and ey[j] > ex[i] - len(bx[i])]
-            low = end
+            links += [(x.ids[k], y[m]) for k in gx for m in gy if ex[k] > ey[m] - len(by[m]) and ey[m] > ex[k] - len(bx[k])]
         docs.append((len(x.ids), len(y), groups, links))
     count = Counter(p for d in docs if d for p in set(d[3]))
     best = defaultdict(int)

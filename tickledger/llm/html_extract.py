@@ -35,6 +35,9 @@ BRANCH_BOUND = 8 << 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 NOISE_TAGS = frozenset("aside button dialog footer form head header iframe menu nav noscript object script select style svg template textarea title".split())
+#: Elements that show nothing themselves: the words around them are one text.
+HIDDEN = frozenset("noscript script style svg template".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NOISE_WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer header menu nav navbar navigation newsletter notice notices pager pagination popup promo related respond share sharing sidebar social sponsor sponsored subscribe widget".split()
 )
@@ -49,10 +52,10 @@ class Page(HTMLParser):
     def __init__(self, low: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
         self.low = low
-        # of each open element: tag, path, noise, rank of main (2 by tag, 1 by class), low
-        self.open: list[tuple[str, int, bool, int, bool]] = [("", 0, False, 0, False)]
+        # of each open element: tag, path, noise, rank of main (2 by tag, 1 by class), low, and whether its own text is passed over
+        self.open: list[tuple[str, int, bool, int, bool, bool]] = [("", 0, False, 0, False, False)]
         self.text: list[str] = []
-        self.blocks: list[tuple[int, bool, str]] = []
+        self.blocks: list[tuple[int, bool, bool, str]] = []
         self.shapes: dict[int, list[str]] = {}
         self.says: dict[int, list[str]] = {}
 
@@ -60,31 +63,30 @@ class Page(HTMLParser):
         if self.text:
             words = " ".join("".join(self.text).split())
             self.text.clear()
-            _, _, noise, main, low = self.open[-1]
+            _, _, noise, main, low, _ = next(e for e in reversed(self.open) if not e[5])
             if words:
                 for _, path, *_ in self.open[1:]:
                     self.says.setdefault(path, []).append(words)
-                if not noise:
-                    self.blocks.append((main, low, words))
+                self.blocks.append((main, low, noise, words))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        _, path, noise, main, low, passed = self.open[-1]
+        inside = passed and any(e[0] in HIDDEN for e in self.open)
         if tag in VOID:
-            if tag not in INLINE:
+            if tag not in INLINE and not inside:
                 self.flush()
             return
-        _, path, noise, main, low = self.open[-1]
+        if inside or tag in HIDDEN:
+            self.open.append((tag, path, noise, main, low, True))
+            return
         if tag in INLINE:
             # inline elements stay out of the tree, but may be noise themselves
-            words = names_of(attrs)
-            if words & NOISE_WORDS and not noise:
-                self.flush()
-                self.open.append((tag, path, True, main, low))
-            else:
-                self.open.append((tag, path, noise, main, low))
+            self.open.append((tag, path, noise, main, low, passed or (not noise and bool(names_of(attrs) & NOISE_WORDS))))
             return
         self.flush()
         self.close_implied(tag)
-        _, path, noise, main, low = self.open[-1]
+        _, path, noise, main, low, passed = self.open[-1]
+        noise = noise or passed
         words = names_of(attrs)
         if tag in ("article", "main"):
             noise, main = noise or bool(words & {"comment", "comments"}), 2
@@ -96,7 +98,8 @@ class Page(HTMLParser):
         self.shapes.setdefault(path, []).append(step)
         path = digest(f"{path}/{step}")
         self.shapes.setdefault(path, [])
-        self.open.append((tag, path, noise, main, low or path in self.low))
+        # a heading that many pages share still heads its own article
+        self.open.append((tag, path, noise, main, low or (path in self.low and not (main == 2 and tag in HEADINGS)), False))
 
     def close_implied(self, tag: str) -> None:
         """A new block ends an open paragraph, a new item the one before it."""
@@ -113,19 +116,20 @@ class Page(HTMLParser):
         self.handle_starttag(tag, attrs)  # in HTML a slash does not close an element
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in INLINE:
-            self.flush()
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == tag:
-                if tag in INLINE and self.open[i][2] != self.open[i - 1][2]:
+                if tag not in INLINE and not self.open[i][5]:
                     self.flush()
                 del self.open[i:]
                 return
             if tag in INLINE and self.open[i][0] not in INLINE:
                 return
+        if tag not in INLINE and not self.open[-1][5]:
+            self.flush()
 
     def handle_data(self, data: str) -> None:
-        self.text.append(data)
+        if not self.open[-1][5]:
+            self.text.append(data)
 
     def read(self, html: str) -> Page:
         self.feed(html)
@@ -144,24 +148,28 @@ def names_of(attrs: list[tuple[str, str | None]], keys: tuple[str, ...] = ("clas
     return {w for k, v in attrs if k in keys and v for w in re.split(r"[^a-z0-9]+", v.lower()) if w}
 
 
-def main_text(html: str, low: frozenset[int] = frozenset()) -> tuple[str, int, int]:
-    """The text, its blocks, and its blocks that were cut for low importance.
+def main_text(html: str, low: frozenset[int] = frozenset()) -> tuple[str, int, int, int]:
+    """The text, its blocks, the blocks cut for low importance, and those the lists alone cut.
 
-    Blocks inside article or main elements count if these hold at least half of the page's
+    The tree judges first: a low branch goes, whatever its elements are called.  Of what it
+    leaves, elements that the lists name go.  Blocks inside article or main elements count if these hold at least half of the page's
     words, else those inside elements named like one if these do, else all; low
     branches are not counted, and are cut.  Where nothing else is inside, they count and stay.
     """
-    page = Page(low).read(html)
-    words = [len(text.split()) for *_, text in page.blocks]
+    every = Page(low).read(html).blocks
+    by_tree = sum(cut and noise for _, cut, noise, _ in every)
+    by_lists = sum(noise and not cut for _, cut, noise, _ in every)
+    plain = [(main, cut, text) for main, cut, noise, text in every if not noise]
+    words = [len(text.split()) for *_, text in plain]
     for mark in (2, 1, 0):
-        blocks = [(cut, text) for main, cut, text in page.blocks if main >= mark]
-        inside = [(n, cut) for n, (main, cut, _) in zip(words, page.blocks, strict=True) if main >= mark]
+        blocks = [(cut, text) for main, cut, text in plain if main >= mark]
+        inside = [(n, cut) for n, (main, cut, _) in zip(words, plain, strict=True) if main >= mark]
         inside = sum(n for n, cut in inside if not cut) or sum(n for n, _ in inside)
-        outside = sum(n for n, (main, cut, _) in zip(words, page.blocks, strict=True) if main < mark and not cut)
+        outside = sum(n for n, (main, cut, _) in zip(words, plain, strict=True) if main < mark and not cut)
         if blocks and inside >= outside:
             break
     kept = [b for b in blocks if not b[0]] or blocks
-    return " ".join(t for _, t in kept), len(kept), len(blocks) - len(kept)
+    return " ".join(t for _, t in kept), len(kept), by_tree + len(blocks) - len(kept), by_lists
 
 
 def host_of(url: Column) -> Column:
@@ -193,7 +201,10 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars, n_blocks, n_cut`` of every row of ``pages``.
+    """``page_id, url, text, n_chars, n_blocks, n_cut, n_listed`` of every row of ``pages``.
+
+    ``n_cut`` blocks went because the site style tree finds them alike on the host's pages,
+    ``n_listed`` more because a tag or class names them; ``n_blocks`` are left.
 
     Character references are decoded, white space inside a block becomes one space, blocks
     are joined in page order by one space.  A null or empty page gives an empty text, a null
@@ -218,11 +229,11 @@ def extract(pages: DataFrame) -> DataFrame:
                 key = key.as_py()
                 cut = known.get(key, none) if known is not None else frozenset(key or ())
                 out.append(main_text(html.as_py() or "", cut))
-            cols = [pa.array([x[0] for x in out], pa.string()), *[pa.array(v, pa.int64()) for v in ([len(x[0]) for x in out], [x[1] for x in out], [x[2] for x in out])]]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["page_id", "url", "text", "n_chars", "n_blocks", "n_cut"])
+            cols = [pa.array([x[0] for x in out], pa.string()), *[pa.array(v, pa.int64()) for v in ([len(x[0]) for x in out], *[[x[i] for x in out] for i in (1, 2, 3)])]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["page_id", "url", "text", "n_chars", "n_blocks", "n_cut", "n_listed"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return met.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, n_blocks long, n_cut long")
+    return met.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, n_blocks long, n_cut long, n_listed long")
 
 
 @query("op5_html_extract")

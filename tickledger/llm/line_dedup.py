@@ -67,14 +67,14 @@ def _cut(doc_id: object, text: str, hashes: list, first: dict[int, object]) -> t
     return "\n".join(keep), len(lines) - len(keep)
 
 
-def strip_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` cut and ``_removed`` (lines) added.
+def strip_lines(docs: DataFrame, found: DataFrame, count: str = "_removed") -> DataFrame:
+    """``docs`` with ``text`` cut and ``count`` (lines removed) added.
 
     While the found lines fit in ``LINES_BOUND`` they are sent to the tasks and every text is
     cut where it lies.  Beyond that the hashed lines of each text meet them by a shuffle, and
     only the places to cut come back.
     """
-    names = [c for c in docs.columns if c != "_removed"]
+    names = [c for c in docs.columns if c != count]
     if plan_bytes(found) <= LINES_BOUND:
         first = {r.line: r.first for r in found.collect()}
         sent = docs.sparkSession.sparkContext.broadcast(first)
@@ -90,34 +90,34 @@ def strip_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
                     texts.append(text)
                     counts.append(n)
                 cols = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], [*names, "_removed"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], [*names, count])
 
         plain = docs.select(*[F.col(f"`{c}`") for c in names])
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-        return plain.withColumn("__line_hashes", line_hashes(F.col("text"))).mapInArrow(run, f"{fields}, _removed long")
+        return plain.withColumn("__line_hashes", line_hashes(F.col("text"))).mapInArrow(run, f"{fields}, {count} long")
     place = docs.select("doc_id", F.xxhash64("text").alias("whole"), F.posexplode(line_hashes(F.col("text"))).alias("at", "line")).join(found, "line").where("not (first <=> doc_id)")
     cuts = place.groupBy(F.col("doc_id").alias("__line_d"), F.col("whole").alias("__line_w")).agg(F.collect_set("at").alias("__line_cuts"))
     rows = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col("__line_d")) & (F.xxhash64("text") == F.col("__line_w")), "left")
     lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("__line_cuts", i), F.lit(False)))
     text = F.when(F.col("__line_cuts").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    return rows.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names], F.coalesce(F.size("__line_cuts"), F.lit(0)).cast("long").alias("_removed"))
+    return rows.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names], F.coalesce(F.size("__line_cuts"), F.lit(0)).cast("long").alias(count))
 
 
-def dedup_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """Every row of ``docs`` with its text freed of boilerplate lines; ``_removed`` counts them.
+def dedup_lines(docs: DataFrame, sites: int = SITES, count: str = "_removed") -> DataFrame:
+    """Every row of ``docs`` with its text freed of boilerplate lines; ``count`` counts them.
 
     A null text stays null, an empty one empty.  A line that repeats inside its first
     document stays there each time; rows with the same id count as one document.  If no
     bearer of a line has an id, it goes everywhere.  An empty table gives no rows; further
-    columns pass through (one named ``_removed`` gives way).
+    columns pass through (one named like ``count`` gives way).
     """
-    return strip_lines(docs, boilerplate(docs, sites))
+    return strip_lines(docs, boilerplate(docs, sites), count)
 
 
 def freed(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """The rows of ``docs`` with their texts freed of boilerplate; a text of which no word is left goes altogether."""
-    rows = dedup_lines(docs, sites)
-    return rows.where((F.col("_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = dedup_lines(docs, sites, own := "__lines_removed")
+    return rows.where((F.col(own) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 OP10_SQL = rf"""

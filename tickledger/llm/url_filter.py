@@ -23,8 +23,6 @@ RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 RULE_BOUND = 1000
 #: A learnt rule holds for at least this share and number of the labelled urls, and with this confidence.
 SUPPORT, SUPPORT_ROWS, CONFIDENCE = 0.002, 5, 0.8
-#: A token on more than this share of the labelled urls tells nothing and is left out of the mining.
-COMMON = 0.9
 
 
 def after_scheme(url: Column) -> Column:
@@ -51,7 +49,8 @@ def best_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Colum
         h, _, p = rule.partition("/")
         fit = ((host == h) | host.endswith(f".{h}")) & path.startswith(f"/{p}")
         fits.append(F.when(fit, F.struct(F.lit(len(rule)).alias("length"), F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))))
-    return F.array_max(F.array_compact(F.array(*fits))) if fits else F.lit(None)
+    none = F.lit(None).cast("struct<length:int,rule:string,verdict:string>")
+    return F.array_max(F.array_compact(F.array(*fits, none)))
 
 
 def tokens_of(url: Column, host: Column, path: Column) -> Column:
@@ -88,7 +87,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, support_rows: int = SUPP
         return empty
     least = max(support, support_rows / n)
     seen = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    known = written(seen.where((F.col("n") >= least * n) & (F.col("n") <= COMMON * n)))
+    known = written(seen.where(F.col("n") >= least * n))
     kept = labelled.withColumn("row", F.monotonically_increasing_id())
     kept = written(kept)
     some = kept.select("row", F.explode("tokens").alias("token")).join(known, "token", "left_semi").groupBy("row").agg(F.collect_set("token").alias("tokens"))
