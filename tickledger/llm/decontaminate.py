@@ -13,7 +13,7 @@ by what they have inside it, whatever share of their length the rank keeps, and
 as long as the passages they are held against.  Candidates are thinned by a bound only: a
 place with fewer words of the item than the subsequence needs cannot have it.  The benchmark is a stated query
 set; it is taken in blocks of bounded size, each sent to the tasks, against all documents.
-No text is shuffled, and a task's memory holds a stretch of one document at a time.
+No text is shuffled, and a task's memory holds the words of some texts, or of one long text, at a time.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import query, read, without, written
+from .words import blocks
 
 #: Words of a passage or window, and the steps between passages and between windows.
 WIDTH, PASSAGE_STEP, STEP = 32, 16, 8
@@ -37,8 +38,10 @@ RANK, MORE, ROUNDS = 64, 10, 3
 COSINE, LCS, LCS_ANSWER, ANSWER = 0.5, 0.6, 0.5, 0.8
 #: Items and bytes of text in a block of the benchmark.
 BLOCK_ITEMS, BLOCK_BYTES = 2000, 4 << 20
-#: Words of a document that are looked at together.
-STRETCH = 8192
+#: Places of an item that are ruled out together.
+TOGETHER = 6
+#: Words that are looked at together, and bytes of the texts that are laid end to end.
+STRETCH, LAID_BYTES = 8192, 1 << 19
 
 _PLAIN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -184,18 +187,23 @@ class Latent:
         for k, item in enumerate(self.words):
             self.has[[self.at[w] for w in set(item)], k >> 3] |= 1 << (k & 7)
 
-    def candidates(self, words: list[bytes]) -> set[tuple[int, int]]:
-        """Items and the places where they would begin, for every window close to a passage.
+    def candidates(self, docs: list[list[bytes]]) -> list[set[tuple[int, int]]]:
+        """For each of some documents, items and the places where they would begin: all windows close to a passage.
 
-        Words are summed by blocks of ``STEP``: their latent vectors, and how many are words of
-        each item.  A place stays if the blocks around it have the words of the item that a
-        subsequence needs to count.
+        The documents are laid end to end, each from a full step on and with a gap of the
+        widest window behind it, so that one product serves many short ones.  Words are summed
+        by blocks of ``STEP``: their latent vectors, and how many are words of each item.  A
+        place stays if the blocks around it have the words of the item that a subsequence
+        needs to count.
         """
-        none, n = len(self.at), len(words)
-        get = self.at.get
-        ids = np.full(-(-n // STEP) * STEP, none)
-        ids[:n] = np.fromiter((get(w, none) for w in words), np.int64, n)
-        found: set[tuple[int, int]] = set()
+        none, get = len(self.at), self.at.get
+        room = [-(-len(words) // STEP) * STEP + WIDTH for words in docs]
+        base = np.concatenate([[0], np.cumsum(room)])
+        n = int(base[-1])
+        ids = np.full(n, none)
+        for at, words in zip(base.tolist(), docs, strict=False):
+            ids[at : at + len(words)] = [get(w, none) for w in words]
+        found: list[set[tuple[int, int]]] = [set() for _ in docs]
         for a in range(0, n, STRETCH):
             low = max(0, a - self.margin)
             run = summed(self.add.take(ids[a : a + STRETCH + WIDTH], axis=0), np.float32)
@@ -212,23 +220,42 @@ class Latent:
                 left = np.maximum(block - (-(-(start + self.slack[item]) // STEP))[p], 0)
                 right = np.minimum(block + (-(-(self.size[item] + self.slack[item] - start) // STEP))[p], rows - 1)
                 some = np.flatnonzero(inside[right * row + k] - inside[left * row + k] >= self.need[k])
-                found.update(zip(k[some].tolist(), (a + begin[x[some]] * STEP - start[p[some]]).tolist(), strict=True))
+                at = a + begin[x[some]] * STEP
+                doc = np.searchsorted(base, at, "right") - 1
+                for d, k, place in zip(doc.tolist(), k[some].tolist(), (at - base[doc] - start[p[some]]).tolist(), strict=True):
+                    found[d].add((k, place))
         return found
 
-    def leaks(self, text: str) -> list[tuple[object, int, float, float]]:
-        """``item_id, place, lcs, answer`` of the items that the text gives away, each at its best place."""
-        words = tokens(text)
-        best: dict[int, tuple[float, float, int]] = {}
-        for k, begin in self.candidates(words) if words else ():
-            item, answer = self.words[k], self.answers[k]
-            slack = int(self.slack[k])
-            span = words[max(0, begin - slack) : max(0, begin + len(item) + slack)]
-            same = lcs(item, span, self.places[k]) / len(item)
-            if same >= LCS_ANSWER:
-                said = lcs(answer, span) / len(answer) if answer else 0.0
-                if same >= LCS or said >= ANSWER:
-                    best[k] = max(best.get(k, (0.0, 0.0, 0)), (same, said, max(0, begin)))
-        return [(self.ids[k], place, same, said) for k, (same, said, place) in sorted(best.items())]
+    def possible(self, words: list[bytes], places: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        """Places but for those of an item close together that have no subsequence long enough even in one stretch over all of them."""
+        a = 0
+        while a < len(places):
+            k, begin = places[a]
+            b = a + 1
+            while b < len(places) and b - a < TOGETHER and places[b][0] == k and places[b][1] <= places[b - 1][1] + 2 * STEP:
+                b += 1
+            item, slack = self.words[k], int(self.slack[k])
+            if b - a == 1 or lcs(item, words[max(0, begin - slack) : max(0, places[b - 1][1] + len(item) + slack)], self.places[k]) >= LCS_ANSWER * len(item):
+                yield from places[a:b]
+            a = b
+
+    def leaks(self, texts: list[str]) -> list[list[tuple[object, int, float, float]]]:
+        """For each text ``item_id, place, lcs, answer`` of the items that it gives away, each at its best place."""
+        docs = [tokens(t) for t in texts]
+        out = []
+        for words, places in zip(docs, self.candidates(docs), strict=True):
+            best: dict[int, tuple[float, float, int]] = {}
+            for k, begin in self.possible(words, sorted(places)):
+                item, answer = self.words[k], self.answers[k]
+                slack = int(self.slack[k])
+                span = words[max(0, begin - slack) : max(0, begin + len(item) + slack)]
+                same = lcs(item, span, self.places[k]) / len(item)
+                if same >= LCS_ANSWER:
+                    said = lcs(answer, span) / len(answer) if answer else 0.0
+                    if same >= LCS or said >= ANSWER:
+                        best[k] = max(best.get(k, (0.0, 0.0, 0)), (same, said, max(0, begin)))
+            out.append([(self.ids[k], place, same, said) for k, (same, said, place) in sorted(best.items())])
+        return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -243,12 +270,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS,
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = written(benchmark.where("text is not null and text <> ''").select("item_id", "text", answer.alias("answer")))
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
-    blocks = max(1, -(-size.n // block_items), -(-size.b // block_bytes))
+    parts = max(1, -(-size.n // block_items), -(-size.b // block_bytes))
     kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, place long, lcs double, answer double"
     found = []
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
+    for k in range(parts):
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()
         rows = [(r.item_id, r.text, r.answer) for r in rows if tokens(r.text)]
         if not rows:
             continue
@@ -256,8 +283,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS,
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             latent = sent.value
-            for b in batches:
-                out = [(d.as_py(), *x) for d, t in zip(b.column(0), b.column(1), strict=True) for x in latent.leaks(t.as_py() or "")]
+            for b in (b for batch in batches for b in blocks(batch, 1, LAID_BYTES)):
+                found = latent.leaks([t or "" for t in b.column(1).to_pylist()])
+                out = [(d, *x) for d, xs in zip(b.column(0).to_pylist(), found, strict=True) for x in xs]
                 cols = [pa.array([x[0] for x in out], b.schema.field(0).type), pa.array([x[1] for x in out], kind_of[0]), *[pa.array([x[i] for x in out], t) for i, t in ((2, pa.int64()), (3, pa.float64()), (4, pa.float64()))]]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "place", "lcs", "answer"])
 
