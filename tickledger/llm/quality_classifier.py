@@ -205,12 +205,13 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps; texts are scored twice, once for the groups, and not shuffled."""
+    """The rows of ``docs`` that the classifier keeps; texts are scored once, into a table that groups and verdicts read, and not shuffled."""
     evidence = fit(docs, labels, sample)
-    groups, priors = sites(evidence.score(docs.select("source", "lang", "text")))
     names = docs.columns
     hidden = docs.select(*[F.col(f"`{c}`").alias(c if c in ("source", "lang", "text") else f"c{i}") for i, c in enumerate(names)])
-    rows = judged(evidence.score(hidden), groups, priors).where("kept")
+    scored = written(evidence.score(hidden))
+    groups, priors = sites(scored.select("source", "lang", *[f"_{h}" for h in HEADS]))
+    rows = judged(scored, groups, priors).where("kept")
     return rows.select(*[F.col(c if c in ("source", "lang", "text") else f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
