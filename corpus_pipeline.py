@@ -48,8 +48,12 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with the words that the mix of sources takes of it."""
-    return mix(docs)
+    """The documents that the mix of sources takes words of; those of which it takes none go.
+
+    ``whole`` says how often a document is repeated whole, ``part_words`` how many of its first
+    words follow; ``taken`` are both together.
+    """
+    return mix(docs).where("taken > 0")
 
 
 STAGES: list[tuple[str, Stage]] = [
