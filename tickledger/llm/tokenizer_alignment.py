@@ -15,9 +15,10 @@ tasks; beyond that the pairs of all rows meet them in a join.
 
 from __future__ import annotations
 
+import json
+import unicodedata
 from collections.abc import Iterator
 from itertools import chain
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +29,38 @@ from .common import query, read, written
 from .token_counts import FILE_BOUND, PRE_TOKEN, byte_letters, disputed, latin, load
 from .words import blocks
 
+# fixed value: the pre-token pattern of byte-level vocabularies
+PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Counted pairs (24 bytes each) that are sent to every task.
 SEND_ROWS = 2_000_000
-#: Pre-tokens that a Python worker remembers, and the letters of the longest of them.
-MEMO, MEMO_LETTERS = 200_000, 64
-_loaded: dict[tuple[int, int], tuple[ByteLevel, Pieces]] = {}
+#: Pre-tokens of each of two generations that a Python worker remembers, and the letters of the longest of them.
+MEMO, MEMO_LETTERS = 100_000, 64
+_loaded: dict[tuple[int, int], Aligner] = {}
+
+
+def settled(c: str) -> bool:
+    """Whether all versions of Unicode since 3.2 agree on what class of the pattern a character is in."""
+    old, now = unicodedata.ucd_3_2_0.category(c), unicodedata.category(c)
+    return c in " \n\t\r" or (old[0] in "LNPSM" and (old[0] if old[0] in "LN" else "") == (now[0] if now[0] in "LN" else "") and now[0] in "LNPSM")
 
 
 class ByteLevel(dict):
-    """Ids of texts by a byte-level vocabulary; ids of pre-tokens are remembered.  Special strings are plain text."""
+    """Ids of texts by a byte-level vocabulary.  Special strings are plain text.
+
+    Where the vocabulary's ids are in the order of its merges, ids are ranks, and texts of
+    settled characters go through the encoder of ranks.  Other texts are cut by the pattern
+    here, and those with letters newer than the library's tables go through the library whole.
+    Ids of pre-tokens are remembered in two generations: a full one becomes the old one, from
+    which what is met again comes back, so that common pre-tokens stay.
+    """
 
     def __init__(self, body: str, odd: str):
         import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.old: dict[str, tuple[int, ...]] = {}
         self.library = Tokenizer.from_str(body)
         self.library.encode_special_tokens = True
         self.letter = byte_letters()
@@ -53,16 +71,38 @@ class ByteLevel(dict):
         self.bytes = [b""] * (max(vocab.values()) + 1)
         for piece, i in vocab.items():
             self.bytes[i] = bytes(byte_of[c] for c in piece) if all(c in byte_of for c in piece) else piece.encode()
+        #: with a token for every byte nothing of a text is lost
+        self.lossless = all(c in vocab for c in self.letter.values())
+        spec = json.loads(body)
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        special = {t["id"] for t in spec.get("added_tokens", [])}
+        self.ranked = None
+        if self.lossless and all(vocab.get(x + y) == 256 + i for i, (x, y) in enumerate(merges)) and len(merges) + 256 == len(vocab) - len(special):
+            ranks = {self.bytes[i]: i for i in vocab.values() if i not in special}
+            self.ranked = tiktoken.Encoding("ranks", pat_str=PLAIN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.known: dict[str, bool] = {}
+
+    def plain(self, text: str) -> bool:
+        """Whether all characters are settled."""
+        chars, known = set(text), self.known
+        if new := chars.difference(known):
+            known.update((c, settled(c)) for c in new)
+        return all(map(known.__getitem__, chars))
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(t.id for t in self.library.model.tokenize("".join(map(self.letter.__getitem__, word.encode()))))
+        ids = self.old.pop(word, None)
+        if ids is None:
+            ids = tuple([t.id for t in self.library.model.tokenize("".join(map(self.letter.__getitem__, word.encode())))])
         if len(word) <= MEMO_LETTERS:
             if len(self) >= MEMO:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
     def ids(self, text: str) -> list[int]:
+        if self.ranked is not None and self.plain(text):
+            return self.ranked(text)
         if not latin(text) and self.unsure(text):
             return self.library.encode(text, add_special_tokens=False).ids
         return list(chain.from_iterable(map(self.__getitem__, self.words(text))))
@@ -83,6 +123,20 @@ class Pieces:
         return self.library.encode(texts, num_threads=1)
 
 
+class Strings:
+    """Byte strings by number, to be laid end to end without a loop."""
+
+    def __init__(self, strings: list[bytes]):
+        self.long = np.array([len(s) for s in strings])
+        self.start = np.cumsum(self.long) - self.long
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
+
+    def laid(self, at: np.ndarray) -> np.ndarray:
+        n = self.long[at]
+        ends = np.cumsum(n)
+        return self.data[np.repeat(self.start[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def align(ea: list[int], eb: list[int]) -> list[tuple[int, int, int, int]]:
     """Stretches ``(i, i2, j, j2)`` of two ascending lists with the same last end.
 
@@ -91,17 +145,16 @@ def align(ea: list[int], eb: list[int]) -> list[tuple[int, int, int, int]]:
     """
     out, i, j, n = [], 0, 0, len(ea)
     while i < n:
-        i0, j0, step = i, j, 1
-        while (x := ea[i : i + step]) and x == eb[j : j + step]:
-            i, j, step = i + len(x), j + len(x), 2 * step
-        while step > 1:
-            step //= 2
-            if (x := ea[i : i + step]) and x == eb[j : j + step]:
-                i, j = i + len(x), j + len(x)
-        if i > i0:
-            out.append((i0, i, j0, j))
-        if i < n:
-            i0, j0, a, b = i, j, ea[i], eb[j]
+        i0, j0, a, b = i, j, ea[i], eb[j]
+        if a == b:
+            i, j, step = i + 1, j + 1, 2
+            while (x := ea[i : i + step]) and x == eb[j : j + step]:
+                i, j, step = i + len(x), j + len(x), 2 * step
+            while step > 1:
+                step //= 2
+                if (x := ea[i : i + step]) and x == eb[j : j + step]:
+                    i, j = i + len(x), j + len(x)
+        else:
             while a != b:
                 if a < b:
                     i += 1
@@ -110,20 +163,27 @@ def align(ea: list[int], eb: list[int]) -> list[tuple[int, int, int, int]]:
                     j += 1
                     b = eb[j]
             i, j = i + 1, j + 1
-            out.append((i0, i, j0, j))
+        out.append((i0, i, j0, j))
     return out
 
 
-def overlaps(ea: list[int], eb: list[int], i: int, i2: int, j: int, j2: int) -> Iterator[tuple[int, int]]:
-    """Tokens of one group whose bytes overlap: from each pair the one that ends first moves on."""
-    while i < i2 and j < j2:
-        yield i, j
-        if ea[i] < eb[j]:
-            i += 1
-        elif ea[i] > eb[j]:
-            j += 1
+def group_ends(ea: list[int], eb: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """For the tokens of both sides, whether a group ends with them."""
+    last_a, last_b = bytearray(len(ea)), bytearray(len(eb))
+    ones = b"\x01" * max(len(ea), len(eb))
+    for i, i2, j, j2 in align(ea, eb):
+        if i2 - i == j2 - j and ea[i] == eb[j]:
+            last_a[i:i2] = last_b[j:j2] = ones[: i2 - i]
         else:
-            return
+            last_a[i2 - 1] = last_b[j2 - 1] = 1
+    return np.frombuffer(last_a, np.uint8), np.frombuffer(last_b, np.uint8)
+
+
+def overlaps(ea: np.ndarray, eb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of tokens whose bytes overlap: every end of either side closes a stretch that one token of each covers."""
+    both = np.sort(np.concatenate([ea, eb]), kind="stable")
+    both = both[np.append(True, both[1:] != both[:-1])]
+    return np.searchsorted(ea, both), np.searchsorted(eb, both)
 
 
 class Aligner:
@@ -131,40 +191,34 @@ class Aligner:
 
     def __init__(self, a: ByteLevel, b: Pieces):
         self.a, self.b = a, b
-        self.long_a, self.long_b = (np.array([len(x) for x in s.bytes]) for s in (a, b))
-        self.name_a, self.name_b = [f"{i}|" for i in range(len(a.bytes))], [str(i) for i in range(len(b.bytes))]
-        self.kind = np.uint32 if len(a.bytes) * len(b.bytes) < 1 << 32 else np.uint64
+        self.bytes_a, self.bytes_b = Strings(a.bytes), Strings(b.bytes)
+        n, m = len(a.bytes), len(b.bytes)
+        #: ids of A before a comma and before a bar, then those of B before a comma and before a semicolon
+        self.names = Strings([f"{i}{mark}".encode() for count, marks in ((n, ",|"), (m, ",;")) for mark in marks for i in range(count)])
+        self.kind = np.uint32 if n * m < 1 << 32 else np.uint64
 
     def row(self, text: str | None, ids_b: list[int]) -> tuple[int, int, int, int, str, bytes, bytes]:
         """``n_a, n_b, n_groups, n_links, groups, pairs, times`` of a text; nothing if its bytes are not kept."""
         nothing = 0, 0, 0, 0, "", b"", b""
         if not text:
             return nothing
-        whole = " " + text
-        raw, ids_a = whole.encode(), self.a.ids(whole)
-        if b"".join(map(self.a.bytes.__getitem__, ids_a)) != raw or b"".join(map(self.b.bytes.__getitem__, ids_b)) != raw:
+        raw = np.frombuffer(b" " + text.encode(), np.uint8)
+        b = np.array(ids_b)
+        if not np.array_equal(self.bytes_b.laid(b), raw):
+            return nothing
+        a = np.array(self.a.ids(" " + text))
+        if not self.a.lossless and not np.array_equal(self.bytes_a.laid(a), raw):
             return nothing
-        at_a, at_b = np.array(ids_a), np.array(ids_b)
-        ea, eb = np.cumsum(self.long_a[at_a]).tolist(), np.cumsum(self.long_b[at_b]).tolist()
-        names: list[str] = []
-        link_a: list[int] = []
-        link_b: list[int] = []
-        n_groups = 0
-        a_name, b_name = self.name_a.__getitem__, self.name_b.__getitem__
-        for i, i2, j, j2 in align(ea, eb):
-            if i2 - i == j2 - j and ea[i] == eb[j]:
-                names += map(add, map(a_name, ids_a[i:i2]), map(b_name, ids_b[j:j2]))
-                link_a += range(i, i2)
-                link_b += range(j, j2)
-                n_groups += i2 - i
-            else:
-                names.append(f"{','.join(map(str, ids_a[i:i2]))}|{','.join(map(str, ids_b[j:j2]))}")
-                for x, y in overlaps(ea, eb, i, i2, j, j2):
-                    link_a.append(x)
-                    link_b.append(y)
-                n_groups += 1
-        codes, times = np.unique(at_a[link_a] * len(self.b.bytes) + at_b[link_b], return_counts=True)
-        return len(ids_a), len(ids_b), n_groups, len(link_a), ";".join(names), codes.astype(self.kind).tobytes(), times.astype(np.uint32).tobytes()
+        ea, eb = np.cumsum(self.bytes_a.long[a]), np.cumsum(self.bytes_b.long[b])
+        last_a, last_b = group_ends(ea.tolist(), eb.tolist())
+        # tokens in the order of the groups, those of A first in each
+        n, m = len(self.a.bytes), len(self.b.bytes)
+        group_a, group_b = np.cumsum(last_a, dtype=np.int64) - last_a, np.cumsum(last_b, dtype=np.int64) - last_b
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        names = self.names.laid(np.concatenate([a + n * last_a.astype(np.int64), 2 * n + b + m * last_b.astype(np.int64)])[order])
+        link_a, link_b = overlaps(ea, eb)
+        codes, times = np.unique(a[link_a] * m + b[link_b], return_counts=True)
+        return len(a), len(b), int(last_a.sum()), len(link_a), names[:-1].tobytes().decode(), codes.astype(self.kind).tobytes(), times.astype(np.uint32).tobytes()
 
 
 FIELDS = [("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups", pa.string()), ("pairs", pa.binary()), ("times", pa.binary())]
