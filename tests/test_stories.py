@@ -14,7 +14,7 @@ from tickledger.operators import sampling as C
 from tickledger.operators import state as D
 from tickledger.operators import windows as W
 from tickledger.operators.scan import durable
-from tickledger.plans.analyze import analyze, rule_scorer
+from tickledger.plans.analyze import analyze, rule_heads, rule_scorer
 
 NAMES = ["blinded", "handover"]
 
@@ -125,3 +125,50 @@ def test_flat_vector_and_tensors(run):
 def test_story_rows_are_scripted():
     t = tables("handover", 64)
     assert [r["event"] for r in t["items"]] == ["drop", "pickup"] and t["flashes"] == [] and t["rounds"][1]["end_reason"] == "t_win_bomb"
+
+
+def test_enablers_are_paid_out_of_their_events(run, feed):
+    """With heads the flash before the first kill gets a part of it, and every round still adds up."""
+    out = T.attribute(run["states"], run["actions"], run["windows"], rule_scorer, width=feed.width, heads=rule_heads)
+    assert all(r["ok"] and abs(r["residual"]) < 1e-9 for r in out["conservation"].collect())
+    shares = out["shares"].where("kind = 'flash'").collect()
+    assert shares and all(r["q_removed"] is not None and r["q_removed"] < r["q_pre"] and 0 < r["share"] <= 1 for r in shares)
+    flash = out["valued"].where("type = 'flash' and abs(V_enabler) > 1e-9").select("V_enabler").collect()
+    before = {r["action_id"]: r["V_raw"] for r in run["valued"].where("type = 'kill'").select("action_id", "V_raw").collect()}
+    after = {r["action_id"]: r["V_raw"] for r in out["valued"].where("type = 'kill'").select("action_id", "V_raw").collect()}
+    assert flash and any(abs(after[k]) < abs(before[k]) - 1e-9 for k in before)
+
+
+def test_cut_actions_can_be_redone(run):
+    """All members of every window undone and redone: the state after, field by field."""
+    spans = T.window_spans(run["states"], run["windows"], 2048)
+    scored = T.pin_terminal(rule_scorer(run["states"]))
+    iv = T.deltas(T.intervals(scored, spans, 2048), scored.select("match_key", "round_num", "tick", "W"))
+    g = durable(T.event_games(iv, scored, run["windows"], run["actions"]))
+    back = g.withColumn("undone", E.undo_all(F.col("post"), F.col("pre"), F.reverse("members"))).withColumn("again", E.redo_all(F.col("undone"), F.col("post"), F.col("members")))
+    fields = ("player_id", "alive", "health", "armor", "x", "weapon_class", "has_c4", "kills_round", "flash_duration_remaining", "money")
+    shown = lambda c: F.transform(f"{c}.players", lambda p: F.struct(*[p[f].alias(f) for f in fields]))
+    rows = back.select("again.err", (shown("again") == shown("post")).alias("same"), (F.col("again.ctx.bomb_planted") == F.col("post.ctx.bomb_planted")).alias("plant")).collect()
+    assert len(rows) >= 8 and all(r["err"] is None and r["same"] and r["plant"] for r in rows)
+
+
+def test_tree_of_coalitions_equals_single_folds(run):
+    spans = T.window_spans(run["states"], run["windows"], 2048)
+    scored = T.pin_terminal(rule_scorer(run["states"]))
+    iv = T.deltas(T.intervals(scored, spans, 2048), scored.select("match_key", "round_num", "tick", "W"))
+    g = durable(T.event_games(iv, scored, run["windows"], run["actions"]).select("game_id", "n", "pre", "post", "members"))
+    tree = durable(E.coalition_tree(g).select("game_id", "n", "pre", "post", "members", "mask", F.col("edited").alias("tree")))
+    one = E.apply_cases(tree)
+    assert one.where((F.col("mask") < F.expr("shiftleft(1, n) - 1")) & (F.to_json("edited") != F.to_json("tree"))).count() == 0
+    assert tree.groupBy("game_id", "n").count().where("count <> shiftleft(1, n)").count() == 0
+
+
+def test_states_of_added_samples_equal_a_full_build(feed):
+    """States built for some ticks and then for more equal those built at once."""
+    rounds = C.with_terminal(feed["rounds"], feed["ticks"])
+    some = durable(C.grid_ticks(rounds, feed.tick_rate, 0.25).withColumns({"kinds": F.array(F.lit("grid")), "t_s": F.lit(0.0)}))
+    every = durable(C.grid_ticks(rounds, feed.tick_rate, 0.5).withColumns({"kinds": F.array(F.lit("grid")), "t_s": F.lit(0.0)}))
+    every = every.unionByName(some.join(every.select("match_key", "round_num", "tick"), ["match_key", "round_num", "tick"], "left_anti"))
+    a, b = D.build(feed, every).assemble(), D.extend(feed, D.build(feed, some), every).assemble()
+    rows = lambda d: sorted(d.select(F.to_json(F.struct("*")).alias("j")).toPandas()["j"])
+    assert rows(a) == rows(b) and some.count() < every.count() == b.count()

@@ -19,7 +19,7 @@ from ..functions.exprs import dist, known_sum, loadout_class
 from ..functions.weapons import NADE_FIELDS, grenade_count, primary_class, short_name, weapon_class
 from .feed import ROUND, Feed
 from .sampling import all_sides, check_round, with_terminal
-from .scan import asof, durable, greedy_match, range_join, sessionize
+from .scan import asof, durable, interval_match, range_join, sessionize
 
 PID = ids.player_id_hash
 FIRE_WEAPONS = ["molotov", "incgrenade", "inferno"]
@@ -263,8 +263,8 @@ def match_throws(areas: DataFrame, grenades: DataFrame, tol: int, width: int) ->
     near = near.withColumns({"_diff": (~same).cast("int"), "_dt": F.abs(F.col("detonate_tick") - F.col("start_tick"))})
     # a same-entity choice ignores the distance; ties go to the earlier throw
     near = near.withColumn("_dt", F.when(same, 0).otherwise(F.col("_dt")))
-    pairs = near.select(*key, "g_id", "g_who", "g_throw", "g_type", "_diff", "_dt")
-    return greedy_match(pairs, key, [*ROUND, "g_id", "g_throw"], ["start_tick"], ["_diff", "_dt", "g_throw"])
+    pairs = near.select(*key, "g_id", "g_who", "g_throw", "g_type", "_diff", "_dt", "detonate_tick")
+    return interval_match(pairs, ROUND, ["entity_id", "start_tick"], ["g_id", "g_throw"], ["start_tick"], ["_diff", "_dt", "g_throw"], "detonate_tick", width).drop("detonate_tick")
 
 
 def _area_rows(c: Context, table: str, *types: str) -> DataFrame:
@@ -463,7 +463,7 @@ def give_pairs(c: Context) -> DataFrame:
 def extract_drops(c: Context) -> DataFrame:
     """Weapon gives: each drop, in time order, takes the first free pickup."""
     by = [*ROUND, "_side", "_item"]
-    m = greedy_match(give_pairs(c), [*by, "drop_tick", "giver"], [*by, "pickup_tick", "taker"], ["drop_tick"], ["pickup_tick"])
+    m = interval_match(give_pairs(c), by, ["drop_tick", "giver"], ["pickup_tick", "taker"], ["drop_tick"], ["pickup_tick"], "pickup_tick", c.feed.width)
     p = F.struct(weapon_class(F.col("_item")).alias("weapon_class"), PID(F.col("taker")).alias("receiver_id"), "pickup_tick")
     out = instant(m, "drop", "giver", "drop_tick", p, "_side", salt=PID(F.col("taker")))
     return out.withColumn("state_post_tick", F.col("p.pickup_tick") + S.SAMPLING["boundary_offset_ticks"])

@@ -128,6 +128,16 @@ def coalition_values(games: DataFrame, masks: DataFrame, scorer: Scorer, order:
     return facts.unionByName(s.select("game_id", "n", "mask", F.col("W").alias("v"), F.col("edit_error").alias("error")))
 
 
+def tree_values(games: DataFrame, scorer: Scorer) -> DataFrame:
+    """W of all coalitions of games that are solved exactly; they share their edits."""
+    cols = [*ROUND, "game_id", "n", "pre", "post", "members", "W1", F.col("end_tick").alias("tick")]
+    t = E.coalition_tree(games.select(*cols))
+    whole = F.col("mask") == SH._bit(F.col("n")) - 1
+    facts = t.where(whole).select("game_id", "n", "mask", F.col("W1").alias("v"), F.lit(None).cast("string").alias("error"))
+    s = scorer(E.wide(t.where(~whole), "edited"))
+    return facts.unionByName(s.select("game_id", "n", "mask", F.col("W").alias("v"), F.col("edit_error").alias("error")))
+
+
 def solve(games: DataFrame, scorer: Scorer, drift: bool) -> tuple[DataFrame, DataFrame]:
     """Shares of the members of each game and the rest that goes to the clock.
 
@@ -143,8 +153,10 @@ def solve(games: DataFrame, scorer: Scorer, drift: bool) -> tuple[DataFrame, Dat
     full = SH._bit(F.col("n")) - 1
     loo_masks = F.concat(F.array(full, F.lit(0).cast("bigint")), F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: full - SH._bit(i)))
     lo = g.where(small).withColumn("mask", F.explode(F.array_distinct(loo_masks))).select("game_id", "n", "mask")
-    sh = SH.required_masks(g.where(~small).select("game_id", F.col("n").cast("bigint").alias("n")), one)
-    vals = durable(coalition_values(g, lo.unionByName(sh.select("game_id", F.col("n").cast("int").alias("n"), "mask")), scorer))
+    exact = ~small & (F.col("n") <= A["exact_max"])
+    sh = SH.required_masks(g.where(~small & ~exact).select("game_id", F.col("n").cast("bigint").alias("n")), one)
+    some = coalition_values(g, lo.unionByName(sh.select("game_id", F.col("n").cast("int").alias("n"), "mask")), scorer)
+    vals = durable(some.unionByName(tree_values(g.where(exact), scorer)))
     failed = vals.where("error is not null").select("game_id").distinct()
     ok = vals.join(failed, one, "left_anti")
     ends = ok.groupBy("game_id").agg(F.max(F.when(F.col("mask") == 0, F.col("v"))).alias("v0"))
@@ -195,6 +207,51 @@ def enabler_split(e: DataFrame, mode: str | None = None) -> DataFrame:
     return out.withColumns({"share": F.when(F.col("_tot") > cap, F.col("share") * cap / F.col("_tot")).otherwise(F.col("share")), "capped": F.col("_tot") > cap}).drop("_tot")
 
 
+def removal_scores(e: DataFrame, heads: Scorer) -> DataFrame:
+    """Probability of each event with and without each of its enablers: ``e`` with ``q_pre`` and ``q_removed``.
+
+    ``e``: event_id, idx, kind, type, victim (of the event), ``pre`` (state before the event),
+    ``action`` (what the enabler did) and ``ref`` (state before that).  All states, the factual
+    one of each event and one per enabler, are scored in one table: ``heads`` adds ``hazard``
+    (per slot), ``plant15`` and ``defuse15`` to wide states, and the event's type says which of
+    them a row reads.  A removal that fails has no probability, and its reason in ``why``.
+    """
+    e = durable(e)
+    cols = ["event_id", "idx", "type", "victim", "edited"]
+    facts = e.groupBy("event_id").agg(F.min_by(F.struct("type", "victim", "pre"), "idx").alias("_x")).select("event_id", F.lit(-1).alias("idx"), "_x.type", "_x.victim", F.col("_x.pre").alias("edited"))
+    gone = e.where("kind <> 'info'").withColumn("edited", E.without(F.col("pre"), F.col("kind"), F.col("action"), F.col("ref")))
+    states = durable(facts.select(*cols).unionByName(gone.select(*cols)))
+    scored = heads(E.wide(states.where("edited.err is null"), "edited"))
+    slot = F.array_position(F.transform("players", lambda p: p["player_id"]), F.col("victim")).cast("int")
+    head = F.try_element_at(F.create_map(*[F.lit(x) for kv in HEADS.items() for x in kv]), F.col("type"))
+    q = F.when(head == "hazard", F.when(slot > 0, F.try_element_at("hazard", slot))).when(head == "plant15", F.col("plant15")).when(head == "defuse15", F.col("defuse15"))
+    q = scored.select("event_id", "idx", q.cast("double").alias("q"))
+    why = states.where("edited.err is not null").select("event_id", "idx", F.col("edited.err").alias("why"))
+    pre = q.where("idx = -1").select("event_id", F.col("q").alias("q_pre"))
+    out = e.drop("pre", "action", "ref").join(pre, "event_id", "left").join(q.where("idx >= 0").withColumnRenamed("q", "q_removed"), ["event_id", "idx"], "left")
+    return out.join(why, ["event_id", "idx"], "left")
+
+
+def enabler_shares(games: DataFrame, states: DataFrame, windows: DataFrame, actions: DataFrame, heads: Scorer, width: int) -> DataFrame:
+    """Shares of the enablers of all events, as ``assemble`` takes them.
+
+    ``games`` are the event games (state before each window), ``states`` wide rows, from which
+    the last state before an enabler is taken.
+    """
+    entry = "array<struct<action_id:string,beneficiary_id:bigint,kind:string>>"
+    a = actions.select(*ROUND, F.col("action_id").alias("event_id"), "type", F.get_json_object("params", "$.victim_id").cast("bigint").alias("victim"), F.from_json("enablers", entry).alias("_e"))
+    e = a.where(F.col("type").isin(*HEADS)).select(*ROUND, "event_id", "type", "victim", F.posexplode("_e").alias("idx", "_x"))
+    e = e.select(*ROUND, "event_id", "type", "victim", "idx", F.col("_x.kind").alias("kind"), F.col("_x.action_id").alias("_link"), F.col("_x.beneficiary_id").alias("beneficiary_id"))
+    m = windows.select(*ROUND, F.col("window_id").alias("game_id"), F.explode("member_action_ids").alias("event_id"))
+    e = e.join(m, [*ROUND, "event_id"]).join(games.select("game_id", "pre"), "game_id")
+    did = actions.select(*ROUND, F.col("action_id").alias("_link"), F.coalesce("tick", "window_start_tick").alias("_at"), E.action_struct().alias("action"))
+    e = e.join(did, [*ROUND, "_link"], "left").withColumns({"link_id": F.when(F.col("action").isNotNull(), F.col("_link")), "_before": F.col("_at") - 1})
+    e = asof(e, states.select(*ROUND, F.col("tick").alias("_t")), ROUND, "_before", "_t", [], width=width, right_tick="_ref")
+    ref = states.select(*ROUND, F.col("tick").alias("_ref"), E.state_struct().alias("ref"))
+    e = e.join(ref, [*ROUND, "_ref"], "left")
+    return enabler_split(removal_scores(e.select("event_id", "idx", "type", "victim", "kind", "link_id", "beneficiary_id", "pre", "action", "ref"), heads))
+
+
 def distribute(phi: DataFrame, shares: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split each event's share: the enablers take theirs and the actor keeps the rest.
 
@@ -295,12 +352,18 @@ def movement_spread(moves: DataFrame) -> DataFrame:
     return p.groupBy(*ROUND).agg(F.stddev_pop("m").alias("spread"), F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
-def attribute(states: DataFrame, actions: DataFrame, windows: DataFrame, scorer: Scorer, *, width: int, shares: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Valued actions, clock and conservation of every round of a wide state table."""
+def attribute(states: DataFrame, actions: DataFrame, windows: DataFrame, scorer: Scorer, *, width: int, shares: DataFrame | None = None, heads: Scorer | None = None) -> dict[str, DataFrame]:
+    """Valued actions, clock and conservation of every round of a wide state table.
+
+    With ``heads`` (or given ``shares``) the enablers of an event are paid out of its share.
+    """
     scored = durable(pin_terminal(scorer(states)))
     spans = window_spans(scored, windows, width)
     iv = durable(deltas(intervals(scored, spans, width), scored.select(*ROUND, "tick", "W")))
     ev, mv = event_games(iv, scored, windows, actions), mover_games(iv, scored)
+    if shares is None and heads is not None:
+        ev = durable(ev)
+        shares = durable(enabler_shares(ev, scored, windows, actions, heads, width))
     phi, c1 = solve(ev, scorer, drift=False)
     moves, c2 = solve(mv, scorer, drift=True)
     phi, moves = durable(phi), durable(moves)
@@ -310,4 +373,4 @@ def attribute(states: DataFrame, actions: DataFrame, windows: DataFrame, scorer:
     if c3 is not None:
         clock = clock.unionByName(c3.select(*cols))
     valued, clock, tele = durable(valued), durable(clock), telescoping(iv)
-    return {"valued": valued, "clock": clock, "telescoping": tele, "conservation": conservation(valued, clock, tele), "phi": phi, "moves": moves, "intervals": iv}
+    return {"valued": valued, "clock": clock, "telescoping": tele, "conservation": conservation(valued, clock, tele), "phi": phi, "moves": moves, "intervals": iv, **({} if shares is None else {"shares": shares})}

@@ -140,6 +140,10 @@ def dead_token_drop(states: DataFrame, p: float, seed: int) -> DataFrame:
 # flat vectors
 
 
+#: Columns that a flat row keeps beside its features; ``_state`` is the row it came from.
+NOT_FEATURES = (*ROUND, "tick", "t_s", "kinds", "_state")
+
+
 def flatten(states: DataFrame) -> DataFrame:
     """Order-free vector of a state as columns: context, team sums, players sorted by health, enemy-pair aggregates.
 
@@ -175,12 +179,12 @@ def flatten(states: DataFrame) -> DataFrame:
     cols |= {
         "pair_enemy_los": F.size(F.filter(pick(0), lambda v: v == 1)).cast("double"), "pair_enemy_los_smoke": F.size(F.filter(both, lambda v: F.coalesce(v, F.lit(False)))).cast("double"),
         "pair_enemy_min_dist": F.array_min(d), "pair_enemy_mean_dist": F.try_divide(F.aggregate(d, F.lit(0.0), lambda a, v: a + v), F.size(d))}
-    keep = [c for c in states.columns if c.startswith("y_") or c in (*ROUND, "tick", "t_s", "kinds")]
+    keep = [c for c in states.columns if c.startswith("y_") or c in NOT_FEATURES]
     return states.select(*keep, *[c.alias(k) for k, c in cols.items()])
 
 
 def feature_names(flat: DataFrame) -> list[str]:
-    return [c for c in flat.columns if not c.startswith("y_") and c not in (*ROUND, "tick", "t_s", "kinds")]
+    return [c for c in flat.columns if not c.startswith("y_") and c not in NOT_FEATURES]
 
 
 def labelled(df: DataFrame, label: str = "y_round_won_ct") -> DataFrame:

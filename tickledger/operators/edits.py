@@ -295,6 +295,20 @@ def redo_all(state: Column, post: Column, actions: Column) -> Column:
     return F.aggregate(actions, state, lambda s, a: _redo(s, a, post))
 
 
+def without(state: Column, kind: Column, action: Column, ref: Column) -> Column:
+    """A state without what an enabler did to it: blindness ends, an area goes, a death or a hit is undone.
+
+    ``ref`` is the state before the enabler; blindness and areas need none.  A state from
+    which it cannot be taken says why in ``err``.
+    """
+    blank = state.withField("players", F.transform(state["players"], lambda p: p.withField("alive", F.lit(0).cast("bigint"))).cast(PLAYERS_T)).cast(STATE_T)
+    plain = kind.isin("flash", "smoke_cover", "fire_pressure")
+    lost = F.when(action.isNull(), "no linked action").when(~plain & ref.isNull(), "no state before the enabler").when(
+        (kind == "flash") & (action["type"] != "flash") | kind.isin("smoke_cover", "fire_pressure") & ~action["type"].isin(*TOKEN_KIND) | (kind == "trade_setup") & ~action["type"].isin("kill", "team_kill"), "linked action of another kind")
+    done = bound(_undo(state, action, F.when(plain, blank).otherwise(ref)), _recomputed)
+    return F.when(lost.isNotNull(), state.withField("err", lost).cast(STATE_T)).otherwise(done)
+
+
 def reblind(state: Column, post: Column, kept: Column) -> Column:
     """Players revived by the edit get the blindness of the flashes that still happened."""
     def one(p: Column, i: Column) -> Column:

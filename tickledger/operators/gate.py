@@ -11,6 +11,7 @@ from .. import settings as S
 from . import edits as E
 from .feed import ROUND
 from .neighbours import kth_distance
+from .scan import least_rows
 
 G = S.GATE
 KIND_OF_TYPE = {"kill": "kill", "smoke_pop": "smoke", "flash": "flash", "plant_complete": "plant"}
@@ -18,11 +19,8 @@ TESTS = {"kill": "unkill", "smoke": "smoke", "flash": "unflash", "plant": "unpla
 
 
 def _cap(df: DataFrame, n: int | None, seed: int) -> DataFrame:
-    """A seeded uniform sample of at most n rows (a hash threshold first, then the n smallest)."""
-    if n is None:
-        return df
-    h = F.pmod(F.xxhash64("case_key", F.lit(seed)), F.lit(1 << 40))
-    return df.withColumn("_h", h).orderBy("_h", "case_key").limit(n).drop("_h")
+    """A seeded uniform sample of at most n rows: those with the least hashes."""
+    return df if n is None else least_rows(df, [], F.pmod(F.xxhash64("case_key", F.lit(seed)), F.lit(1 << 40)), ["case_key"], n)
 
 
 def samples(events: DataFrame, drifts: DataFrame, n_events: int | None = None, n_drift: int | None = None, seed: int = 0) -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dataset import feature_names, flatten
+from .feed import ROUND
+from .scan import history
 
 TERMINAL_WEIGHT = 2.0
 
@@ -39,13 +41,55 @@ def train_win(flat: DataFrame, label: str = "y_round_won_ct", max_iter: int = 20
 
 
 def scorer(model: PipelineModel):
-    """A scorer for wide states: adds ``W``; equal states are scored once."""
+    """A scorer for wide states: adds ``W``.  The state travels with its features, so nothing is joined back."""
 
     def run(states: DataFrame) -> DataFrame:
-        s = states.withColumn("_row", F.xxhash64(F.to_json(F.struct("players", "utility", *[c for c in states.columns if c.startswith("ctx_")]))))
-        flat = flatten(s.dropDuplicates(["_row"]).withColumn("tick", F.col("_row")))
-        w = model.transform(flat).select(F.col("tick").alias("_row"), vector_to_array("probability")[1].alias("W"))
-        return s.drop("W").join(w, "_row").drop("_row")
+        plain = states.drop("W")
+        flat = flatten(plain.withColumn("_state", F.struct(*[F.col(f"`{c}`") for c in plain.columns])))
+        return model.transform(flat).select("_state.*", vector_to_array("probability")[1].alias("W"))
+
+    return run
+
+
+#: What a history says of a feature: its mean, its weighted mean (recent ticks weigh more), its change and its length.
+PAST = ("mean", "recent", "change", "n")
+
+
+def past_features(hist: Column, half_life: float, prefix: str) -> dict[str, Column]:
+    """Features of a history (``array<struct<tick,value>>``, itself last); unknown values are passed over."""
+    known = F.filter(hist, lambda x: x["value"].isNotNull())
+    last = F.element_at(hist, -1)["tick"]
+    total = lambda f: F.aggregate(known, F.lit(0.0), lambda m, x: m + f(x))
+    value, weight = (lambda x: x["value"].cast("double")), (lambda x: 1.0 / (1.0 + (last - x["tick"]) / F.lit(half_life)))
+    return {
+        f"{prefix}_mean": F.try_divide(total(value), F.size(known)), f"{prefix}_recent": F.try_divide(total(lambda x: value(x) * weight(x)), total(weight)),
+        f"{prefix}_change": F.try_element_at(known, F.lit(-1))["value"].cast("double") - F.try_element_at(known, F.lit(1))["value"].cast("double"), f"{prefix}_n": F.size(hist).cast("double"),
+    }
+
+
+def with_past(flat: DataFrame, features: list[str], window_ticks: int, half_life: float, width: int) -> DataFrame:
+    """Flat rows with the history features of some of their columns.
+
+    The history is the factual one: an edited state is scored with the past of the state that
+    it edits, so build it on the factual rows and carry the columns over.
+    """
+    packed = flat.withColumn("_now", F.struct(*[F.col(c).cast("double").alias(c) for c in features]))
+    rows = history(packed, ROUND, "tick", "_now", window_ticks, width, "_past")
+    cols: dict[str, Column] = {}
+    for c in features:
+        cols |= past_features(F.transform("_past", lambda x, c=c: F.struct(x["tick"].alias("tick"), x["value"][c].alias("value"))), half_life, f"past_{c}")
+    return rows.withColumns(cols).drop("_now", "_past")
+
+
+def sequence_scorer(model: PipelineModel, past: DataFrame, features: list[str]):
+    """A scorer that reads the factual history of each state: ``past`` has the round, the tick and the history features."""
+    names = [f"past_{c}_{p}" for c in features for p in PAST]
+
+    def run(states: DataFrame) -> DataFrame:
+        plain = states.drop("W")
+        flat = flatten(plain.withColumn("_state", F.struct(*[F.col(f"`{c}`") for c in plain.columns])))
+        both = flat.join(past.select(*ROUND, "tick", *names), [*ROUND, "tick"], "left")
+        return model.transform(both).select("_state.*", vector_to_array("probability")[1].alias("W"))
 
     return run
 

@@ -377,6 +377,44 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str =
     return rows.join(base, same).withColumn(name, F.col("_base") + F.col("_at") + first).drop("_at", "_base", "_b_part", *[f"_b_{c}" for c in by])
 
 
+def least_rows(df: DataFrame, by: Sequence[str], hash40: Column, key: Sequence[str], n: int) -> DataFrame:
+    """The ``n`` rows of each group with the least hash (below ``2**40``); ties go by ``key``.  Nothing is sorted as a whole.
+
+    Rows are counted by hash cell, a sum that tasks merge.  Cells that are full before their
+    first row drop out, those that end before the ``n``-th stay whole, and only the one in
+    between is ranked.
+    """
+    by = list(by)
+    rows = df.withColumns({"_h": hash40, "_cell": F.shiftright(hash40, 28)})
+    counts = rows.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 4096 cells at most
+    cells = counts.withColumn("_before", before).where(F.col("_before") < n)
+    side = cells.select(*[F.col(c).alias(f"_c_{c}") for c in by], F.col("_cell").alias("_c"), (F.col("_before") + F.col("_n") <= n).alias("_all"), "_before")
+    same = F.col("_cell") == F.col("_c")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_c_{c}"))
+    some = rows.join(side, same)
+    rank = F.row_number().over(Window.partitionBy(*by, "_cell").orderBy("_h", *key)) + F.col("_before")
+    names = df.columns
+    ranked = some.where("not _all").withColumn("_rank", rank).where(F.col("_rank") <= n)
+    return some.where("_all").select(*names).unionByName(ranked.select(*names))
+
+
+def history(df: DataFrame, by: Sequence[str], tick: str, value: str, window: int, width: int, name: str = "history") -> DataFrame:
+    """``df`` with the rows of its key at most ``window`` ticks before each row, itself included: ``array<struct<tick,value>>`` by tick, then value.
+
+    A row also enters the time blocks that its window reaches into (one more while ``window``
+    is at most ``width``), where it only is a past; so a sorted pass over each block carries
+    the buffer along, no block needs another, and nothing is joined.
+    """
+    by = list(by)
+    block = lambda c: F.floor(c / F.lit(float(width))).cast("bigint")
+    rows = df.withColumn("_bk", F.explode(F.sequence(block(F.col(tick)), block(F.col(tick) + window))))
+    past = Window.partitionBy(*by, "_bk").orderBy(tick).rangeBetween(-window, 0)
+    seen = F.array_sort(F.collect_list(F.struct(F.col(tick).alias("tick"), F.col(value).alias("value"))).over(past))
+    return rows.withColumn(name, seen).where(F.col("_bk") == block(F.col(tick))).drop("_bk")
+
+
 def greedy_match(pairs: DataFrame, a: Sequence[str], b: Sequence[str], a_order: Sequence[str], b_order: Sequence[str]) -> DataFrame:
     """One-to-one matching: the a-rows, in ``a_order``, each take their best free b-row by ``b_order``.
 
@@ -399,3 +437,42 @@ def greedy_match(pairs: DataFrame, a: Sequence[str], b: Sequence[str], a_order:
         left = left.join(took.select(*a), a, "left_anti").join(took.select(*b), b, "left_anti")
         left = durable(left)
     return pairs.limit(0) if done is None else done
+
+
+#: Candidates of a run that one row settles; longer runs are matched step by step.
+RUN_BOUND = 512
+
+
+def interval_match(pairs: DataFrame, by: Sequence[str], a: Sequence[str], b: Sequence[str], a_order: Sequence[str], b_order: Sequence[str], position: str, width: int, bound: int = RUN_BOUND) -> DataFrame:
+    """``greedy_match`` for candidates that lie close on an axis: ``position`` is that of the b-row.
+
+    The a-rows of a key whose candidates cover a common stretch form a run, cut by one sorted
+    pass; rows of different runs share no candidate.  A run is settled by a fold over its
+    candidates in order.  So a fixed number of passes does, however long the chain of choices is.
+    """
+    by, a, b = list(by), list(a), list(b)
+    pairs = settled(pairs)
+    ends = pairs.groupBy(*by, *a).agg(F.min(position).alias("_lo"), F.max(position).alias("_hi"))
+    runs = chain_spans(ends, by, "_lo", "_hi", "_run", width).select(*by, *a, "_run")
+    rest = [c for c in pairs.columns if c not in by]
+    key = lambda *cols: F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)])
+    item = F.struct(key(*a_order, *a).alias("_a"), key(*b_order, *b).alias("_bo"), key(*b).alias("_b"), F.struct(*rest).alias("_row"))
+    size = runs.join(pairs.groupBy(*by, *a).agg(F.count(F.lit(1)).alias("_k")), [*by, *a]).groupBy(*by, "_run").agg(F.sum("_k").alias("_n"))
+    size = durable(size)
+    short = pairs.join(runs, [*by, *a]).join(size.where(F.col("_n") <= bound).select(*by, "_run"), [*by, "_run"])
+    per = durable(short.groupBy(*by, "_run").agg(F.array_sort(F.collect_list(item)).alias("_c")))
+    one, none = per.schema["_c"].dataType.elementType, "array<{}>"
+    taken = F.struct(F.array().cast(none.format(one["_a"].dataType.simpleString())).alias("a"), F.array().cast(none.format(one["_b"].dataType.simpleString())).alias("b"), F.array().cast(none.format(one["_row"].dataType.simpleString())).alias("rows"))
+
+    def step(acc: Column, x: Column) -> Column:
+        free = ~(F.array_contains(acc["a"], x["_a"]) | F.array_contains(acc["b"], x["_b"]))
+        grown = F.struct(F.array(x["_a"]).alias("a"), F.concat(acc["b"], F.array(x["_b"])).alias("b"), F.concat(acc["rows"], F.array(x["_row"])).alias("rows"))
+        return F.when(free, grown).otherwise(acc)
+
+    folded = F.aggregate("_c", taken, step, lambda acc: acc["rows"])
+    done = per.select(*by, F.explode(folded).alias("_row")).select(*by, "_row.*").select(*pairs.columns)
+    long = size.where(F.col("_n") > bound).select(*by, "_run")
+    if long.isEmpty():
+        return done
+    left = pairs.join(runs.join(long, [*by, "_run"], "left_semi"), [*by, *a]).drop("_run").select(*pairs.columns)
+    return done.unionByName(greedy_match(left, [*by, *a], [*by, *b], a_order, b_order))

