@@ -52,7 +52,7 @@ def test_dataset_build_and_read(spark):
     index = S.build_dataset(flat(spark), splits(spark), base, **args)
     got = {(r.split, r.shard): (r.n, r.first.tick) for r in index.collect()}
     assert got == {("train", 0): (15, 1), ("train", 1): (15, 37), ("train", 2): (10, 76), ("val", 0): (15, 0), ("val", 1): (5, 75), ("test", 0): (15, 3), ("test", 1): (5, 78)}
-    assert len(spark.read.parquet(f"{base}/shards").where("split = 'train' and shard = 0").inputFiles()) == 1
+    assert len(spark.read.parquet(f"{base}/shards/split=train/shard=0").inputFiles()) == 1
     rows = S.read_dataset(spark, base, "val", vocab_hash=index.first().vocab_hash)
     assert {r.kind_id for r in rows.collect()} == {0} and rows.count() == 20  # val has kinds that the train split lacks
     assert [r.tick for r in S.take(S.read_dataset(spark, base), "train", 14, 3, 15).orderBy("place").collect()] == [36, 37, 41]

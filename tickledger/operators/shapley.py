@@ -93,7 +93,9 @@ def sampled(games: DataFrame, values: DataFrame, game: Sequence[str], n: str, v:
     val = values.select(*game, "mask", v)
     for m in ("mask0", "mask1"):
         steps = steps.join(val.select(*game, F.col("mask").alias(m), F.col(v).alias(f"_{m}")), [*game, m])
-    return steps.groupBy(*game, "bit").agg(F.avg(F.col("_mask1") - F.col("_mask0")).alias("phi"))
+    # a member has one gain per order; they are added in order of size, so that every run gives the same sum
+    gains = F.array_sort(F.collect_list(F.col("_mask1") - F.col("_mask0")))
+    return steps.groupBy(*game, "bit").agg(F.aggregate(gains, F.lit(0.0), lambda m, x: m + x, lambda m: m / F.size(gains)).alias("phi"))
 
 
 def enforce_efficiency(phi: DataFrame, totals: DataFrame, game: Sequence[str], member: str = "bit", total: str = "total") -> DataFrame:
@@ -102,7 +104,7 @@ def enforce_efficiency(phi: DataFrame, totals: DataFrame, game: Sequence[str], m
     The last member takes the rounding rest, so the parts add up to the total.
     """
     game = list(game)
-    w = Window.partitionBy(*game)
+    w = Window.partitionBy(*game).orderBy(member).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     p = phi.join(totals.select(*game, total), game)
     mag, n = F.sum(F.abs("phi")).over(w), F.count(F.lit(1)).over(w)
     p = p.withColumn("residual", F.abs(F.col(total) - F.sum("phi").over(w)))
