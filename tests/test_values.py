@@ -155,3 +155,14 @@ def test_review_log(spark):
     lines = ["<!-- case index=1 match_key=m1 round_num=4 -->", "Comment: too big", "| 1 | kill | a1 | agree | disagree: x | unsure | |", "| # | head | x | V | D | X | panel |"]
     j = V.review_judgements(spark.createDataFrame([("l", i, t) for i, t in enumerate(lines)], "log string, line int, text string")).cache()
     assert [r["aspect"] for r in V.review_items(j).collect()] == ["D"] and V.review_summary(j).first()["todo"] == 1 and j.first()["comment"] == "too big"
+
+
+def test_rank_correlation_reads_sums_once(spark):
+    import random as r
+
+    noisy = F.udf(lambda k: k + r.random() * 1e-9, "double").asNondeterministic()  # as sums whose last digits depend on the order
+    p = spark.range(400).groupBy(F.col("id").alias("actor_id_hash")).agg(F.max("id").alias("k"))
+    p = p.select(F.lit("m").alias("match_key"), "actor_id_hash", noisy("k").alias("sum_V"), (F.col("k") * 2).cast("double").alias("rating"))
+    rho, gaps = V.rating_correlation(p)
+    assert rho.first()["n"] == 400 and abs(rho.first()["rho"] - 1) < 1e-9 and gaps.count() == 10
+    assert stats.auc(p.withColumn("y", F.col("actor_id_hash") % 2), [], "sum_V", "y").first()["auc"] > 0.5

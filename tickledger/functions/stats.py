@@ -1,7 +1,8 @@
 """Rank statistics and metrics as distributed aggregates.
 
 Ranks are taken over distinct values: values are counted first, the counts are scanned in
-value order block by block, and only sums leave the scan.
+value order block by block, and only sums leave the scan.  Ranks are joined by value, so
+rows that a plan adds up (whose last digits may differ when it runs again) are settled first.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.scan import settled
+
 EPS = 1e-7
 
 
@@ -37,8 +40,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str, bucke
 def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str, name: str = "rho") -> DataFrame:
     """Rank correlation per key with average ranks; null with fewer than 3 pairs or a constant side."""
     keys = list(keys)
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    out = rows.select(*keys, a, b)
+    rows = out = settled(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, a, b))
     for v, r in ((a, "_ra"), (b, "_rb")):
         out = out.join(value_ranks(rows, keys, v, r).drop("n"), [*keys, v])
     ok = (F.count(F.lit(1)) >= 3) & (F.stddev_pop("_ra") > 0) & (F.stddev_pop("_rb") > 0)
@@ -48,7 +50,7 @@ def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str, name: str = "rh
 def auc(df: DataFrame, keys: Sequence[str], p: str, y: str, name: str = "auc") -> DataFrame:
     """Exact area under the ROC curve per key from the rank sum; null with one class."""
     keys = list(keys)
-    rows = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
+    rows = settled(df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select(*keys, p, y))
     r = rows.groupBy(*keys, p).agg(F.count_if(F.col(y) > 0.5).alias("_pos"), F.count_if(F.col(y) <= 0.5).alias("_neg"))
     r = r.join(value_ranks(rows, keys, p, "_r").drop("n"), [*keys, p])
     pos, neg = F.sum("_pos"), F.sum("_neg")

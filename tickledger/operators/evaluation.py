@@ -13,6 +13,7 @@ from ..functions.exprs import lookup_map, nan_null
 from ..functions.weapons import disadvantage
 from .calibration import ece, reliability
 from .feed import ROUND
+from .scan import settled
 
 # fixed values: bands and limits of the anchors
 OPENING_BAND, EQUIP_RATIO_BAND, RATING_RHO_MIN, CLUTCH_TIME_S, TIME_BUCKET_S, MIN_GROUP_N = (0.05, 0.20), (0.8, 1.25), 0.6, 10.0, 10.0, 5
@@ -142,6 +143,7 @@ def rating_pairs(df: DataFrame, ratings: DataFrame) -> DataFrame:
 
 def rating_correlation(pairs: DataFrame, top: int = 10) -> tuple[DataFrame, DataFrame]:
     """Rank correlation and the largest rank gaps."""
+    pairs = settled(pairs)  # sums of V have the same digits wherever they are read
     rho = stats.spearman(pairs, [], "sum_V", "rating")
     r = pairs
     for c, n in (("sum_V", "_a"), ("rating", "_b")):
