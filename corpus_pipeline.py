@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickledger.llm.common import read, written
+from tickledger.llm.common import read, small_batches, written
 from tickledger.llm.decontaminate import clean
 from tickledger.llm.line_dedup import freed
 from tickledger.llm.mixing import mix
@@ -25,6 +25,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (poor or toxic) go."""
+    small_batches(spark)
     return keep_good(docs, read(spark, sf_dir, "labels"))
 
 
@@ -33,17 +34,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` follows the text.
     """
+    small_batches(spark)
     rows = freed(docs)
     return rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: shingles of five words, similarity of 0.8 or more."""
+    small_batches(spark)
     return keep_one(docs, 5, 80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that give a benchmark item away go."""
+    small_batches(spark)
     return clean(docs, read(spark, sf_dir, "benchmark"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -63,6 +64,18 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: Bytes and rows of a batch of texts on its way between the JVM and Python; both sides hold several at a time.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session stay within ``BATCH_BYTES`` (plus one row) and ``BATCH_ROWS``; lower settings stay."""
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        now = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(f"spark.sql.execution.arrow.{name}").strip().lower())
+        if not now or not 0 < int(now[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[now[2]] <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -29,7 +29,7 @@ from .common import among, query, read, without, written
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
 #: Words whose hash a Python worker remembers before it starts anew.
-MEMO = 1_000_000
+MEMO = 200_000
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
