@@ -21,6 +21,7 @@ from .scan import durable
 
 BLOCK_ROWS = 4096
 PIVOTS = 64
+STRIP = 256
 
 
 def l2_normalize(v: Column) -> Column:
@@ -71,6 +72,27 @@ def _assign(rows: DataFrame, pivots: DataFrame, group: Sequence[str]) -> DataFra
     return dealt.groupBy(*key).cogroup(_fresh(spread).groupBy(*key)).applyInPandas(near, schema)
 
 
+def nearest(a: pd.DataFrame, b: pd.DataFrame, k: int, exclude: bool) -> pd.DataFrame:
+    """The ``k`` rows of ``b`` nearest to each row of ``a``: ``qid, id, dist``; distances are held for ``STRIP`` queries at a time."""
+    out = [pd.DataFrame({"qid": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})]
+    if a.empty or b.empty:
+        return out[0]
+    b = b.sort_values("id", kind="stable")
+    ids, v = b["id"].to_numpy(), _matrix(b["vec"])
+    m, vv = min(k, len(b)), (v**2).sum(1)[None]
+    for at in range(0, len(a), STRIP):
+        s = a.iloc[at : at + STRIP]
+        u = _matrix(s["vec"])
+        d = np.sqrt(np.maximum((u**2).sum(1)[:, None] + vv - 2 * u @ v.T, 0.0))
+        if exclude:
+            known = s["_ex"].notna().to_numpy()[:, None]  # rows of unknown origin hide nothing
+            d[(s["_ex"].to_numpy()[:, None] == b["_ex"].to_numpy()[None]) & known] = np.inf
+        i = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :m]
+        res = pd.DataFrame({"qid": np.repeat(s["id"].to_numpy(), m), "id": ids[i].ravel(), "dist": np.take_along_axis(d, i, 1).ravel()})
+        out.append(res[np.isfinite(res["dist"])])
+    return pd.concat(out[1:], ignore_index=True)
+
+
 def knn(queries: DataFrame, index: DataFrame, group: Sequence[str], k: int, exclude: str | None = None) -> DataFrame:
     """The k nearest index rows of each query in its group by Euclidean distance: ``qid, id, dist, rank``.
 
@@ -93,20 +115,7 @@ def knn(queries: DataFrame, index: DataFrame, group: Sequence[str], k: int, excl
     out_schema = "qid bigint, id bigint, dist double"
 
     def top(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"qid": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
-        if a.empty or b.empty:
-            return empty
-        b = b.sort_values("id", kind="stable")
-        u, v = _matrix(a["vec"]), _matrix(b["vec"])
-        d = np.sqrt(np.maximum((u**2).sum(1)[:, None] + (v**2).sum(1)[None] - 2 * u @ v.T, 0.0))
-        if exclude:
-            known = a["_ex"].notna().to_numpy()[:, None]  # rows of unknown origin hide nothing
-            d[(a["_ex"].to_numpy()[:, None] == b["_ex"].to_numpy()[None]) & known] = np.inf
-        m = min(k, d.shape[1])
-        i = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :m]
-        dd = np.take_along_axis(d, i, 1).ravel()
-        res = pd.DataFrame({"qid": np.repeat(a["id"].to_numpy(), m), "id": b["id"].to_numpy()[i].ravel(), "dist": dd})
-        return res[np.isfinite(res["dist"])]
+        return nearest(a, b, k, exclude is not None)
 
     def search(pairs: DataFrame) -> DataFrame:
         """``pairs``: group, qid, qb, cell to search."""
