@@ -112,6 +112,10 @@ def profile(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) ->
         n.alias("n"), (F.lit(100.0) * (F.lit(1.0) - F.count("value") / n)).alias("null_pct"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"))
 
 
+#: Parts that the rows of one group and column are dealt in to meet their limits.
+HIST_SALTS = 64
+
+
 def histogram(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), bins: int | None = None) -> DataFrame:
     """Equal-width histogram between each column's extremes, the last edge included; empty bins listed."""
     bins = bins or S.QA["n_hist"]
@@ -121,7 +125,13 @@ def histogram(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), b
     # a constant column gets a unit-wide range around its value
     lim = lim.withColumns({"lo": F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")), "hi": F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi"))})
     b = F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).cast("int")
-    got = long.join(lim, [*keys, "feature"]).groupBy(*keys, "feature", b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    # there are few features, so a join by feature alone would put all rows of a column in one task
+    if keys:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(HIST_SALTS - 1)))
+        met = long.withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(HIST_SALTS)).cast("int")).join(lim.withColumn("_salt", salts), [*keys, "feature", "_salt"])
+    else:  # one row per column
+        met = long.join(F.broadcast(lim), "feature")
+    got = met.groupBy(*keys, "feature", b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     every = lim.select(*keys, "feature").withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return every.join(got, [*keys, "feature", "bin"], "left").fillna(0, ["n"])
 
