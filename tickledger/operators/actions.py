@@ -19,7 +19,7 @@ from ..functions.exprs import dist, known_sum, loadout_class
 from ..functions.weapons import NADE_FIELDS, grenade_count, primary_class, short_name, weapon_class
 from .feed import ROUND, Feed
 from .sampling import all_sides, check_round, with_terminal
-from .scan import asof, durable, interval_match, range_join, sessionize
+from .scan import asof, durable, interval_match, range_join, sessionize, settled
 
 PID = ids.player_id_hash
 FIRE_WEAPONS = ["molotov", "incgrenade", "inferno"]
@@ -33,7 +33,7 @@ class Context:
     """Per-feed lookups shared by the extractors."""
 
     def __init__(self, feed: Feed):
-        self.feed = feed
+        self.feed = feed = feed.with_tables(ticks=settled(feed["ticks"]))  # read by every step
         self.rounds = durable(with_terminal(feed["rounds"], feed["ticks"]))
         self.sides = durable(all_sides(feed["ticks"], self.rounds))
 

@@ -24,7 +24,8 @@ smp AS (SELECT DISTINCT match_key, round_num, tick FROM kills)"""
 def _samples(spark: SparkSession, sf: str):
     """Feed, roster and samples at the ticks of the kills."""
     f = feed(spark, sf)
-    r = C.with_terminal(f["rounds"])
+    f = f.with_tables(ticks=durable(f["ticks"]))  # read by every step
+    r = durable(C.with_terminal(f["rounds"]))
     return f, r, C.roster(f["ticks"], r), f["kills"].select(*ROUND, "tick").distinct()
 
 
