@@ -54,3 +54,10 @@ def test_small_keys_are_shuffled_once(tables):
     assert shuffles(S.asof(left, right, ["key"], "tick", "rt", ["v"], width=7)) == 1
     assert shuffles(S.scan(left, ["key"], ["tick"], [S.Run("n", "sum", F.lit(1))], 7)) == 1
     assert shuffles(S.sessionize(left, ["key"], "tick", 5, "g", 7)) == 1
+
+
+def test_feed_parses_events_once(spark):
+    from tickledger.plans.projection import feed
+
+    for name, table in feed(spark, "/root/testdata/sf0.001").tables.items():
+        assert "get_json_object" not in table._jdf.queryExecution().optimizedPlan().toString(), name

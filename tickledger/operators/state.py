@@ -20,7 +20,7 @@ from ..functions.ids import player_id_hash
 from ..functions.weapons import NADE_FIELDS, grenade_count, weapon_class
 from .feed import ROUND, Feed
 from .sampling import roster, slots, with_terminal
-from .scan import Run, asof, durable, probe, range_join
+from .scan import Run, asof, durable, probe, range_join, settled
 
 SAMPLE = ROUND + ["tick"]
 PLAYER = ROUND + ["steamid"]
@@ -40,7 +40,7 @@ def player_rows(feed: Feed, players: DataFrame) -> DataFrame:
     """Tick rows of the roster with the number of enemies spotting the player now."""
     ids = lambda s: F.collect_list(F.when(F.col("side") == s, F.col("steamid")))
     teams = players.groupBy(*ROUND).agg(ids("ct").alias("_ct"), ids("t").alias("_t"))
-    t = feed["ticks"].drop("side").join(players.select(*PLAYER, "side"), PLAYER).join(teams, ROUND)
+    t = feed["ticks"].drop("side").join(players.select(*PLAYER, "side").join(teams, ROUND), PLAYER)  # the tick rows are shuffled once
     enemy = F.when(F.col("side") == "ct", F.col("_t")).otherwise(F.col("_ct"))
     seen = _opt(t, "spotted_by", "array<bigint>")
     n = F.size(F.filter(seen, lambda i: F.array_contains(enemy, i)))
@@ -381,12 +381,13 @@ class States:
 def build(feed: Feed, samples: DataFrame, tier: str = "pro") -> States:
     """State tables of every sample of the feed.
 
-    The samples, the tokens and the utility are each read many times, so they are cut from
-    their lineage first.
+    The samples, the rounds, the roster, the tokens and the utility are each read many times,
+    so they are cut from their lineage first.
     """
     samples = durable(samples)
-    rounds = with_terminal(feed["rounds"], feed["ticks"])
-    players = roster(feed["ticks"], rounds)
+    feed = feed.with_tables(ticks=settled(feed["ticks"]))
+    rounds = durable(with_terminal(feed["rounds"], feed["ticks"]))
+    players = durable(roster(feed["ticks"], rounds))
     util = durable(utility_tokens(feed, samples, rounds, players))
     toks = durable(state_players(feed, samples, rounds, players, util, tier))
     ctx = state_ctx(feed, samples, rounds, toks, util, tier)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.feed import Feed
+from ..operators.scan import durable
 
 WEAPONS = ["ak47", "awp", "glock", "hegrenade", "inferno", "weapon_m4a1", "Karambit", "laser"]
 BOMB = ["plant_start", "plant_complete", "defuse_start", "defuse_complete", "defuse_abort", "drop", "pickup", "explode"]
@@ -57,8 +58,8 @@ def rounds(ev: DataFrame) -> DataFrame:
 
 
 def feed(spark: SparkSession, sf_dir: str) -> Feed:
-    """All raw tables of the derived matches."""
-    ev = events(spark, sf_dir)
+    """All raw tables of the derived matches; the events are parsed once."""
+    ev = durable(events(spark, sf_dir))
     of = lambda *t: ev.where(F.col("event_type").isin(*t))
     x, y, z = F.col("value") * 20, (F.col("k") * 30).cast("double"), ((F.col("k") % 3) * 64).cast("double")
     base = ["match_key", "round_num", "tick"]

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.scan import numbered, shared_folder
+from ..operators.scan import durable, numbered, shared_folder
 from ..sources import datasets as S
 from .projection import feed, with_sql
 from .registry import query, table
@@ -37,7 +37,7 @@ dp AS (SELECT d.*, row_number() OVER (PARTITION BY split ORDER BY match_key, rou
   {', '.join(f'round(sum(({c} - {c}_m) / {c}_s), 4) AS {c}_norm' for c in NUMBERS)} FROM dp, dm GROUP BY split, place // {SIZE}""", DATASET_SQL))
 def dataset_build(spark: SparkSession, sf: str) -> DataFrame:
     """A dataset of living players' ticks, built and read again: rows, ids and normalised sums of every shard."""
-    ticks = feed(spark, sf)["ticks"].where("is_alive").select("match_key", "round_num", "tick", "steamid", "side", "active_weapon", *NUMBERS)
+    ticks = durable(feed(spark, sf)["ticks"].where("is_alive").select("match_key", "round_num", "tick", "steamid", "side", "active_weapon", *NUMBERS))
     split_of = ticks.select("match_key").distinct().withColumn("split", F.expr(_SPLIT))
     base = f"{shared_folder(spark).rstrip('/')}/dataset-{uuid.uuid4().hex}"
     index = S.build_dataset(ticks, split_of, base, order=["match_key", "round_num", "tick", "steamid"], categories=["active_weapon", "side"], numbers=NUMBERS, shard_size=SIZE, first_id=3, min_count=3)

@@ -26,7 +26,7 @@ def _samples(spark: SparkSession, sf: str):
     f = feed(spark, sf)
     f = f.with_tables(ticks=durable(f["ticks"]))  # read by every step
     r = durable(C.with_terminal(f["rounds"]))
-    return f, r, C.roster(f["ticks"], r), f["kills"].select(*ROUND, "tick").distinct()
+    return f, r, durable(C.roster(f["ticks"], r)), durable(f["kills"].select(*ROUND, "tick").distinct())
 
 
 @query("state_features_pit", with_sql("""

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import splits as P
-from ..operators.scan import durable, numbered
+from ..operators.scan import durable, numbered, settled
 from ..operators.value import fit_vocab, to_ids
 
 SPLITS = ("train", "val", "test")
@@ -66,6 +66,7 @@ def build_dataset(rows: DataFrame, split_of: DataFrame, base: str, *, order: Seq
     clash = set(rows.columns) & ({"split", "shard", "place"} | {f"{c}_id" for c in categories})
     if clash:
         raise ValueError(f"columns of the dataset itself: {sorted(clash)}")
+    split_of = settled(split_of)  # joined and hashed
     chosen = rows if where is None else rows.where(where)
     chosen = durable(chosen.join(split_of.where(F.col("split").isin(*SPLITS)).select(key, "split").distinct(), key))
     train = chosen.where("split = 'train'")
