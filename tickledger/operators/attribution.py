@@ -211,25 +211,28 @@ def removal_scores(e: DataFrame, heads: Scorer) -> DataFrame:
     """Probability of each event with and without each of its enablers: ``e`` with ``q_pre`` and ``q_removed``.
 
     ``e``: event_id, idx, kind, type, victim (of the event), ``pre`` (state before the event),
-    ``action`` (what the enabler did) and ``ref`` (state before that).  All states, the factual
-    one of each event and one per enabler, are scored in one table: ``heads`` adds ``hazard``
-    (per slot), ``plant15`` and ``defuse15`` to wide states, and the event's type says which of
-    them a row reads.  A removal that fails has no probability, and its reason in ``why``.
+    ``action`` (what the enabler did), ``ref`` (state before that) and ``first``, true on one row
+    of each event.  All states, the factual one of each event and one per enabler, are scored in
+    one table: ``heads`` adds ``hazard`` (per slot), ``plant15`` and ``defuse15`` to wide states,
+    and the event's type says which of them a row reads.  A removal that fails has no
+    probability, and its reason in ``why``.
+
+    States are made, edited and scored in one pass and never shuffled; what comes of them is one
+    number per row.
     """
-    e = durable(e)
-    cols = ["event_id", "idx", "type", "victim", "edited"]
-    facts = e.groupBy("event_id").agg(F.min_by(F.struct("type", "victim", "pre"), "idx").alias("_x")).select("event_id", F.lit(-1).alias("idx"), "_x.type", "_x.victim", F.col("_x.pre").alias("edited"))
-    gone = e.where("kind <> 'info'").withColumn("edited", E.without(F.col("pre"), F.col("kind"), F.col("action"), F.col("ref")))
-    states = durable(facts.select(*cols).unionByName(gone.select(*cols)))
-    scored = heads(E.wide(states.where("edited.err is null"), "edited"))
+    done = E.without(F.col("pre"), F.col("kind"), F.col("action"), F.col("ref"))
+    item = lambda idx, state, why: F.struct(idx.cast("int").alias("idx"), state.alias("edited"), why.alias("why"))
+    fact = F.when(F.col("first"), item(F.lit(-1), F.col("pre"), F.col("pre.err")))
+    gone = F.when(F.col("kind") != "info", E.bound(done, lambda x: item(F.col("idx"), F.when(x["err"].isNull(), x).otherwise(F.col("pre")), x["err"])))  # a state that failed is not shown to the heads
+    states = e.select("event_id", "type", "victim", F.explode(F.array_compact(F.array(fact, gone))).alias("_x")).select("event_id", "type", "victim", "_x.*")
+    scored = heads(E.wide(states, "edited"))
     slot = F.array_position(F.transform("players", lambda p: p["player_id"]), F.col("victim")).cast("int")
     head = F.try_element_at(F.create_map(*[F.lit(x) for kv in HEADS.items() for x in kv]), F.col("type"))
     q = F.when(head == "hazard", F.when(slot > 0, F.try_element_at("hazard", slot))).when(head == "plant15", F.col("plant15")).when(head == "defuse15", F.col("defuse15"))
-    q = scored.select("event_id", "idx", q.cast("double").alias("q"))
-    why = states.where("edited.err is not null").select("event_id", "idx", F.col("edited.err").alias("why"))
+    q = durable(scored.select("event_id", "idx", F.when(F.col("why").isNull(), q.cast("double")).alias("q"), "why"))
     pre = q.where("idx = -1").select("event_id", F.col("q").alias("q_pre"))
-    out = e.drop("pre", "action", "ref").join(pre, "event_id", "left").join(q.where("idx >= 0").withColumnRenamed("q", "q_removed"), ["event_id", "idx"], "left")
-    return out.join(why, ["event_id", "idx"], "left")
+    out = e.drop("pre", "action", "ref", "first").join(pre, "event_id", "left")
+    return out.join(q.where("idx >= 0").withColumnRenamed("q", "q_removed"), ["event_id", "idx"], "left")
 
 
 def enabler_shares(games: DataFrame, states: DataFrame, windows: DataFrame, actions: DataFrame, heads: Scorer, width: int) -> DataFrame:
@@ -248,8 +251,9 @@ def enabler_shares(games: DataFrame, states: DataFrame, windows: DataFrame, acti
     e = e.join(did, [*ROUND, "_link"], "left").withColumns({"link_id": F.when(F.col("action").isNotNull(), F.col("_link")), "_before": F.col("_at") - 1})
     e = asof(e, states.select(*ROUND, F.col("tick").alias("_t")), ROUND, "_before", "_t", [], width=width, right_tick="_ref")
     ref = states.select(*ROUND, F.col("tick").alias("_ref"), E.state_struct().alias("ref"))
-    e = e.join(ref, [*ROUND, "_ref"], "left")
-    return enabler_split(removal_scores(e.select("event_id", "idx", "type", "victim", "kind", "link_id", "beneficiary_id", "pre", "action", "ref"), heads))
+    e = e.join(ref, [*ROUND, "_ref"], "left").withColumn("first", F.col("idx") == 0)
+    e = durable(e.select("event_id", "idx", "type", "victim", "kind", "link_id", "beneficiary_id", "pre", "action", "ref", "first"))  # read twice
+    return enabler_split(removal_scores(e, heads))
 
 
 def distribute(phi: DataFrame, shares: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -75,8 +75,9 @@ def _one_of(xs: Column, pid: Column) -> Column:
 
 def _touched(p: Column, a: Column) -> Column:
     """Can the action change the player?  All others stay as they are, so their fields need not be looked at."""
-    pid = p["player_id"]
-    return (pid == a["actor"]) | (pid == a["victim"]) | (pid == a["receiver"]) | _one_of(a["hits"], pid) | _one_of(a["blinded"], pid) | ((a["type"] == "team_buy") & (p["side"] == a["side"]))
+    pid, t = p["player_id"], a["type"]
+    return ((pid == a["actor"]) & ~t.isin(*TOKEN_KIND)) | ((pid == a["victim"]) & t.isin("kill", "team_kill", "damage")) | ((pid == a["receiver"]) & (t == "drop")) | (
+        (t == "he") & _one_of(a["hits"], pid)) | ((t == "flash") & _one_of(a["blinded"], pid)) | ((t == "team_buy") & (p["side"] == a["side"]))
 
 
 def _player(p: Column, r: Column, a: Column, lethal: Column) -> Column:
@@ -326,11 +327,12 @@ def without(state: Column, kind: Column, action: Column, ref: Column) -> Column:
     ``ref`` is the state before the enabler; blindness and areas need none.  A state from
     which it cannot be taken says why in ``err``.
     """
-    blank = state.withField("players", F.transform(state["players"], lambda p: p.withField("alive", F.lit(0).cast("bigint"))).cast(PLAYERS_T)).cast(STATE_T)
+    blank = state.withField("players", F.array().cast(PLAYERS_T)).cast(STATE_T)  # nobody was alive before
     plain = kind.isin("flash", "smoke_cover", "fire_pressure")
     lost = F.when(action.isNull(), "no linked action").when(~plain & ref.isNull(), "no state before the enabler").when(
         (kind == "flash") & (action["type"] != "flash") | kind.isin("smoke_cover", "fire_pressure") & ~action["type"].isin(*TOKEN_KIND) | (kind == "trade_setup") & ~action["type"].isin("kill", "team_kill"), "linked action of another kind")
-    done = bound(_undo(state, action, F.when(plain, blank).otherwise(ref)), _recomputed)
+    given = F.struct(state.alias("state"), action.alias("action"), F.when(plain, blank).otherwise(ref).alias("pre"))
+    done = bound(bound(given, lambda x: _undo(x["state"], x["action"], x["pre"])), _recomputed)
     return F.when(lost.isNotNull(), state.withField("err", lost).cast(STATE_T)).otherwise(done)
 
 
@@ -345,8 +347,8 @@ def reblind(state: Column, post: Column, kept: Column) -> Column:
 
 
 def bound(x: Column, f) -> Column:  # noqa: ANN001
-    """``f(x)`` with ``x`` evaluated once, however often ``f`` names it."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
+    """``f(x)`` with ``x`` evaluated once, however often ``f`` names it; unlike ``transform``, a fold over nothing does not copy what ``f`` gives."""
+    return F.aggregate(F.array().cast("array<int>"), x, lambda acc, _: acc, f)
 
 
 def recompute(state: Column) -> Column:
@@ -357,13 +359,14 @@ def recompute(state: Column) -> Column:
 def _recomputed(state: Column) -> Column:
     ps, u, c = state["players"], state["utility"], state["ctx"]
 
-    def inside(p: Column, of: Column) -> Column:
-        hit = F.exists(of, lambda t: inside_token(t["kind"], [t["x"], t["y"], t["z"]], t["radius_units"], [p["x"], p["y"], p["z"]]))
-        f = F.when(hit, 1).when(F.exists(of, lambda t: t["radius_units"].isNull()), F.lit(None)).otherwise(0).cast("bigint")
+    def inside(p: Column, of: Column, kind: str) -> Column:
+        hit = F.exists(of[kind], lambda t: inside_token(F.lit(kind), [t["x"], t["y"], t["z"]], t["radius_units"], [p["x"], p["y"], p["z"]]))
+        f = F.when(hit, 1).when(of[f"vague_{kind}"], F.lit(None)).otherwise(0).cast("bigint")
         return F.when((p["alive"] == 1) & p["x"].isNotNull(), f)
 
-    areas = F.struct(F.filter(u, lambda t: t["kind"] == "smoke").alias("smoke"), F.filter(u, lambda t: t["kind"] == "fire").alias("fire"))
-    players = bound(areas, lambda of: F.transform(ps, lambda p: p.withField("in_smoke", inside(p, of["smoke"])).withField("on_fire", inside(p, of["fire"]))))
+    near = {kind: F.filter(u, lambda t: t["kind"] == kind) for kind in ("smoke", "fire")}
+    areas = F.struct(*[x.alias(kind) for kind, x in near.items()], *[F.exists(x, lambda t: t["radius_units"].isNull()).alias(f"vague_{kind}") for kind, x in near.items()])
+    players = bound(areas, lambda of: F.transform(ps, lambda p: p.withField("in_smoke", inside(p, of, "smoke")).withField("on_fire", inside(p, of, "fire"))))
     of = lambda side: F.filter(ps, lambda p: (p["side"] == side) & (p["alive"] == 1))
     equip = lambda side: F.aggregate(of(side), F.lit(0.0), lambda m, p: m + p["equipment_value"].cast("double"))
     n = lambda kind: F.size(F.filter(u, lambda t: t["kind"] == kind)).cast("bigint")
