@@ -10,6 +10,8 @@ values over (round, player) give each sample exactly what was known at its tick.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,24 +49,41 @@ def player_rows(feed: Feed, players: DataFrame) -> DataFrame:
     return t.withColumn("_spot", F.when(seen.isNotNull(), n)).drop("_ct", "_t")
 
 
-def track(feed: Feed, samples: DataFrame, rounds: DataFrame, players: DataFrame) -> DataFrame:
+#: Token fields that follow from each running value of ``track`` other than the latest row.
+FROM_RUN = {
+    "live": ["x", "y", "z", "nav_area", "callout", "grid_cell", "in_smoke", "on_fire", "heard_enemy"], "seen": ["seconds_since_last_seen_by_enemy"], "fire": ["seconds_since_last_shot"],
+    "blind": ["flash_duration_remaining"], "kills": ["kills_round"], "damage": ["damage_round"],
+}
+#: Token fields that read other columns of the latest row than that of their name.
+FROM_ROW = {"speed": ["vx", "vy"], "weapon_class": ["active_weapon"], "account": ["money"], **{n: ["inventory"] for n in NADES}, **{f: ["x", "y", "z"] for f in FROM_RUN["live"]}}
+
+
+def track(feed: Feed, samples: DataFrame, rounds: DataFrame, players: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
     """One row per sample and roster player with everything known about the player at the tick.
 
     ``row`` is the latest tick row, ``live`` the latest position while alive; ``fire``,
     ``seen`` are the last ticks of a shot and of being spotted; ``blind_until`` the tick
     the last blindness ends; ``n_kills`` and ``damage`` run within the round.
+
+    With ``fields`` only what these token fields follow from is read and carried; the feed must
+    then have one row per player and tick, as a tie between rows is broken by all they hold.
     """
     rate = feed.tick_rate
-    t = player_rows(feed, players)
+    need = lambda run: fields is None or not set(FROM_RUN[run]).isdisjoint(fields)
+    spot = fields is None or need("seen") or "spotted_by_count" in fields
+    t = player_rows(feed, players) if spot else feed["ticks"].drop("side").join(players.select(*PLAYER), PLAYER)
     alive = F.coalesce(F.col("is_alive"), F.lit(False))
     keep = ["x", "y", "z", "yaw", "pitch", "vx", "vy", "health", "armor", "has_helmet", "has_defuser", "has_c4",
             "active_weapon", "inventory", "money", "equipment_value", *FLAGS]
+    if fields is not None:
+        read = {c for f in fields for c in FROM_ROW.get(f, [f])}
+        keep = [c for c in keep if c in read]
     types = {"active_weapon": "string", "inventory": "array<string>", "has_helmet": "boolean",
              "has_defuser": "boolean", "has_c4": "boolean", **{f: "boolean" for f in FLAGS}}
-    row = F.struct(alive.alias("alive"), F.col("_spot").alias("spot"),
+    row = F.struct(alive.alias("alive"), *([F.col("_spot").alias("spot")] if spot else []),
                    *[_opt(t, c, types.get(c, "double")).alias(c) for c in keep])
-    rows = t.select(*PLAYER, "tick", row.alias("row"), F.when(alive, F.struct("x", "y", "z")).alias("live"),
-                    F.when(F.col("_spot") > 0, F.col("tick")).alias("seen"))
+    rows = t.select(*PLAYER, "tick", row.alias("row"), *([F.when(alive, F.struct("x", "y", "z")).alias("live")] if need("live") else []),
+                    *([F.when(F.col("_spot") > 0, F.col("tick")).alias("seen")] if need("seen") else []))
     known = players.select(*PLAYER, "side")
     shots = feed.in_round("weapon_fire", "tick").select(*PLAYER, "tick", F.col("tick").alias("fire"))
     blinds = feed.in_round("flashes", "detonate_tick").select(
@@ -78,11 +97,13 @@ def track(feed: Feed, samples: DataFrame, rounds: DataFrame, players: DataFrame)
     hits = feed["damages"].withColumn("steamid", F.col("attacker_steamid")).join(known, PLAYER).join(other, [*ROUND, "victim_steamid"])
     hits = hits.where(F.col("side") != F.col("_vs")).select(*PLAYER, "tick", F.coalesce("dmg_health", F.lit(0)).cast("double").alias("damage"))
     seen_rows = rows
-    for part in (shots, blinds, kills, hits):
-        seen_rows = seen_rows.unionByName(part, allowMissingColumns=True)
+    for run, part in {"fire": shots, "blind": blinds, "kills": kills, "damage": hits}.items():
+        if need(run):
+            seen_rows = seen_rows.unionByName(part, allowMissingColumns=True)
     runs = [Run("row", "last", F.col("row")), Run("live", "last", F.col("live")), Run("seen", "max", F.col("seen")),
             Run("fire", "max", F.col("fire")), Run("blind", "max", F.col("blind_until")),
             Run("kills", "sum", F.col("n_kills")), Run("damage", "sum", F.col("damage"))]
+    runs = [r for r in runs if r.name == "row" or need(r.name)]
     left = samples.select(*SAMPLE).join(players.select(*PLAYER, "side", "slot"), ROUND)
     return probe(left, seen_rows, PLAYER, "tick", "tick", runs, width=feed.width)
 
@@ -176,20 +197,27 @@ def heard_enemy(feed: Feed, tracked: DataFrame, players: DataFrame, window_s: fl
 # players
 
 
-def state_players(feed: Feed, samples: DataFrame, rounds: DataFrame, players: DataFrame, utility: DataFrame, tier: str = "pro") -> DataFrame:
-    """Player tokens of every sample: ten slots, dead-null rules, empty slots as dead players with id -1."""
+def state_players(feed: Feed, samples: DataFrame, rounds: DataFrame, players: DataFrame, utility: DataFrame, tier: str = "pro", fields: Sequence[str] | None = None) -> DataFrame:
+    """Player tokens of every sample: ten slots, dead-null rules, empty slots as dead players with id -1.
+
+    ``fields`` names the ones wanted (all by default); what only others follow from, as sounds,
+    shots and areas do, is then not read.  See ``track`` for what the feed must hold.
+    """
     rate = float(feed.tick_rate)
-    tr = track(feed, samples, rounds, players)
-    heard = heard_enemy(feed, tr, players)
+    need = lambda *f: fields is None or not set(f).isdisjoint(fields)
+    tr = track(feed, samples, rounds, players, fields)
     ten = samples.select(*SAMPLE).join(slots(rounds, players), ROUND)
-    s = ten.join(tr.drop("side", "steamid"), [*SAMPLE, "slot"], "left").join(heard, [*SAMPLE, "slot"], "left")
-    s = s.join(utility.select(*SAMPLE, "utility"), SAMPLE, "left")
+    s = ten.join(tr.drop("side", "steamid"), [*SAMPLE, "slot"], "left")
+    if need("heard_enemy"):
+        s = s.join(heard_enemy(feed, tr, players), [*SAMPLE, "slot"], "left")
+    if need("in_smoke", "on_fire"):
+        s = s.join(utility.select(*SAMPLE, "utility"), SAMPLE, "left")
     r = F.col("row")
     alive = F.coalesce(r["alive"], F.lit(False))
-    pos = {c: F.when(alive, r[c]).otherwise(F.coalesce(F.col(f"live.{c}"), r[c])).cast("double") for c in "xyz"}
-    s = s.withColumns(pos)
+    if need(*FROM_RUN["live"]):
+        pos = {c: F.when(alive, r[c]).otherwise(F.coalesce(F.col(f"live.{c}"), r[c])).cast("double") for c in "xyz"}
+        s = feed.geometry.places(s.withColumns(pos), "x", "y", "z")
     known = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
-    s = feed.geometry.places(s, "x", "y", "z")
     live = lambda c: F.when(alive, c)
     p = [F.col(c) for c in "xyz"]
     since = lambda c: (F.col("tick") - F.col(c)) / F.lit(rate)
@@ -213,9 +241,10 @@ def state_players(feed: Feed, samples: DataFrame, rounds: DataFrame, players: Da
         "player_id": F.coalesce(player_id_hash(F.col("steamid")), F.lit(schemas.PAD_PLAYER_ID)).cast("bigint"),
         "tier": F.lit(tier), "account": r["money"].cast("double"),
     }
-    out = s.withColumns({f"o_{k}": v for k, v in cols.items()})
-    keep = [c for c in schemas.PLAYER_FIELDS if c not in cols]
-    return out.select(*SAMPLE, "slot", "steamid", *keep, *[F.col(f"o_{k}").alias(k) for k in cols])
+    made = {k: v for k, v in cols.items() if need(k)}
+    out = s.withColumns({f"o_{k}": v for k, v in made.items()})
+    keep = [c for c in schemas.PLAYER_FIELDS if c not in cols and need(c)]
+    return out.select(*SAMPLE, "slot", "steamid", *keep, *[F.col(f"o_{k}").alias(k) for k in made])
 
 
 # context

@@ -16,6 +16,10 @@ from .registry import query
 _KEY = "{0}.match_key = {1}.match_key AND {0}.round_num = {1}.round_num"
 _P = _KEY.format("x", "tn") + " AND x.steamid = tn.steamid"
 
+#: Token fields that the context and the pairs follow from.
+CONTEXT_READS = ["side", "alive", "equipment_value", "account", "has_c4", "has_defuser"]
+PAIR_READS = ["side", "alive", "x", "y", "z", "is_ducking", "nav_area"]
+
 TOKEN_CTES = ROSTER + f""",
 sl AS (SELECT r.match_key, r.round_num, s AS slot, CASE WHEN s < 5 THEN 'ct' ELSE 't' END AS side, p.steamid FROM rounds r CROSS JOIN range(10) AS g(s)
   LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY match_key, round_num, side ORDER BY steamid) AS n FROM ros) p ON {_KEY.format('p', 'r')} AND p.n <= 5 AND CASE WHEN p.side = 'ct' THEN 0 ELSE 5 END + p.n - 1 = s),
@@ -114,7 +118,7 @@ def context_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """All fields of the context at the tick of each kill: clock, bomb, economy, score, streaks."""
     f, r, players, smp = _samples(spark, sf)
     util = durable(D.utility_tokens(f, smp, r, players))
-    toks = durable(D.state_players(f, smp, r, players, util))
+    toks = durable(D.state_players(f, smp, r, players, util, fields=CONTEXT_READS))
     c = D.state_ctx(f, smp, r, toks, util)
     kinds = dict(c.dtypes)
     return c.select(*ROUND, "tick", *[F.round(k, 4).alias(k) if kinds[k] == "double" else F.col(k) for k in schemas.CTX_FIELDS if k != "round_num"])
