@@ -140,5 +140,5 @@ def pair_rows(spark: SparkSession, sf: str) -> DataFrame:
     """All channels of the 45 slot pairs at the tick of each kill: sight, distances, smoke between, team."""
     f, r, players, smp = _samples(spark, sf)
     util = durable(D.utility_tokens(f, smp, r, players))
-    p = D.state_pairs(f, durable(D.state_players(f, smp, r, players, util)), util)
+    p = D.state_pairs(f, durable(D.state_players(f, smp, r, players, util, fields=PAIR_READS)), util)
     return p.select("match_key", "tick", "a_slot", "b_slot", *[F.round(c, 4).alias(c) for c in schemas.PAIR_CHANNELS])
